@@ -53,9 +53,9 @@ SCHEMA_POSTFIXES = ("_USER", "_RPT", "_PKG")
 
 
 def catalogue_type(object_type: Column) -> Column:
-    return F.try_element_at(
-        F.create_map(*[F.lit(v) for kv in CATALOGUE_TYPE.items() for v in kv]), object_type
-    )
+    """Catalogue spelling; types that are spelled alike stay as they are."""
+    pairs = [F.lit(v) for kv in CATALOGUE_TYPE.items() for v in kv]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), object_type), object_type)
 
 
 def list_objects(objects: DataFrame) -> DataFrame:

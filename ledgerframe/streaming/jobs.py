@@ -133,3 +133,7 @@ def run_log_stream(steps: DataFrame, root: str, checkpoint: str) -> StreamingQue
         .trigger(availableNow=True)
         .start()
     )
+
+
+def recorded_steps(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/recorded").drop("version")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ("scripts",)
+GROUPS = ("scripts", "catalog", "definitions", "changes", "files")
 
 
 def _load():

@@ -13,26 +13,25 @@ from ledgerframe.plans import runs as P
 from ledgerframe.suite import sqltext as S
 from ledgerframe.suite.registry import query
 
-NAME = F.col("name")
 FACTS = f"{S.order_number('name')} as order_number, {S.band('name')} as band, {S.type_('name')} as type, {S.schema('name')} as schema_type"
 
 
-def scalar(name: str, rule, sql: str, view: str = "dir_scripts", column: str = "name") -> None:
-    """Register a column rule over the whole of one view."""
+def scalar(name: str, rule, sql: str, reads: str = "name") -> None:
+    """Register a column rule over all scripts of the directory."""
 
-    @query(name, f"select {column}, {sql} as {name} from {view}")
+    @query(name, f"select name, {sql} as {name} from dir_scripts")
     def _(v):
-        return v(view).select(column, rule.alias(name))
+        return v("dir_scripts").select("name", rule(F.col(reads)).alias(name))
 
 
-scalar("order_number", N.order_number(NAME), S.order_number("name"))
-scalar("script_type", N.script_type(NAME), S.type_("name"))
-scalar("schema_type", N.schema_type(NAME), S.schema("name"))
-scalar("effective_schema", N.effective_schema(NAME), S.schema(S.commit_name("name")))
-scalar("rollback_name", N.rollback_name(NAME), S.rollback_name("name"))
-scalar("commit_name", N.commit_name(NAME), S.commit_name("name"))
-scalar("fingerprint", N.fingerprint(F.col("text")), S.fingerprint("text"))
-scalar("execution_band", N.execution_band(NAME), S.band("name"))
+scalar("order_number", N.order_number, S.order_number("name"))
+scalar("script_type", N.script_type, S.type_("name"))
+scalar("schema_type", N.schema_type, S.schema("name"))
+scalar("effective_schema", N.effective_schema, S.schema(S.commit_name("name")))
+scalar("rollback_name", N.rollback_name, S.rollback_name("name"))
+scalar("commit_name", N.commit_name, S.commit_name("name"))
+scalar("fingerprint", N.fingerprint, S.fingerprint("text"), reads="text")
+scalar("execution_band", N.execution_band, S.band("name"))
 
 
 @query(
