@@ -29,9 +29,21 @@ CHANGE_PHRASES = {
     "TYPE_BODY": ["create type body", "replace type body", "drop type body"],
     "TYPE_SPEC": ["create type", "alter type", "replace type", "drop type"],
 }
-CHANGE_PATTERN = (
-    "(" + "|".join(p for phrases in CHANGE_PHRASES.values() for p in phrases) + r")\s+(\w+)"
-)
+
+
+def phrase_pattern(types: list[str] | None = None) -> str:
+    """Any phrase of the given types, by its first word and then by what follows it.
+
+    Grouping by first word means five literals are tried at a position, not thirty.
+    Within a word the order of the phrases is kept, so longer ones still win.
+    """
+    by_word: dict[str, list[str]] = {}
+    for kind in types or CHANGE_PHRASES:
+        for phrase in CHANGE_PHRASES[kind]:
+            word, rest = phrase.split(" ", 1)
+            by_word.setdefault(word, []).append(rest)
+    return "(?:" + "|".join(f"{w} (?:{'|'.join(r)})" for w, r in by_word.items()) + ")"
+
 
 LINE_COMMENT = r"--[^\n\r\x{85}\x{2028}\x{2029}]*\r*\n"
 BLOCK_COMMENT = r"/\*[\s\S]*?\*/"
@@ -59,22 +71,24 @@ def object_type_of_phrase(phrase: Column) -> Column:
 
 
 def changed_object_array(text: Column) -> Column:
-    """Array of (object_name, object_type) a raw script touches, repeats kept."""
-    clean = normalize_script(text)
-    phrases = F.regexp_extract_all(clean, F.lit(CHANGE_PATTERN), 1)
-    names = F.regexp_extract_all(clean, F.lit(CHANGE_PATTERN), 2)
-    return F.zip_with(
-        names,
-        phrases,
-        lambda n, p: F.struct(n.alias("object_name"), object_type_of_phrase(p).alias("object_type")),
-    )
+    """Array of (object_name, object_type) a raw script touches, repeats kept.
+
+    The text is scanned once; phrase and name are then cut from the short matches.
+    """
+    found = F.regexp_extract_all(normalize_script(text), F.lit(phrase_pattern() + r"\s+\w+"), 0)
+
+    def parts(match: Column) -> Column:
+        name = F.regexp_extract(match, r"\w+\z", 0)
+        phrase = F.regexp_replace(match, r"\s+\w+\z", "")
+        return F.struct(name.alias("object_name"), object_type_of_phrase(phrase).alias("object_type"))
+
+    return F.transform(found, parts)
 
 
 def is_package_script(text: Column) -> Column:
     """True when the script changes a package spec or body; null and empty are false."""
-    phrases = CHANGE_PHRASES["PACKAGE_BODY"] + CHANGE_PHRASES["PACKAGE_SPEC"]
-    found = normalize_script(text).rlike("(?:" + "|".join(phrases) + r")\s+\w+")
-    return F.coalesce(found, F.lit(False))
+    pattern = phrase_pattern(["PACKAGE_BODY", "PACKAGE_SPEC"]) + r"\s+\w+"
+    return F.coalesce(normalize_script(text).rlike(pattern), F.lit(False))
 
 
 # --- object definitions ------------------------------------------------------

@@ -83,29 +83,32 @@ def number_aware_order(frame: DataFrame, column: str) -> DataFrame:
     return frame.withColumns(T.number_aware_parts(F.col(column)))
 
 
-def _opening_breaks(frame: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """One fragment per key that sorts before all others."""
-    return frame.select(*keys).distinct().withColumn(text, F.lit(CRLF))
+def _opening_breaks(frame: DataFrame, key: str) -> DataFrame:
+    """One fragment per key, to be sorted before all others."""
+    return frame.select(key).distinct().withColumns({"text": F.lit(CRLF), "chars": F.lit(2)})
 
 
 def table_comment_fragments(tab_comments: DataFrame, col_comments: DataFrame) -> DataFrame:
-    """(table_name, rank, column_name, text): a break, the table comment, a break, the columns."""
+    """(table_name, rank, column_name, text, chars): a break, the table comment, the columns."""
     table, column, comment = F.col("table_name"), F.col("column_name"), F.col("comments")
+    chars = (F.length(comment) + 2 * F.length(table) + 40).alias("chars")
     tabs = tab_comments.where(comment.isNotNull()).select(
         "table_name",
+        chars,
         F.lit(1).alias("rank"),
         F.lit("").alias("column_name"),
         F.concat(F.lit(CRLF), T.comment_statement(table, None, comment)).alias("text"),
     )
     cols = col_comments.where(comment.isNotNull()).select(
         "table_name",
+        chars,
         F.lit(2).alias("rank"),
         "column_name",
         F.concat(F.lit(CRLF), T.comment_statement(table, column, comment)).alias("text"),
     )
     both = tabs.unionByName(cols)
-    opening = _opening_breaks(both, ["table_name"], "text").select(
-        "table_name", F.lit(0).alias("rank"), F.lit("").alias("column_name"), "text"
+    opening = _opening_breaks(both, "table_name").withColumns(
+        {"rank": F.lit(0), "column_name": F.lit("")}
     )
     return both.unionByName(opening)
 
@@ -119,7 +122,7 @@ def table_comment_text(
     """Comment statements of each table, its own first, then by number-aware column."""
     fragments = table_comment_fragments(tab_comments, col_comments)
     order = [F.col("rank"), T.number_aware_key(F.col("column_name"))]
-    return ordered_text(fragments, ["table_name"], order, "text", max_chars, part_rows)
+    return ordered_text(fragments, ["table_name"], order, "text", max_chars, part_rows, chars="chars")
 
 
 def index_fragments(indexes: DataFrame, owner: str) -> DataFrame:
@@ -129,6 +132,7 @@ def index_fragments(indexes: DataFrame, owner: str) -> DataFrame:
     parts = index_sort_columns()
     rows = own.select(
         "table_name",
+        F.length("ddl").alias("chars"),
         F.lit(1).alias("rank"),
         # UNIQUE sorts before NONUNIQUE, so the descending order is a rank.
         F.when(F.col("uniqueness") == "UNIQUE", 0).otherwise(1).alias("plain"),
@@ -138,7 +142,7 @@ def index_fragments(indexes: DataFrame, owner: str) -> DataFrame:
         "index_name",
         F.concat(F.lit(CRLF), statement).alias("text"),
     )
-    opening = _opening_breaks(rows, ["table_name"], "text").withColumn("rank", F.lit(0))
+    opening = _opening_breaks(rows, "table_name").withColumn("rank", F.lit(0))
     return rows.unionByName(opening, allowMissingColumns=True)
 
 
@@ -150,7 +154,8 @@ def index_text(
 ) -> DataFrame:
     """Index statements of each table in catalogue order."""
     order = [F.col(c) for c in ("rank", "plain", "lead", "unnumbered", "number", "index_name")]
-    return ordered_text(index_fragments(indexes, owner), ["table_name"], order, "text", max_chars, part_rows)
+    fragments = index_fragments(indexes, owner)
+    return ordered_text(fragments, ["table_name"], order, "text", max_chars, part_rows, chars="chars")
 
 
 def sequence_text(
@@ -203,9 +208,16 @@ def table_documents(
     """
     table, text = F.col("table_name"), F.col("text")
 
-    def fragments(frame: DataFrame, key, kind: str, place, body) -> DataFrame:
+    def fragments(frame: DataFrame, key: Column, kind: str, place: Column, body: Column) -> DataFrame:
+        chars = F.col("chars") if "chars" in frame.columns else F.length("ddl")
         rank = F.lit(KIND_ORDER.index(kind))
-        return frame.select(key.alias("object_name"), rank.alias("kind"), place.alias("place"), body.alias("text"))
+        return frame.select(
+            key.alias("object_name"),
+            rank.alias("kind"),
+            place.alias("place"),
+            body.alias("text"),
+            chars.alias("chars"),
+        )
 
     base = fragments(
         tables.where("object_type = 'TABLE'"),
@@ -234,7 +246,7 @@ def table_documents(
             fragments(index_fragments(indexes, owner), table, "indexes", index_place, text),
             fragments(table_comment_fragments(tab_comments, col_comments), table, "comments", comment_place, text),
             fragments(kept, table, "sequences", _place(label=F.col("sequence_name")), T.sequence_statement(F.col("ddl"), owner)),
-            fragments(_opening_breaks(own, ["table_name"], "text"), table, "triggers", _place(rank=F.lit(0)), text),
+            fragments(_opening_breaks(own, "table_name"), table, "triggers", _place(rank=F.lit(0)), text),
             fragments(own, table, "triggers", trigger_place, T.trigger_statement(F.col("ddl"), owner)),
         ]
     )
@@ -245,6 +257,7 @@ def table_documents(
         max_chars=max_chars,
         part_rows=part_rows,
         opens_with=KIND_ORDER.index("base"),
+        chars="chars",
     )
     return whole.withColumn("text", T.code_style(text))
 

@@ -50,6 +50,7 @@ def ordered_text(
     max_chars: int = MAX_DOCUMENT_CHARS,
     part_rows: int = PART_ROWS,
     opens_with: int | None = None,
+    chars: str | None = None,
 ) -> DataFrame:
     """Concatenate the fragments of each key in order: (keys, part, text).
 
@@ -58,15 +59,20 @@ def ordered_text(
     spell it: its fragments are range-partitioned by (key, order) and cut into runs
     of at most ``part_rows`` (a power of two), so no task ever gathers more than
     one run. Fragments with null text are left out. With ``opens_with``, documents
-    whose lowest value of the first order column is another one are left out.
+    whose lowest value of the first order column is another one are left out. A
+    ``chars`` column with the approximate length of each text saves making the text
+    in the pass that finds long documents.
     """
     places = [c.alias(f"o{i}") for i, c in enumerate(order)]
+    length = F.length(text) if chars is None else F.col(chars)
+    sizes = (
+        fragments.select(*keys, order[0].alias("o0"), length.cast("bigint").alias("n"))
+        .groupBy(*keys)
+        .agg(F.sum("n").alias("chars"), F.min("o0").alias("opening"))
+    )
     pieces = fragments.where(F.col(text).isNotNull()).select(
         *keys, F.struct(*places, F.col(text).alias("text")).alias("piece")
     )
-    sizes = pieces.groupBy(*keys).agg(
-        F.sum(F.length("piece.text")).alias("chars"), F.min("piece.o0").alias("opening")
-    )
     large = F.broadcast(sizes.where(F.col("chars") > max_chars).select(*keys, "opening"))
     in_question = large if opens_with is None else large.where(F.col("opening") == opens_with)
 
