@@ -6,6 +6,8 @@ texts of any length and mean the same in Java and RE2 engines.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,13 +50,22 @@ def phrase_pattern(types: list[str] | None = None) -> str:
 LINE_COMMENT = r"--[^\n\r\x{85}\x{2028}\x{2029}]*\r*\n"
 BLOCK_COMMENT = r"/\*[\s\S]*?\*/"
 QUOTE_OUTSIDE_TEXT = r"('[^']*'|--[^\n]*|/\*[\s\S]*?\*/)|" + '"'
-CONSTRAINT_BLOCK = (
-    r"^([\s\S]*?(?:^|\n))(\s*(?:PRIMARY KEY|CONSTRAINT)[\s\S]*)(\n\s*\)[\s\S]*)\z"
-)
+CONSTRAINT_START = r"(?:^|\n)\s*(?:PRIMARY KEY|CONSTRAINT)"
+BEFORE_CONSTRAINTS = r"^([\s\S]*?(?:^|\n))\s*(?:PRIMARY KEY|CONSTRAINT)"
+AFTER_CONSTRAINTS = r"^[\s\S]*(\n\s*\)[\s\S]*)\z"
 PRIMARY_KEY_LINE = r"^\s*(?:CONSTRAINT\s+\S+\s+)?PRIMARY KEY\s"
 NAMED_CONSTRAINT_LINE = r"^\s*CONSTRAINT\s+(\S+)\s"
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed a single time, however often it is used.
+
+    A costly expression that a rule mentions several times would otherwise be
+    evaluated at each mention.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize_script(text: Column) -> Column:
     """Drop comments and quotes, fold whitespace, lower-case."""
     t = F.regexp_replace(text, LINE_COMMENT, "")
@@ -94,9 +105,21 @@ def is_package_script(text: Column) -> Column:
 # --- object definitions ------------------------------------------------------
 
 
+# Everything up to U+0020, and the characters a pattern calls whitespace.
+CONTROL = "".join(chr(c) for c in range(0x21))
+WHITESPACE = " \t\n\x0b\f\r"
+
+
 def trim_control(text: Column) -> Column:
     """Strip every character up to U+0020 from both ends."""
-    return F.regexp_replace(text, r"^[\x00-\x20]+|[\x00-\x20]+\z", "")
+    return F.btrim(text, F.lit(CONTROL))
+
+
+def close_with(text: Column, mark: str, end: Column) -> Column:
+    """Replace a final ``mark`` and the whitespace before it, if there is any, by ``end``."""
+    stem = F.left(text, F.length(text) - len(mark))
+    bare = F.rtrim(stem, F.lit(WHITESPACE))
+    return F.when(text.endswith(mark) & (bare != stem), F.concat(bare, end)).otherwise(text)
 
 
 def to_crlf(text: Column) -> Column:
@@ -126,7 +149,7 @@ def code_style(ddl: Column) -> Column:
 
 def canonical_package(ddl: Column, owner: str) -> Column:
     d = trim_control(strip_schema(ddl, owner))
-    return to_crlf(F.regexp_replace(d, r"\s+/\z", "\n/"))
+    return to_crlf(close_with(d, "/", F.lit("\n/")))
 
 
 canonical_type = canonical_package
@@ -167,10 +190,6 @@ def number_aware_key(name: Column) -> Column:
 
 def sort_constraints(ddl: Column) -> Column:
     """Primary key first, then named constraints by number-aware name, the rest last."""
-    head = F.regexp_extract(ddl, CONSTRAINT_BLOCK, 1)
-    block = F.regexp_extract(ddl, CONSTRAINT_BLOCK, 2)
-    tail = F.regexp_extract(ddl, CONSTRAINT_BLOCK, 3)
-
     def sortable(line: Column, position: Column) -> Column:
         name = F.regexp_extract(line, NAMED_CONSTRAINT_LINE, 1)
         rank = F.when(line.rlike(PRIMARY_KEY_LINE), 0).when(name != "", 1).otherwise(2)
@@ -182,9 +201,27 @@ def sort_constraints(ddl: Column) -> Column:
             F.replace(line, F.lit("\r"), F.lit("")).alias("line"),
         )
 
-    lines = F.array_sort(F.transform(F.split(block, r",\s*\n"), sortable))
-    joined = F.array_join(F.transform(lines, lambda s: s["line"]), ",\r\n")
-    return F.when(block != "", F.concat(head, joined, tail)).otherwise(ddl)
+    def ordered(block: Column) -> Column:
+        lines = F.array_sort(F.transform(F.split(block, r",\s*\n"), sortable))
+        return F.array_join(F.transform(lines, lambda s: s["line"]), ",\r\n")
+
+    def from_rest(head: Column, rest: Column, whole: Column) -> Column:
+        def closed(tail: Column) -> Column:
+            block = F.left(rest, F.length(rest) - F.length(tail))
+            return F.when(tail == "", whole).otherwise(F.concat(head, ordered(block), tail))
+
+        return once(F.regexp_extract(rest, AFTER_CONSTRAINTS, 1), closed)
+
+    def from_head(head: Column, whole: Column) -> Column:
+        rest = F.substring(whole, F.length(head) + 1, F.length(whole))
+        return once(rest, lambda r: from_rest(head, r, whole))
+
+    def from_whole(whole: Column) -> Column:
+        head = F.regexp_extract(whole, BEFORE_CONSTRAINTS, 1)
+        sorted_ddl = once(head, lambda h: from_head(h, whole))
+        return F.when(whole.rlike(CONSTRAINT_START), sorted_ddl).otherwise(whole)
+
+    return once(ddl, from_whole)
 
 
 def index_statement(ddl: Column, compression: Column, prefix_length: Column, owner: str) -> Column:
@@ -192,16 +229,15 @@ def index_statement(ddl: Column, compression: Column, prefix_length: Column, own
         compression == "ENABLED",
         F.concat(F.lit(" COMPRESS "), F.coalesce(prefix_length, F.lit(0)).cast("string"), F.lit(";")),
     ).otherwise(F.lit(";"))
-    bare = F.regexp_replace(ddl, r"\s+;\z", "")
-    closed = F.when(ddl.rlike(r"\s+;\z"), F.concat(bare, end)).otherwise(ddl)
-    return trim_control(strip_schema(closed, owner))
+    return trim_control(strip_schema(close_with(ddl, ";", end), owner))
 
 
 def sequence_statement(ddl: Column, owner: str) -> Column:
     """Keep the statement up to its last quoted name."""
     d = F.concat(F.lit("\r\n\r\n"), trim_control(strip_schema(ddl, owner)))
-    cut = F.regexp_replace(d, r"^([\s\S]*" + '")' + r"[\s\S]*\z", "$1;")
-    return F.when(d.contains('"'), cut).otherwise(F.regexp_replace(d, r"\s+;\z", ";"))
+    after_last = F.substring_index(d, '"', -1)
+    cut = F.concat(F.left(d, F.length(d) - F.length(after_last)), F.lit(";"))
+    return F.when(d.contains('"'), cut).otherwise(close_with(d, ";", F.lit(";")))
 
 
 def trigger_statement(ddl: Column, owner: str) -> Column:
@@ -225,12 +261,12 @@ def comment_statement(table: Column, column: Column | None, comment: Column) ->
 
 def compose_package(spec: Column, body: Column) -> Column:
     """Spec and optional body as one script, each closed by a slash; null without a spec."""
-    s = F.regexp_replace(F.regexp_replace(spec, r"\n+\z", ""), r" +\z", "")
+    blank, newline = F.lit(" "), F.lit("\n")
+    s = F.rtrim(F.rtrim(spec, newline), blank)
     s = F.concat(s, F.when(s.endswith("/"), F.lit("\n\n")).otherwise(F.lit("/\n\n")))
-    b = F.regexp_replace(body, r" +\z", "")
-    b = F.regexp_replace(F.regexp_replace(b, r"\n+\z", ""), r" +\z", "")
+    b = F.rtrim(F.rtrim(F.rtrim(body, blank), newline), blank)
     full = F.concat(s, b)
-    closed = F.when(full.endswith("\n"), full).otherwise(F.concat(full, F.lit("\n")))
+    closed = F.when(full.endswith("\n"), full).otherwise(F.concat(full, newline))
     return F.when(body.isNull(), s).otherwise(closed)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerframe.operators.skew import HOT_ROWS, join_counted, union_all
+from ledgerframe.session import materialize
 
 # Catalogue spelling of each object type.
 CATALOGUE_TYPE = {
@@ -145,15 +146,15 @@ def parent_by_sequence(
     """Every table of a sequence, with the number of tables it has."""
     asked = names.select("object_name").distinct().withColumn("sequence_name", F.upper("object_name"))
     pairs = table_sequences(dependencies, triggers)
-    found = pairs.join(asked, "sequence_name").select("object_name", "table_name")
-    counts = found.groupBy("object_name").agg(F.count(F.lit(1)).alias("n_tables"))
-    owned = join_counted(found, counts, ["object_name"], rows="n_tables", hot_rows=hot_rows)
-    absent = asked.join(counts, "object_name", "left_anti").select(
-        "object_name",
-        F.lit(None).cast("string").alias("table_name"),
-        F.lit(0).cast("bigint").alias("n_tables"),
+    # Slim, and read by the count as well as by the join with it: made once.
+    found = materialize(
+        asked.join(pairs, "sequence_name", "left").select("object_name", "table_name"), "sequence_owners"
     )
-    return owned.select("object_name", "table_name", "n_tables").unionByName(absent)
+    counts = found.groupBy("object_name").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("table_name").alias("n_tables")
+    )
+    owned = join_counted(found, counts, ["object_name"], hot_rows=hot_rows)
+    return owned.select("object_name", "table_name", "n_tables")
 
 
 def index_sort_columns() -> dict[str, Column]:
@@ -206,7 +207,8 @@ def resolve_changed_objects(
     table. Objects still in the catalogue are to ``regenerate``, stored ones that
     left it are ``redundant``, and dependants without a parent are ``unresolved``.
     """
-    asked = changed.select("object_name", "object_type").distinct()
+    # Names only, read once per kind below: the scripts behind them are scanned once.
+    asked = materialize(changed.select("object_name", "object_type").distinct(), "changed")
 
     def of(kind: str) -> DataFrame:
         return asked.where(F.col("object_type") == kind).select("object_name")

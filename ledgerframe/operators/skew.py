@@ -58,7 +58,7 @@ def ordered_text(
     one is returned whole in several rows whose parts, taken in ascending order,
     spell it: its fragments are range-partitioned by (key, order) and cut into runs
     of at most ``part_rows`` (a power of two), so no task ever gathers more than
-    one run. Fragments with null text are left out. With ``opens_with``, documents
+    one run. Null texts add nothing. With ``opens_with``, documents
     whose lowest value of the first order column is another one are left out. A
     ``chars`` column with the approximate length of each text saves making the text
     in the pass that finds long documents.
@@ -70,11 +70,10 @@ def ordered_text(
         .groupBy(*keys)
         .agg(F.sum("n").alias("chars"), F.min("o0").alias("opening"))
     )
-    pieces = fragments.where(F.col(text).isNotNull()).select(
+    pieces = fragments.select(
         *keys, F.struct(*places, F.col(text).alias("text")).alias("piece")
     )
     large = F.broadcast(sizes.where(F.col("chars") > max_chars).select(*keys, "opening"))
-    in_question = large if opens_with is None else large.where(F.col("opening") == opens_with)
 
     def spelled(frame: DataFrame, by: list[str]) -> DataFrame:
         gathered = frame.groupBy(*by).agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
@@ -84,8 +83,11 @@ def ordered_text(
         return gathered.select(*by, joined.alias("text"))
 
     whole = spelled(pieces.join(large, keys, "left_anti"), keys)
+    in_question = pieces.join(large, keys)
+    if opens_with is not None:
+        in_question = in_question.where(F.col("opening") == opens_with)
     ranged = (
-        pieces.join(in_question, keys, "left_semi")
+        in_question.drop("opening")
         .repartitionByRange(*keys, *[F.col(f"piece.o{i}") for i in range(len(order))])
         .sortWithinPartitions(*keys, "piece")
         # Ids rise along the sort order and step to a new block at each partition,

@@ -190,9 +190,10 @@ VIEWS["tab_comments"] = """
 select concat('T', cast(s_suppkey as string)) as table_name, case when s_suppkey % 4 <> 0 then s_name end as comments from supplier
 """
 VIEWS["sequence_ddl"] = """
-select distinct concat('T', cast(l_suppkey as string)) as table_name, concat('SEQ_', cast(l_partkey as string)) as sequence_name,
+select concat('T', cast(l_suppkey as string)) as table_name, concat('SEQ_', cast(l_partkey as string)) as sequence_name,
   concat(chr(10), '   CREATE SEQUENCE  ', chr(34), 'APP', chr(34), '.', chr(34), case when l_partkey % 10 = 0 then 'SEQ_BPD_ITEMS_UNIT_ID' else 'SEQ_' end,
-    cast(l_partkey as string), chr(34), '  MINVALUE 1 INCREMENT BY 1  NOCYCLE ;') as ddl from lineitem
+    cast(l_partkey as string), chr(34), '  MINVALUE 1 INCREMENT BY 1  NOCYCLE ;') as ddl
+from (select distinct l_suppkey, l_partkey from lineitem) as used
 """
 VIEWS["trigger_ddl"] = """
 select table_name, trigger_name, concat('  CREATE OR REPLACE EDITIONABLE TRIGGER ', chr(34), 'APP', chr(34), '.', chr(34), trigger_name, chr(34),

@@ -123,7 +123,7 @@ def digits(n: str) -> str:
 
 def sorted_constraints(source: str) -> str:
     """Body over a relation of (object_name, object_type, ddl)."""
-    p = T.CONSTRAINT_BLOCK
+    p = r"^([\s\S]*?(?:^|\n))(\s*(?:PRIMARY KEY|CONSTRAINT)[\s\S]*)(\n\s*\)[\s\S]*)\z"
     name = rf"regexp_extract(line, '{T.NAMED_CONSTRAINT_LINE}', 1)"
     rank = rf"case when regexp_matches(line, '{T.PRIMARY_KEY_LINE}') then 0 when {name} <> '' then 1 else 2 end"
     return f"""
