@@ -73,7 +73,9 @@ def ordered_text(
     pieces = fragments.select(
         *keys, F.struct(*places, F.col(text).alias("text")).alias("piece")
     )
-    large = F.broadcast(sizes.where(F.col("chars") > max_chars).select(*keys, "opening"))
+    large = sizes.where(F.col("chars") > max_chars).select(*keys, F.struct("opening").alias("large"))
+    # Both uses join the same broadcast in the same shape, so it is built once.
+    marked = pieces.join(F.broadcast(large), keys, "left")
 
     def spelled(frame: DataFrame, by: list[str]) -> DataFrame:
         gathered = frame.groupBy(*by).agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
@@ -82,12 +84,12 @@ def ordered_text(
         joined = F.array_join(F.transform("pieces", lambda p: p["text"]), "")
         return gathered.select(*by, joined.alias("text"))
 
-    whole = spelled(pieces.join(large, keys, "left_anti"), keys)
-    in_question = pieces.join(large, keys)
+    whole = spelled(marked.where(F.col("large").isNull()), keys)
+    in_question = marked.where(F.col("large").isNotNull())
     if opens_with is not None:
-        in_question = in_question.where(F.col("opening") == opens_with)
+        in_question = in_question.where(F.col("large.opening") == opens_with)
     ranged = (
-        in_question.drop("opening")
+        in_question.drop("large")
         .repartitionByRange(*keys, *[F.col(f"piece.o{i}") for i in range(len(order))])
         .sortWithinPartitions(*keys, "piece")
         # Ids rise along the sort order and step to a new block at each partition,
