@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerframe.session import materialize
+
 # A key with at least this many rows leaves the shuffle path. The list of such
 # keys has at most (rows / HOT_ROWS) entries, which is what bounds its broadcast:
 # 10^12 rows can have 200,000 of them.
@@ -57,8 +59,8 @@ def ordered_text(
     A document of at most ``max_chars`` characters is one row with part 0. A longer
     one is returned whole in several rows whose parts, taken in ascending order,
     spell it: its fragments are range-partitioned by (key, order) and cut into runs
-    of at most ``part_rows`` (a power of two), so no task ever gathers more than
-    one run. Null texts add nothing. With ``opens_with``, documents
+    of at most ``part_rows`` (a power of two) that also hold ``max_chars`` characters
+    at most, so no task gathers more than one run. Null texts add nothing. With ``opens_with``, documents
     whose lowest value of the first order column is another one are left out. A
     ``chars`` column with the approximate length of each text saves making the text
     in the pass that finds long documents.
@@ -68,14 +70,13 @@ def ordered_text(
     sizes = (
         fragments.select(*keys, order[0].alias("o0"), length.cast("bigint").alias("n"))
         .groupBy(*keys)
-        .agg(F.sum("n").alias("chars"), F.min("o0").alias("opening"))
-    )
-    pieces = fragments.select(
-        *keys, F.struct(*places, F.col(text).alias("text")).alias("piece")
+        .agg(F.sum("n").alias("chars"), F.max("n").alias("longest"), F.min("o0").alias("opening"))
     )
-    large = sizes.where(F.col("chars") > max_chars).select(*keys, F.struct("opening").alias("large"))
-    # Both uses join the same broadcast in the same shape, so it is built once.
-    marked = pieces.join(F.broadcast(large), keys, "left")
+    # At most (total characters / max_chars) keys, found once and written: what is
+    # broadcast below has a known size, and usually there is nothing to broadcast.
+    large = materialize(sizes.where(F.col("chars") > max_chars).drop("chars"), "large")
+    pieces = fragments.select(*keys, F.struct(*places, F.col(text).alias("text")).alias("piece"))
+    columns = [*keys, "part", "text"]
 
     def spelled(frame: DataFrame, by: list[str]) -> DataFrame:
         gathered = frame.groupBy(*by).agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
@@ -84,23 +85,22 @@ def ordered_text(
         joined = F.array_join(F.transform("pieces", lambda p: p["text"]), "")
         return gathered.select(*by, joined.alias("text"))
 
-    whole = spelled(marked.where(F.col("large").isNull()), keys)
-    in_question = marked.where(F.col("large").isNotNull())
-    if opens_with is not None:
-        in_question = in_question.where(F.col("large.opening") == opens_with)
+    longest = large.agg(F.max("longest")).first()[0]
+    if longest is None:
+        return spelled(pieces, keys).withColumn("part", F.lit(0).cast("bigint")).select(columns)
+    part_rows = min(part_rows, 1 << (max(1, max_chars // max(1, longest)).bit_length() - 1))
+    small = pieces.join(F.broadcast(large), keys, "left_anti")
+    whole = spelled(small, keys).withColumn("part", F.lit(0).cast("bigint")).select(columns)
+    wanted = large if opens_with is None else large.where(F.col("opening") == opens_with)
     ranged = (
-        in_question.drop("large")
+        pieces.join(F.broadcast(wanted), keys, "left_semi")
         .repartitionByRange(*keys, *[F.col(f"piece.o{i}") for i in range(len(order))])
         .sortWithinPartitions(*keys, "piece")
         # Ids rise along the sort order and step to a new block at each partition,
-        # so their quotient numbers bounded, ordered runs.
+        # so their quotients number bounded, ordered runs.
         .withColumn("part", (F.monotonically_increasing_id() / part_rows).cast("bigint"))
     )
-    cut = spelled(ranged, [*keys, "part"])
-    columns = [*keys, "part", "text"]
-    return whole.withColumn("part", F.lit(0).cast("bigint")).select(columns).unionByName(
-        cut.select(columns)
-    )
+    return whole.unionByName(spelled(ranged, [*keys, "part"]).select(columns))
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

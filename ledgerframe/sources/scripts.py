@@ -24,14 +24,14 @@ def read_scripts(spark: SparkSession, path: str, bundled: DataFrame | None = Non
     """(name, text, ts) of every ``*.sql`` file directly in a folder, as UTF-8.
 
     Content is pruned from the scan when only names are selected. When ``bundled``
-    scripts exist they are used instead of the folder.
+    scripts exist they are used instead of the folder. Spark's file scans pass over
+    files of length zero, so an empty script is not seen.
     """
     if bundled is not None and not bundled.isEmpty():
         return bundled.select("name", "text", "ts")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sql").load(path)
     return files.select(
-        # The scan reports an encoded path; decoding restores blanks and percent signs.
-        F.url_decode(F.replace(file_name(F.col("path")), F.lit("+"), F.lit("%2B"))).alias("name"),
+        file_name(F.col("path")).alias("name"),
         F.decode("content", "UTF-8").alias("text"),
         F.col("modificationTime").alias("ts"),
     )
