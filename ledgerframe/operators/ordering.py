@@ -49,11 +49,19 @@ def step_key() -> Column:
 
 
 def first_failures(log: DataFrame) -> DataFrame:
-    """Per run: rows and the earliest failing (ts, step_id); combined before the shuffle."""
-    failing = F.when(F.col("exit_code") != 0, step_key())
-    return log.groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.min(failing).alias("first_fail")
-    )
+    """Per failed run the earliest failing (ts, step_id).
+
+    Only failing rows reach the aggregate, which has to sort because its value is a
+    struct; the filter is pushed to the scan.
+    """
+    failing = log.where(F.col("exit_code") != 0)
+    return failing.groupBy("run_id").agg(F.min(step_key()).alias("first_fail"))
+
+
+def run_facts(log: DataFrame) -> DataFrame:
+    """Per run its number of rows and first failure; both sides share one partitioning."""
+    counts = log.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    return counts.join(first_failures(log), "run_id", "left")
 
 
 def is_recorded() -> Column:
@@ -68,13 +76,13 @@ def run_until_failure(
     status = N.status_of_exit_code(F.col("exit_code")).alias("status")
     if ignore_errors:
         return log.select(*columns, status)
-    marked = join_counted(log, first_failures(log), ["run_id"], "inner", hot_rows=hot_rows)
+    marked = join_counted(log, run_facts(log), ["run_id"], "inner", hot_rows=hot_rows)
     return marked.where(is_recorded()).select(*columns, status)
 
 
 def run_summary(log: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Per run: steps recorded and left, the first failing step, recorded time."""
-    marked = join_counted(log, first_failures(log), ["run_id"], "inner", hot_rows=hot_rows)
+    marked = join_counted(log, run_facts(log), ["run_id"], "inner", hot_rows=hot_rows)
     recorded = is_recorded()
     elapsed = F.sum(F.when(recorded, N.elapsed_ms(F.col("seconds")))).alias("elapsed_ms")
     summary = marked.groupBy("run_id").agg(
@@ -88,8 +96,7 @@ def run_summary(log: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 
 def failed_runs(log: DataFrame) -> DataFrame:
     """Runs with a failure and the step that stopped them."""
-    stopped = first_failures(log).where(F.col("first_fail").isNotNull())
-    return stopped.select(
+    return first_failures(log).select(
         "run_id",
         F.col("first_fail.step_id").alias("first_failed_step"),
         F.col("first_fail.ts").alias("failed_at"),

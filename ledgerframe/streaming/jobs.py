@@ -92,7 +92,7 @@ def absorb_steps(batch: DataFrame, failures: DataFrame, hot_rows: int = HOT_ROWS
     The state is one key per failed run. Both the batch and the state are combined
     before the shuffle, and a run that fills the batch is joined by broadcast.
     """
-    seen = O.first_failures(batch)
+    seen = O.run_facts(batch)
     earlier = failures.select("run_id", "first_fail").withColumn("n_rows", F.lit(0).cast("bigint"))
     merged = (
         earlier.unionByName(seen)
