@@ -298,19 +298,26 @@ def redundant_artifacts(changed: DataFrame, objects: DataFrame) -> DataFrame:
     return gone.select("object_name", "object_type", F.explode(paths).alias("path"))
 
 
-def excluded_objects(
-    objects: DataFrame,
+def is_excluded(
+    object_name: Column,
+    object_type: Column,
     prefixes: dict[str, tuple[str, ...]] = EXCLUDED_PREFIXES,
     sequences: tuple[str, ...] = EXCLUDED_SEQUENCES,
-) -> DataFrame:
-    """Objects that never get a definition, by prefix or sequence name."""
-    kind, name = F.col("object_type"), F.upper("object_name")
+) -> Column:
+    """Does an object never get a definition, by its prefix or sequence name?"""
+    name = F.upper(object_name)
     hit = F.lit(False)
     for wanted, starts in prefixes.items():
         for start in starts:
-            hit = hit | ((kind == wanted) & name.startswith(start.upper()))
+            hit = hit | ((object_type == wanted) & name.startswith(start.upper()))
     for part in sequences:
-        hit = hit | ((kind == "SEQUENCE") & name.contains(part))
+        hit = hit | ((object_type == "SEQUENCE") & name.contains(part))
+    return hit
+
+
+def excluded_objects(objects: DataFrame, **lists) -> DataFrame:
+    """Objects left out of definitions; the lists are those of ``is_excluded``."""
+    hit = is_excluded(F.col("object_name"), F.col("object_type"), **lists)
     return objects.where(hit).select("object_name", "object_type")
 
 

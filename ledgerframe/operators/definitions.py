@@ -32,6 +32,18 @@ def _place(**given: Column) -> Column:
     return F.struct(*[given.get(f, F.lit(None)).cast(t).alias(f) for f, t in PLACE_FIELDS.items()])
 
 
+def _comment_place() -> Column:
+    """Place of a comment fragment: table before columns, columns by number-aware name."""
+    parts = T.number_aware_parts(F.col("column_name"))
+    return _place(
+        rank=F.col("rank"),
+        lead=parts["letters"],
+        digit_count=parts["digit_count"],
+        digits=parts["digits"],
+        label=F.col("column_name"),
+    )
+
+
 def _with(corpus: DataFrame, rule, *args) -> DataFrame:
     return corpus.withColumn("ddl", rule(F.col("ddl"), *args))
 
@@ -227,14 +239,6 @@ def table_documents(
         T.canonical_table(F.col("ddl"), owner),
     )
     index_place = _place(**{c: F.col(c) for c in ("rank", "plain", "lead", "unnumbered", "number")}, label=F.col("index_name"))
-    number_parts = T.number_aware_parts(F.col("column_name"))
-    comment_place = _place(
-        rank=F.col("rank"),
-        lead=number_parts["letters"],
-        digit_count=number_parts["digit_count"],
-        digits=number_parts["digits"],
-        label=F.col("column_name"),
-    )
     kept = sequences
     for excluded in EXCLUDED_SEQUENCES:
         kept = kept.where(~F.col("ddl").contains(excluded))
@@ -244,7 +248,7 @@ def table_documents(
         [
             base,
             fragments(index_fragments(indexes, owner), table, "indexes", index_place, text),
-            fragments(table_comment_fragments(tab_comments, col_comments), table, "comments", comment_place, text),
+            fragments(table_comment_fragments(tab_comments, col_comments), table, "comments", _comment_place(), text),
             fragments(kept, table, "sequences", _place(label=F.col("sequence_name")), T.sequence_statement(F.col("ddl"), owner)),
             fragments(_opening_breaks(own, "table_name"), table, "triggers", _place(rank=F.lit(0)), text),
             fragments(own, table, "triggers", trigger_place, T.trigger_statement(F.col("ddl"), owner)),
@@ -262,6 +266,36 @@ def table_documents(
     return whole.withColumn("text", T.code_style(text))
 
 
+def view_documents(
+    views: DataFrame,
+    tab_comments: DataFrame,
+    col_comments: DataFrame,
+    owner: str,
+    max_chars: int = MAX_DOCUMENT_CHARS,
+    part_rows: int = PART_ROWS,
+) -> DataFrame:
+    """Whole view definitions: the view, then its comments."""
+    base = views.where("object_type = 'VIEW'").select(
+        "object_name",
+        F.lit(0).alias("kind"),
+        _place().alias("place"),
+        T.canonical_view(F.col("ddl"), owner).alias("text"),
+        F.length("ddl").alias("chars"),
+    )
+    comments = table_comment_fragments(tab_comments, col_comments).select(
+        F.col("table_name").alias("object_name"),
+        F.lit(1).alias("kind"),
+        _comment_place().alias("place"),
+        "text",
+        "chars",
+    )
+    order = [F.col("kind"), F.col("place")]
+    whole = ordered_text(
+        base.unionByName(comments), ["object_name"], order, "text", max_chars, part_rows, opens_with=0, chars="chars"
+    )
+    return whole.withColumn("text", T.code_style(F.col("text")))
+
+
 def stored_definitions(corpus: DataFrame) -> DataFrame:
     """(path, text) of every object that has a stored file."""
     path = artifact_path(F.col("object_name"), F.col("object_type"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from ledgerframe.operators import definitions as D
+from ledgerframe.operators import impact as I
+from ledgerframe.plans import definitions as P
 from ledgerframe.suite import sqltext as S
 from ledgerframe.suite.registry import query
 
@@ -74,17 +76,22 @@ def _(v):
     return D.number_aware_order(names, "index_name")
 
 
-COMMENT_ROWS = f"""select table_name, 0 as rank, '' as letters, 0 as digit_count, '' as digits, '' as column_name, {S.CRLF} as text
-      from (select table_name from tab_comments where comments is not null union select table_name from col_comments where comments is not null)
-    union all select table_name, 1, '', 0, '', '', {S.CRLF} || {S.comment('table_name', None, 'comments')} from tab_comments where comments is not null
+def comment_rows(prefix: str = "") -> str:
+    tabs, cols = f"{prefix}tab_comments", f"{prefix}col_comments"
+    return f"""select table_name, 0 as rank, '' as letters, 0 as digit_count, '' as digits, '' as column_name, {S.CRLF} as text
+      from (select table_name from {tabs} where comments is not null union select table_name from {cols} where comments is not null)
+    union all select table_name, 1, '', 0, '', '', {S.CRLF} || {S.comment('table_name', None, 'comments')} from {tabs} where comments is not null
     union all select table_name, 2, {S.letters('column_name')}, length({S.digits('column_name')}), {S.digits('column_name')}, column_name,
-      {S.CRLF} || {S.comment('table_name', 'column_name', 'comments')} from col_comments where comments is not null"""
+      {S.CRLF} || {S.comment('table_name', 'column_name', 'comments')} from {cols} where comments is not null"""
+
+
+COMMENT_ORDER = "rank, letters, digit_count, digits, column_name"
 
 
 @query(
     "table_comment_text",
-    f"""select table_name, cast(0 as bigint) as part, string_agg(text, '' order by rank, letters, digit_count, digits, column_name) as text
-    from ({COMMENT_ROWS}) group by table_name""",
+    f"""select table_name, cast(0 as bigint) as part, string_agg(text, '' order by {COMMENT_ORDER}) as text
+    from ({comment_rows()}) group by table_name""",
 )
 def _(v):
     return D.table_comment_text(v("tab_comments"), v("col_comments"))
@@ -129,17 +136,22 @@ def _(v):
     return D.assemble_documents(v("fragments"), ROLES)
 
 
-@query(
-    "table_documents",
-    f"""with base as ({S.sorted_constraints(UNSORTED)}), idx as ({INDEX_TEXT}),
-    com as (select table_name, string_agg(text, '' order by rank, letters, digit_count, digits, column_name) as text from ({COMMENT_ROWS}) group by table_name),
+def table_doc_ctes(prefix: str = "") -> str:
+    return f"""base as ({S.sorted_constraints(UNSORTED)}), idx as ({INDEX_TEXT}),
+    com as (select table_name, string_agg(text, '' order by {COMMENT_ORDER}) as text from ({comment_rows(prefix)}) group by table_name),
     seq as (select table_name, string_agg({S.sequence_statement('ddl')}, '' order by sequence_name) as text from sequence_ddl
       where not contains(ddl, 'SEQ_BPD_ITEMS_UNIT_ID') group by table_name),
     trg as (select table_name, {S.CRLF} || string_agg({S.trigger_statement('ddl')}, '' order by lower(trigger_name), trigger_name) as text
       from trigger_ddl where trigger_name not like 'Z_%' group by table_name),
-    doc as (select object_name, concat(base.ddl, idx.text, com.text, seq.text, trg.text) as text from base left join idx on idx.table_name = object_name
-      left join com on com.table_name = object_name left join seq on seq.table_name = object_name left join trg on trg.table_name = object_name)
-    select object_name, cast(0 as bigint) as part, {S.code_style('text')} as text from doc""",
+    tdoc as (select object_name, concat(base.ddl, idx.text, com.text, seq.text, trg.text) as text from base left join idx on idx.table_name = object_name
+      left join com on com.table_name = object_name left join seq on seq.table_name = object_name left join trg on trg.table_name = object_name),
+    vdoc as (select object_name, concat({S.canonical_view('ddl')}, com.text) as text from ddl_corpus left join com on com.table_name = object_name
+      where object_type = 'VIEW' and not starts_with(upper(object_name), 'VX_'))"""
+
+
+@query(
+    "table_documents",
+    f"with {table_doc_ctes()} select object_name, cast(0 as bigint) as part, {S.code_style('text')} as text from tdoc",
 )
 def _(v):
     return D.table_documents(
@@ -153,6 +165,51 @@ def _(v):
     )
 
 
+@query(
+    "view_documents",
+    f"with {table_doc_ctes('all_')} select object_name, cast(0 as bigint) as part, {S.code_style('text')} as text from vdoc",
+)
+def _(v):
+    return D.view_documents(v("ddl_corpus"), v("all_tab_comments"), v("all_col_comments"), OWNER)
+
+
+ALL_FILES = f"""select 'tables/' || lower(object_name) || '.sql' as path, 'TABLE' as object_type, object_name, text from tdoc
+      union all select 'views/' || lower(object_name) || '.sql', 'VIEW', object_name, text from vdoc
+      union all select {S.artifact_path('object_name', 'object_type')}, object_type, object_name, {S.canonical_package('ddl')} from program_ddl"""
+
+
+def all_definitions(v, targets=None):
+    return P.definition_files(
+        v("ddl_corpus").unionByName(v("program_ddl")),
+        v("index_ddl"),
+        v("all_tab_comments"),
+        v("all_col_comments"),
+        v("sequence_ddl"),
+        v("trigger_ddl"),
+        OWNER,
+        targets,
+    )
+
+
+@query(
+    "definition_files",
+    f"with {table_doc_ctes('all_')} select path, cast(0 as bigint) as part, {S.code_style('text')} as text from ({ALL_FILES})",
+)
+def _(v):
+    return all_definitions(v)
+
+
+@query(
+    "regenerated_definitions",
+    f"""with {table_doc_ctes('all_')}, changed as (select distinct upper(object_name) as object_name, {S.catalogue_type('object_type')} as object_type
+      from ({S.changed()}))
+    select path, cast(0 as bigint) as part, {S.code_style('text')} as text from ({ALL_FILES}) f
+    where exists (select 1 from changed c where c.object_name = upper(f.object_name) and c.object_type = f.object_type)""",
+)
+def _(v):
+    return all_definitions(v, I.distinct_changed_objects(v("dir_scripts")))
+
+
 @query(
     "corpus_drift",
     f"""with s as (select {S.artifact_path('object_name', 'object_type')} as path, ddl from ({canonical_check('stored_ddl')})),

@@ -186,6 +186,17 @@ VIEWS["col_comments"] = """
 select concat('T', cast(p_partkey % 100 as string)) as table_name, concat('C', cast(p_partkey as string), p_type) as column_name,
   case when p_partkey % 3 <> 0 then p_name end as comments from part
 """
+# Comments on views as well as tables.
+VIEWS["all_col_comments"] = """
+select table_name, column_name, comments from col_comments
+union all
+select concat('V', cast(p_partkey % 100 as string)) as table_name, concat('C', cast(p_partkey as string), p_brand) as column_name, p_name as comments from part
+"""
+VIEWS["all_tab_comments"] = """
+select table_name, comments from tab_comments
+union all
+select concat('V', cast(s_suppkey as string)) as table_name, s_name as comments from supplier
+"""
 VIEWS["tab_comments"] = """
 select concat('T', cast(s_suppkey as string)) as table_name, case when s_suppkey % 4 <> 0 then s_name end as comments from supplier
 """
