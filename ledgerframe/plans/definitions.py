@@ -14,14 +14,14 @@ def chosen_objects(corpus: DataFrame, targets: DataFrame | None) -> DataFrame:
     """The part of a corpus that gets a file: not excluded and, if given, a target.
 
     Targets carry (object_name, object_type) in any case and in either spelling of the
-    type. Both sides are unique by object.
+    type. Both sides are unique by object. The list of targets is written, so that the
+    scripts it may come from are read once.
     """
     kept = corpus.where(~C.is_excluded(F.col("object_name"), F.col("object_type")))
     if targets is None:
         return kept
-    wanted = targets.select(
-        F.upper("object_name").alias("key_name"), C.catalogue_type(F.col("object_type")).alias("object_type")
-    ).distinct()
+    key_type = C.catalogue_type(F.col("object_type")).alias("object_type")
+    wanted = materialize(targets.select(F.upper("object_name").alias("key_name"), key_type).distinct(), "wanted")
     keyed = kept.withColumn("key_name", F.upper("object_name"))
     return keyed.join(wanted, ["key_name", "object_type"], "left_semi").select(*corpus.columns)
 
