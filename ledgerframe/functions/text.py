@@ -49,7 +49,8 @@ def phrase_pattern(types: list[str] | None = None) -> str:
 
 LINE_COMMENT = r"--[^\n\r\x{85}\x{2028}\x{2029}]*\r*\n"
 BLOCK_COMMENT = r"/\*[\s\S]*?\*/"
-QUOTE_OUTSIDE_TEXT = r"('[^']*'|--[^\n]*|/\*[\s\S]*?\*/)|" + '"'
+# Runs of ordinary characters are matched whole, which restarts the matcher less often.
+QUOTE_OUTSIDE_TEXT = r"([^\"'/-]+|'[^']*'|--[^\n]*|/\*[\s\S]*?\*/|[-/'])|" + '"'
 CONSTRAINT_START = r"(?:^|\n)\s*(?:PRIMARY KEY|CONSTRAINT)"
 BEFORE_CONSTRAINTS = r"^([\s\S]*?(?:^|\n))\s*(?:PRIMARY KEY|CONSTRAINT)"
 AFTER_CONSTRAINTS = r"^[\s\S]*(\n\s*\)[\s\S]*)\z"
@@ -137,9 +138,13 @@ def strip_editionable(ddl: Column) -> Column:
 
 def unquote_identifiers(ddl: Column) -> Column:
     """Drop identifier quotes outside literals and comments; keep reserved CASE quoted."""
-    bare = F.regexp_replace(ddl, QUOTE_OUTSIDE_TEXT, "$1")
-    bare = F.regexp_replace(bare, r"\bCASE,", '"CASE",')
-    return F.replace(bare, F.lit("(CASE)"), F.lit('("CASE")'))
+
+    def requoted(bare: Column) -> Column:
+        worded = F.regexp_replace(bare, r"\bCASE,", '"CASE",')
+        worded = F.when(bare.contains("CASE,"), worded).otherwise(bare)
+        return F.replace(worded, F.lit("(CASE)"), F.lit('("CASE")'))
+
+    return once(F.regexp_replace(ddl, QUOTE_OUTSIDE_TEXT, "$1"), requoted)
 
 
 def code_style(ddl: Column) -> Column:
@@ -174,9 +179,9 @@ def canonical_table(ddl: Column, owner: str) -> Column:
 
 def number_aware_parts(name: Column) -> dict[str, Column]:
     """Columns that sort names as people do: letters first, then the number in them."""
-    digits = F.regexp_replace(F.regexp_replace(name, r"\D", ""), "^0+", "")
+    digits = F.ltrim(F.regexp_replace(name, r"\D+", ""), F.lit("0"))
     return {
-        "letters": F.upper(F.regexp_replace(name, r"\d", "")),
+        "letters": F.upper(F.translate(name, "0123456789", "")),
         "digit_count": F.length(digits).cast("int"),
         "digits": digits,
     }
