@@ -149,6 +149,17 @@ def regenerate_scripts(files: DataFrame, sources: DataFrame, year: int, root: st
     return results[0].unionByName(results[1])
 
 
+def missing_sources(files: DataFrame, sources: DataFrame, root: str = "db") -> DataFrame:
+    """(change_id, package_name, is_rollback) of scripts that cannot be made for want of a spec."""
+    results = []
+    for rollback, edition in ((True, "before"), (False, "after")):
+        usable = sources.where((F.col("edition") == edition) & F.col("spec").isNotNull())
+        wanted = change_candidates(files, rollback, root).select("change_id", "package_name")
+        absent = wanted.join(usable.select("package_name"), "package_name", "left_anti")
+        results.append(absent.select("change_id", "package_name", F.lit(rollback).alias("is_rollback")))
+    return results[0].unionByName(results[1])
+
+
 def change_summary_by_set(files: DataFrame, sources: DataFrame, year: int, root: str = "db") -> DataFrame:
     """Per change set: scripts and rollbacks written, warnings, and whether to run."""
     written = (

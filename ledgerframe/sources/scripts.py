@@ -52,17 +52,27 @@ def read_corpus(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(root).select("path", "text")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as a URI, on the file system Spark itself would use for it."""
+    if "://" in path:
+        return path
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    uri = hadoop_path.makeQualified(system.getUri(), system.getWorkingDirectory()).toString()
+    return uri if "://" in uri else uri.replace(":/", ":///", 1)
+
+
 def write_files(documents: DataFrame, root: str) -> DataFrame:
     """Write each (path, text) row as its own file below ``root``; returns (path, bytes).
 
     Every task streams its own rows. A file is written under a temporary name and
     moved into place, so a retried or repeated task leaves one whole file.
     """
+    target = qualified(documents.sparkSession, root)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs as arrow_fs
 
-        target = root if "://" in root else f"file://{root}"
         system, base = arrow_fs.FileSystem.from_uri(target)
         made: set[str] = set()
         for batch in batches:

@@ -131,6 +131,13 @@ def test_change_summary(spark):
     assert got == {1: (1, 0, 1, True), 2: (0, 0, 0, False)}
 
 
+def test_missing_sources(spark):
+    rows = [(1, 0, "db/scripts/1_a_p.sql"), (1, 1, "db/scripts/1_a_p_rollback.sql"), (1, 2, "db/ddl/packages/p.sql")]
+    files = spark.createDataFrame(rows, "change_id bigint, pos bigint, filename string")
+    sources = spark.createDataFrame([("before", "p", "s", None), ("after", "p", None, "b")], "edition string, package_name string, spec string, body string")
+    assert [tuple(r) for r in X.missing_sources(files, sources).collect()] == [(1, "p", False)]
+
+
 def test_touch_counts_count_a_script_once(scripts):
     frame = scripts({"1_a.sql": "create table t (x); drop table t;", "2_b.sql": "alter table T add y;"})
     got = I.object_touch_counts(frame).collect()
