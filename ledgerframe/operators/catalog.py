@@ -146,15 +146,19 @@ def parent_by_sequence(
     """Every table of a sequence, with the number of tables it has."""
     asked = names.select("object_name").distinct().withColumn("sequence_name", F.upper("object_name"))
     pairs = table_sequences(dependencies, triggers)
-    # Slim, and read by the count as well as by the join with it: made once.
+    # Slim, and read by the count as well as by the join with it: made once. An inner
+    # join, so that a sequence with very many tables can be split on its own side.
     found = materialize(
-        asked.join(pairs, "sequence_name", "left").select("object_name", "table_name"), "sequence_owners"
+        pairs.join(asked, "sequence_name").select("object_name", "table_name"), "sequence_owners"
     )
-    counts = found.groupBy("object_name").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count("table_name").alias("n_tables")
+    counts = found.groupBy("object_name").agg(F.count(F.lit(1)).alias("n_tables"))
+    owned = join_counted(found, counts, ["object_name"], rows="n_tables", hot_rows=hot_rows)
+    absent = asked.join(counts, "object_name", "left_anti").select(
+        "object_name",
+        F.lit(None).cast("string").alias("table_name"),
+        F.lit(0).cast("bigint").alias("n_tables"),
     )
-    owned = join_counted(found, counts, ["object_name"], hot_rows=hot_rows)
-    return owned.select("object_name", "table_name", "n_tables")
+    return owned.select("object_name", "table_name", "n_tables").unionByName(absent)
 
 
 def index_sort_columns() -> dict[str, Column]:

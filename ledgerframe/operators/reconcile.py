@@ -66,7 +66,8 @@ def change_summary(directory: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def new_scripts(directory: DataFrame, registry: DataFrame) -> DataFrame:
-    return valid_scripts(directory).join(registry.select("name"), "name", "left_anti")
+    known = registry.select("name").distinct()
+    return valid_scripts(directory).join(known, "name", "left_anti")
 
 
 def deleted_names(directory: DataFrame, registry: DataFrame) -> DataFrame:
@@ -77,9 +78,14 @@ def deleted_names(directory: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def deleted_scripts(directory: DataFrame, registry: DataFrame) -> DataFrame:
-    """Registry rows, one per name, whose file is gone."""
-    missing = registry.join(valid_scripts(directory).select("name"), "name", "left_anti")
-    return read_registry(missing)
+    """Registry rows, one per name, whose file is gone.
+
+    Names are folded and compared first; rows are then fetched by name and id, a key no
+    repeated name makes heavy.
+    """
+    latest = read_registry(registry.select("script_id", "name"))
+    gone = latest.join(valid_scripts(directory).select("name"), "name", "left_anti")
+    return registry.join(gone, ["name", "script_id"], "left_semi")
 
 
 def _both(directory: DataFrame, registry: DataFrame) -> DataFrame:

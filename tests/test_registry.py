@@ -87,6 +87,18 @@ def test_read_registry_keeps_the_highest_id(spark):
     assert {(r.name, r.script_id, r.text) for r in got.collect()} == {("a", 3, "z"), ("b", 9, "w")}
 
 
+def test_repeated_names_count_once(scripts, spark):
+    rows = [(i, "5_hot.sql", f"t{i}", 0, 0) for i in range(30)] + [(99, "6_b.sql", "x", 0, 0)]
+    log = spark.createDataFrame(rows, "script_id bigint, name string, text string, type int, status int")
+    directory = scripts({"6_b.sql": "x", "7_c.sql": "y"})
+    assert [(r.name, r.script_id) for r in R.deleted_scripts(directory, log).collect()] == [("5_hot.sql", 29)]
+    assert names(R.new_scripts(directory, log)) == {"7_c.sql"}
+    assert {r.name: r.change for r in R.reconcile(directory, log).collect()} == {
+        "5_hot.sql": "deleted", "6_b.sql": "unchanged", "7_c.sql": "new",
+    }
+    assert names(P.next_registry(directory, log, P.SKIP, True)) == {"6_b.sql", "7_c.sql"}
+
+
 def test_read_registry_combines_before_the_shuffle(spark):
     rows = spark.range(0, 20000, 1, 4).selectExpr(
         "id as script_id", "if(id % 3 = 0, 'hot', concat('n', id)) as name", "'t' as text"
