@@ -44,6 +44,14 @@ def latest(versions: DataFrame) -> DataFrame:
     return read_registry(versions, version="version").drop("version")
 
 
+def compact_registry(spark: SparkSession, root: str, new_root: str) -> None:
+    """Fold all versions into version 0 of a new root, between two runs of the stream.
+
+    The stream goes on with the new root and its old checkpoint; batch numbers rise on.
+    """
+    write_version(latest(registry_versions(spark, root)).select(*REGISTRY_FIELDS), new_root, 0)
+
+
 def absorb_scripts(batch: DataFrame, versions: DataFrame) -> DataFrame:
     """Registry rows a batch of arriving scripts adds or changes.
 

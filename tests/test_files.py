@@ -84,6 +84,21 @@ def test_script_stream_equals_batch(spark, registry):
     assert Z.registry_versions(spark, root).where("version = 2").count() == 1
 
 
+def test_stream_goes_on_after_compaction(spark, registry):
+    arrivals, old, new, progress = (fresh_path(spark, n) for n in ("arrivals", "old", "new", "progress"))
+    Z.seed_registry(registry({"1_a.sql": "a", "2_b.sql": "b"}), old)
+    for root, items in ((old, {"1_a.sql": "a2", "3_c.sql": "c"}), (new, {"3_c.sql": "c2", "2_b.sql": "b"})):
+        if root == new:
+            Z.compact_registry(spark, old, new)
+        spark.createDataFrame(list(items.items()), "name string, text string").write.mode("append").parquet(arrivals)
+        stream = spark.readStream.schema("name string, text string").parquet(arrivals)
+        Z.reconcile_stream(stream, root, progress).awaitTermination()
+    got = {r.name: r.text for r in Z.latest(Z.registry_versions(spark, new)).collect()}
+    assert got == {"1_a.sql": "a2", "2_b.sql": "b", "3_c.sql": "c2"}
+    versions = {r.version for r in Z.registry_versions(spark, new).select("version").distinct().collect()}
+    assert versions == {0, 2}
+
+
 def test_repeated_batch_changes_nothing(spark, registry, scripts):
     root = fresh_path(spark, "registry")
     Z.seed_registry(registry({"1_a.sql": "old"}), root)
