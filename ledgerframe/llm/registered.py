@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerframe.llm import byte_bpe, language_id, packing, sharding, token_counts, url_filter
+from ledgerframe.llm import byte_bpe, language_id, packing, quality_rules, sharding, token_counts, url_filter
+from ledgerframe.session import materialize
 
 URL_RULES = ["allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/"]
 #: Words of host names that put a host of the corpus on the block list.
@@ -58,6 +59,17 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document, whether it fails the base, and the verdict of the weighted votes."""
+    counts = quality_rules.counted(table(spark, sf_dir, "documents"), "doc_id")
+    judged = materialize(counts.withColumns(quality_rules.votes()), "votes")
+    quality = quality_rules.posterior(quality_rules.fit(judged))
+    failed = quality_rules.base_failed()
+    named = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    kept = ~failed & (quality >= quality_rules.THRESHOLD)
+    return judged.select(*named, failed.alias("base_failed"), kept.alias("kept"), quality.alias("quality"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -95,6 +107,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op3_token_counts": op3_token_counts,
+    "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
     "op8_sharding": op8_sharding,
