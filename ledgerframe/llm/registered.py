@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerframe.llm import byte_bpe, language_id, packing, quality_rules, sharding, suffix_dedup, token_counts, url_filter
+from ledgerframe.llm import byte_bpe, language_id, near_dedup, packing, quality_rules, sharding, suffix_dedup, token_counts, url_filter
 from ledgerframe.session import materialize
 
 URL_RULES = ["allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/"]
@@ -117,6 +117,13 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of near duplicates, named by its least doc_id."""
+    classes = near_dedup.near_classes(table(spark, sf_dir, "documents"))
+    names = classes.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    return classes.join(names, "class").select("doc_id", "class_id", "class_size")
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -126,6 +133,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op8_sharding": op8_sharding,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 
