@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerframe.llm import byte_bpe, language_id, near_dedup, packing, quality_rules, sharding, suffix_dedup, token_counts, url_filter
+from ledgerframe.llm import byte_bpe, fingerprints, language_id, near_dedup, packing, quality_rules, sharding, suffix_dedup, token_counts, url_filter
 from ledgerframe.session import materialize
 
 URL_RULES = ["allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/"]
@@ -97,6 +97,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.withColumn("held_out", F.coalesce(fold == 0, F.lit(False)))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard by the first version of the slot map."""
     records = sharding.sized(table(spark, sf_dir, "documents"))
@@ -131,6 +135,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
+    "op7_fingerprints": op7_fingerprints,
     "op8_sharding": op8_sharding,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_near_dedup": op10_near_dedup,
