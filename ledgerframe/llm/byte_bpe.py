@@ -24,7 +24,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from ledgerframe.llm.common import byte_batches, column_of, texts
+from ledgerframe.llm.common import Recent, byte_batches, column_of, texts
 from ledgerframe.llm.packing import pieces_of
 
 KEPT, KEPT_CHARS = 400_000, 48
@@ -119,7 +119,7 @@ class Codec:
         self.whole = PerfectHash(listed)
         self.rank_at = [self.ranks[token] for token in listed]
         self.pattern = regex.compile(pattern)
-        self.known: dict[str, bytes] = {"": b""}
+        self.known = Recent(KEPT, KEPT_CHARS)
         size = max(self.ranks.values()) + 1
         by_rank = [b""] * size
         for token, rank in self.ranks.items():
@@ -143,15 +143,10 @@ class Codec:
     def encode(self, rows: list[str]) -> list[bytes]:
         """Packed ranks of each text."""
         cut = [pieces_of(row) for row in rows]
-        fresh = list(set().union(*cut).difference(self.known))
-        for piece in fresh:
-            self.known[piece] = self.piece(piece)
-        found = [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
-        for piece in fresh:
-            if len(piece) > KEPT_CHARS:
-                del self.known[piece]
-        if len(self.known) > KEPT:
-            self.known = {"": b""}
+        fresh = self.known.unknown(set().union(*cut))
+        self.known.now.update((piece, self.piece(piece)) for piece in fresh)
+        found = [b"".join(map(self.known.now.__getitem__, pieces)) for pieces in cut]
+        self.known.trim(fresh)
         return found
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

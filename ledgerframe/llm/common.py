@@ -83,3 +83,28 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if data is None:
         return np.zeros(0, np.uint8), borders - borders[0]
     return np.frombuffer(data, np.uint8)[borders[0] : borders[-1]], borders - borders[0]
+
+
+class Recent:
+    """Results by piece of text, of bounded number: two generations, of which the older is
+    forgotten when the younger is full. What is used again moves to the younger."""
+
+    def __init__(self, limit: int, longest: int):
+        self.limit, self.longest = limit, longest
+        self.now: dict = {}
+        self.before: dict = {}
+
+    def unknown(self, pieces: set[str]) -> list[str]:
+        """The pieces without a result; those of the older generation are taken over."""
+        fresh = pieces.difference(self.now)
+        known = fresh.intersection(self.before)
+        self.now.update((piece, self.before[piece]) for piece in known)
+        return list(fresh.difference(known))
+
+    def trim(self, fresh: list[str]) -> None:
+        """Drops the long ones of the fresh pieces, and starts a generation if this one is full."""
+        for piece in fresh:
+            if len(piece) > self.longest:
+                del self.now[piece]
+        if len(self.now) > self.limit:
+            self.before, self.now = self.now, {}

@@ -110,7 +110,8 @@ def scores(model: Model, rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def predicted(docs: DataFrame, model: Model | None, *more: str) -> DataFrame:
     """doc_id, lang_pred and score of every text, with further columns of ``docs`` by name."""
-    rows = docs.select("doc_id", *more, "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_known"))
+    named = ["doc_id", *(c for c in more if c != "text"), "text"]
+    rows = docs.select(*named, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_known"))
     if model is None:
         return rows.select("doc_id", *more, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -123,7 +124,7 @@ def predicted(docs: DataFrame, model: Model | None, *more: str) -> DataFrame:
             if kept.any():
                 best, sure = scores(shared.value, text.filter(pa.array(kept)).to_pylist())
                 lang[kept], value[kept] = np.array(shared.value.languages, object)[best], sure
-            own = [batch.column(i) for i in range(1 + len(more))]
+            own = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", *more)]
             yield pa.RecordBatch.from_arrays([*own, pa.array(lang, pa.string()), pa.array(value)], names=["doc_id", *more, "lang_pred", "score"])
 
     schema = ", ".join([*(column_of(docs, c) for c in ("doc_id", *more)), "lang_pred string, score double"])

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerframe.llm.common import byte_batches, column_of, texts
+from ledgerframe.llm.common import Recent, byte_batches, column_of, texts
 from ledgerframe.llm.token_counts import KEPT, KEPT_CHARS, encoded_in_calls, id_type
 
 LENGTH = 2048
@@ -43,23 +43,18 @@ def pieces_of(text: str) -> list[str]:
 
 
 @cache
-def _known(path: str) -> dict[str, bytes]:
-    return {"": b""}
+def _known(path: str) -> Recent:
+    return Recent(KEPT, KEPT_CHARS)
 
 
 def encode_batch(path: str, rows: list[str]) -> list[bytes]:
     """The ids of each text as the library gives them, packed; distinct pieces are encoded once."""
     known = _known(path)
     cut = [pieces_of(row) for row in rows]
-    fresh = list(set().union(*cut).difference(known))
-    known.update(encoded_in_calls(path, fresh))
-    found = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
-    for piece in fresh:
-        if len(piece) > KEPT_CHARS:
-            del known[piece]
-    if len(known) > KEPT // 2:
-        known.clear()
-        known[""] = b""
+    fresh = known.unknown(set().union(*cut))
+    known.now.update(encoded_in_calls(path, fresh))
+    found = [b"".join(map(known.now.__getitem__, pieces)) for pieces in cut]
+    known.trim(fresh)
     return found
 
 

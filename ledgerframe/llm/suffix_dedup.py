@@ -391,9 +391,22 @@ def joined_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.nda
     return start[first], reach[np.append(first[1:], len(start)) - 1] if len(first) else reach[:0]
 
 
-def without_repeats(docs: DataFrame, *more: str) -> DataFrame:
+def whole_characters(text: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans without the characters of which they have a part only."""
+
+    def inside(at: np.ndarray) -> np.ndarray:
+        return np.array([i < len(text) and text[i] & 0xC0 == 0x80 for i in at.tolist()], bool)
+
+    for _ in range(3):
+        start, end = start + inside(start), end - inside(end)
+    kept = start < end
+    return start[kept], end[kept]
+
+
+def without_repeats(docs: DataFrame, *more: str, whole_chars: bool = False) -> DataFrame:
     """doc_id, bytes (of the text without what earlier documents have), n_bytes, spans (maximal
-    removed runs, in order), with further columns of ``docs`` by name."""
+    removed runs, in order), with further columns of ``docs`` by name. With ``whole_chars`` the
+    bytes are text again: characters that only a part would be removed of stay."""
     rows = keyed(docs, *more)
     both = rows.join(repeats(rows), "row", "left").select("doc_id", *more, "text", "spans")
 
@@ -409,6 +422,8 @@ def without_repeats(docs: DataFrame, *more: str) -> DataFrame:
                     continue
                 pairs = spans[i].values
                 start, end = joined_spans(pairs.field(0).to_numpy(), pairs.field(1).to_numpy())
+                if whole_chars:
+                    start, end = whole_characters(text, start, end)
                 borders = np.concatenate([[0], np.stack([start, end], axis=1).ravel(), [len(text)]]).tolist()
                 kept.append(b"".join(text[a:b] for a, b in zip(borders[::2], borders[1::2], strict=True)))
                 runs.append([{"start": a, "end": b} for a, b in zip(start.tolist(), end.tolist(), strict=True)])

@@ -18,10 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ledgerframe.llm.common import byte_batches, column_of, texts
+from ledgerframe.llm.common import Recent, byte_batches, column_of, texts
 
-#: Pieces kept per worker, and the longest piece kept.
-KEPT, KEPT_CHARS = 1_000_000, 48
+#: Pieces kept per worker and generation, and the longest piece kept.
+KEPT, KEPT_CHARS = 500_000, 48
 #: Characters per call of the library.
 CALL_CHARS = 1 << 18
 #: The cuts: blanks that the tokenizer treats as blanks as well.
@@ -48,8 +48,8 @@ def id_type(path: str) -> np.dtype:
 
 
 @cache
-def _known(path: str) -> dict[str, int]:
-    return {"": 0}
+def _known(path: str) -> Recent:
+    return Recent(KEPT, KEPT_CHARS)
 
 
 @cache
@@ -85,19 +85,12 @@ def encoded_in_calls(path: str, pieces: list[str]):
 
 def count_batch(path: str, rows: list[str]) -> list[int]:
     """Tokens of each text."""
-    known = _known(path)
+    known, width = _known(path), id_type(path).itemsize
     cut = [row.translate(CUTS).split(" ") for row in rows]
-    fresh = list(set().union(*cut).difference(known))
-    width = id_type(path).itemsize
-    for piece, packed in encoded_in_calls(path, fresh):
-        known[piece] = len(packed) // width
-    counts = [sum(map(known.__getitem__, pieces)) for pieces in cut]
-    for piece in fresh:
-        if len(piece) > KEPT_CHARS:
-            del known[piece]
-    if len(known) > KEPT:
-        known.clear()
-        known[""] = 0
+    fresh = known.unknown(set().union(*cut))
+    known.now.update((piece, len(packed) // width) for piece, packed in encoded_in_calls(path, fresh))
+    counts = [sum(map(known.now.__getitem__, pieces)) for pieces in cut]
+    known.trim(fresh)
     return counts
 
 
