@@ -4,7 +4,7 @@ Documents are dealt into random groups by a hash, as many groups as keep them at
 ``GROUP_DOCS`` documents, and every group is packed on its own. Whole lengths are cut off a
 document first; its rest is placed by first-fit decreasing, where a tournament tree of free
 capacities finds the first sequence that has room. Then the rests in the emptiest sequences
-are cut to fill the gaps of the others, so that a group pads one sequence at most.
+are cut to fill the gaps of the others, so that a group pads less than one sequence.
 
 Defined results: a null or empty text is the end id alone. Rows are packed one by one, so a
 repeated row is packed as often as it occurs. An empty table gives an empty result. A text

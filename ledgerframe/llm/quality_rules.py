@@ -38,7 +38,7 @@ def counted(docs: DataFrame, *keep: str) -> DataFrame:
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_exclaimed", "n_shouted"]
     kept = [c for c in keep or docs.columns if c.lower() not in names]
     held = docs.select(F.struct(*kept).alias("_doc"), F.coalesce("text", F.lit("")).alias("_text"))
-    trimmed = F.expr(r"btrim(_text, ' \t\n\u000B\f\r')")
+    trimmed = F.expr(r"btrim(_text, ' \t\n\u000B\u000C\r')")
     split = _bound(
         held,
         _words=F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, BLANKS + "+")),
