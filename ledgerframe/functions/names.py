@@ -37,9 +37,9 @@ def extension(name: Column) -> Column:
 
 
 def order_number(name: Column) -> Column:
-    """Leading number of the name; null when absent or beyond 32 bits."""
+    """Leading number of the name; null when absent or beyond 38 digits."""
     digits = F.regexp_extract(name, r"^([0-9]+)(?:_|\z)", 1)
-    return F.when(digits != "", digits.try_cast("int"))
+    return F.when(digits != "", digits.try_cast("decimal(38,0)"))
 
 
 def is_valid_name(name: Column) -> Column:

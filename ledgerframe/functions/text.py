@@ -252,7 +252,7 @@ def trigger_statement(ddl: Column, owner: str) -> Column:
 
 
 def comment_statement(table: Column, column: Column | None, comment: Column) -> Column:
-    """One-line COMMENT statement with the literal's quotes doubled."""
+    """COMMENT statement with the literal's quotes doubled; of a table's columns on one line."""
     target = F.concat(F.lit('TABLE "'), table, F.lit('"'))
     if column is not None:
         target = F.concat(F.lit('COLUMN "'), table, F.lit('"."'), column, F.lit('"'))

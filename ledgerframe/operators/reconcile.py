@@ -22,6 +22,12 @@ def valid_scripts(scripts: DataFrame) -> DataFrame:
     return scripts.where(N.is_valid_name(F.col("name")))
 
 
+def quarantined_scripts(scripts: DataFrame) -> DataFrame:
+    """Valid scripts that have no place in the order, with the reason: they must not run."""
+    odd = valid_scripts(scripts).where(N.order_number(F.col("name")).isNull())
+    return odd.withColumn("reason", F.lit("order number out of range"))
+
+
 def development_scripts(scripts: DataFrame) -> DataFrame:
     return scripts.where(N.order_number(F.col("name")) < N.DEVELOPMENT_LIMIT)
 

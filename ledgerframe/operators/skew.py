@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerframe.session import materialize
@@ -14,9 +14,8 @@ from ledgerframe.session import materialize
 # 10^12 rows can have 200,000 of them.
 HOT_ROWS = 5_000_000
 
-# A document longer than this is returned in parts. The list of such documents
-# has at most (total characters / MAX_DOCUMENT_CHARS) entries: 100 TB of text
-# can have 1.6 million keys.
+# A part of a document holds fragments that start within so many characters, and so many
+# fragments, of each other. The borders depend on the places of the fragments alone.
 MAX_DOCUMENT_CHARS = 64 << 20
 PART_ROWS = 1 << 16
 
@@ -56,26 +55,27 @@ def ordered_text(
 ) -> DataFrame:
     """Concatenate the fragments of each key in order: (keys, part, text).
 
-    A document of at most ``max_chars`` characters is one row with part 0. A longer
-    one is returned whole in several rows whose parts, taken in ascending order,
-    spell it: its fragments are range-partitioned by (key, order) and cut into runs
-    of at most ``part_rows`` (a power of two) that also hold ``max_chars`` characters
-    at most, so no task gathers more than one run. Null texts add nothing. With ``opens_with``, documents
-    whose lowest value of the first order column is another one are left out. A
-    ``chars`` column with the approximate length of each text saves making the text
-    in the pass that finds long documents.
+    A fragment's part follows from its place in the document alone: the characters in front of
+    it over ``max_chars``, plus the fragments in front of it over ``part_rows``. The parts of a
+    document, in ascending order, spell it; most documents have part 0 only. Null texts add
+    nothing. With ``opens_with``, documents whose lowest value of the first order column is
+    another one are left out. A ``chars`` column with the approximate length of each text
+    saves making the text in the pass that finds documents of several parts.
+
+    Documents that have one part by that rule are gathered by key. The fragments of the others
+    are range-partitioned, and places are counted within partitions and then across them, so
+    that no task gathers more than a part.
     """
     places = [c.alias(f"o{i}") for i, c in enumerate(order)]
-    length = F.length(text) if chars is None else F.col(chars)
+    length = F.coalesce((F.length(text) if chars is None else F.col(chars)).cast("bigint"), F.lit(0))
     sizes = (
-        fragments.select(*keys, order[0].alias("o0"), length.cast("bigint").alias("n"))
+        fragments.select(*keys, order[0].alias("o0"), length.alias("n"))
         .groupBy(*keys)
-        .agg(F.sum("n").alias("chars"), F.max("n").alias("longest"), F.min("o0").alias("opening"))
+        .agg(F.sum("n").alias("chars"), F.count(F.lit(1)).alias("rows"), F.min("o0").alias("opening"))
     )
-    # At most (total characters / max_chars) keys, found once and written: what is
-    # broadcast below has a known size, and usually there is nothing to broadcast.
-    large = materialize(sizes.where(F.col("chars") > max_chars).drop("chars"), "large")
-    pieces = fragments.select(*keys, F.struct(*places, F.col(text).alias("text")).alias("piece"))
+    # Slim and written, so that Spark knows its size and picks the joins below.
+    several = materialize(sizes.where((F.col("chars") >= max_chars) | (F.col("rows") > part_rows)), "several")
+    pieces = fragments.select(*keys, length.alias("n"), F.struct(*places, F.col(text).alias("text")).alias("piece"))
     columns = [*keys, "part", "text"]
 
     def spelled(frame: DataFrame, by: list[str]) -> DataFrame:
@@ -85,22 +85,41 @@ def ordered_text(
         joined = F.array_join(F.transform("pieces", lambda p: p["text"]), "")
         return gathered.select(*by, joined.alias("text"))
 
-    longest = large.agg(F.max("longest")).first()[0]
-    if longest is None:
-        return spelled(pieces, keys).withColumn("part", F.lit(0).cast("bigint")).select(columns)
-    part_rows = min(part_rows, 1 << (max(1, max_chars // max(1, longest)).bit_length() - 1))
-    small = pieces.join(F.broadcast(large), keys, "left_anti")
-    whole = spelled(small, keys).withColumn("part", F.lit(0).cast("bigint")).select(columns)
-    wanted = large if opens_with is None else large.where(F.col("opening") == opens_with)
+    def whole(frame: DataFrame) -> DataFrame:
+        return spelled(frame, keys).withColumn("part", F.lit(0).cast("bigint")).select(columns)
+
+    if several.isEmpty():
+        return whole(pieces)
+    wanted = several if opens_with is None else several.where(F.col("opening") == opens_with)
+    parted = _parted(pieces.join(wanted.select(*keys), keys, "left_semi"), keys, len(order), max_chars, part_rows)
+    return whole(pieces.join(several, keys, "left_anti")).unionByName(spelled(parted, [*keys, "part"]).select(columns))
+
+
+def _parted(pieces: DataFrame, keys: list[str], width: int, max_chars: int, part_rows: int) -> DataFrame:
+    """The pieces with the part that each belongs to."""
     ranged = (
-        pieces.join(F.broadcast(wanted), keys, "left_semi")
-        .repartitionByRange(*keys, *[F.col(f"piece.o{i}") for i in range(len(order))])
+        pieces.repartitionByRange(*keys, *[F.col(f"piece.o{i}") for i in range(width)])
         .sortWithinPartitions(*keys, "piece")
-        # Ids rise along the sort order and step to a new block at each partition,
-        # so their quotients number bounded, ordered runs.
-        .withColumn("part", (F.monotonically_increasing_id() / part_rows).cast("bigint"))
+        .withColumn("at", F.monotonically_increasing_id())
+        .withColumn("stretch", F.shiftright("at", 33))
+    )
+    # Written, as the places must not change when a task is run again.
+    ranged = materialize(ranged, "ranged")
+    # A window's group is what one partition has of a key, or one row per partition.
+    inside = Window.partitionBy("stretch", *keys).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(*keys).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0)
+    stretches = ranged.groupBy("stretch", *keys).agg(F.sum("n").alias("chars"), F.count(F.lit(1)).alias("rows"))
+    before = stretches.select(
+        "stretch",
+        *keys,
+        F.coalesce(F.sum("chars").over(across), zero).alias("chars_before"),
+        F.coalesce(F.sum("rows").over(across), zero).alias("rows_before"),
     )
-    return whole.unionByName(spelled(ranged, [*keys, "part"]).select(columns))
+    chars = F.col("chars_before") + F.coalesce(F.sum("n").over(inside), zero)
+    rows = F.col("rows_before") + F.count(F.lit(1)).over(inside)
+    part = F.floor(chars / max_chars) + F.floor(rows / part_rows)
+    return ranged.join(before, ["stretch", *keys]).withColumn("part", part.cast("bigint"))
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

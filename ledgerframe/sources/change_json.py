@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHANGE_SET_SCHEMA = """
@@ -11,30 +11,50 @@ CHANGE_SET_SCHEMA = """
     files array<struct<filename: string>>
 """
 RESULT_SCHEMA = """
-    should_run boolean, scripts_written int, rollback_scripts_written int,
+    {run_flag} boolean, scripts_written int, rollback_scripts_written int,
     warnings array<string>, error string
 """
+MALFORMED = "malformed JSON"
 
 
-def read_change_set_result(frame: DataFrame, json: str = "json", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Result fields with their defaults: false, 0, 0, no warnings, no error."""
-    r = F.from_json(json, RESULT_SCHEMA)
-    return frame.select(*keep, r.alias("r")).select(
+def read_change_set_result(
+    frame: DataFrame, json: str = "json", keep: tuple[str, ...] = (), run_flag: str = "should_run"
+) -> DataFrame:
+    """Result fields with their defaults: false, 0, 0, no warnings, no error.
+
+    ``run_flag`` is the key under which a result says whether to run. A malformed result
+    says so in ``error``; it never reads as a success.
+    """
+    r = F.from_json(json, RESULT_SCHEMA.format(run_flag=f"`{run_flag}`"))
+    return frame.select(*keep, r.alias("r"), is_malformed(F.col(json)).alias("bad")).select(
         *keep,
-        F.coalesce("r.should_run", F.lit(False)).alias("should_run"),
+        F.coalesce(F.col("r").getField(run_flag), F.lit(False)).alias("should_run"),
         F.coalesce("r.scripts_written", F.lit(0)).alias("scripts_written"),
         F.coalesce("r.rollback_scripts_written", F.lit(0)).alias("rollback_scripts_written"),
         F.coalesce("r.warnings", F.array().cast("array<string>")).alias("warnings"),
-        F.col("r.error").alias("error"),
+        F.when(F.col("bad"), F.lit(MALFORMED)).otherwise(F.col("r.error")).alias("error"),
     )
 
 
+def is_malformed(json: Column) -> Column:
+    """Is the text no JSON object? Null counts as malformed."""
+    return F.coalesce(F.json_object_keys(json).isNull(), F.lit(True))
+
+
+def rejected_documents(frame: DataFrame, json: str = "json") -> DataFrame:
+    """The rows whose JSON can't be read, whole, with the reason."""
+    return frame.where(is_malformed(F.col(json))).withColumn("reason", F.lit(MALFORMED))
+
+
 def _parsed(frame: DataFrame, json: str) -> DataFrame:
     return frame.select("change_id", F.from_json(json, CHANGE_SET_SCHEMA).alias("c"))
 
 
 def read_change_files(frame: DataFrame, json: str = "json") -> DataFrame:
-    """(change_id, pos, filename) of all files; no page limit."""
+    """(change_id, pos, filename) of all files; no page limit.
+
+    Documents that can't be read are those of ``rejected_documents``.
+    """
     rows = _parsed(frame, json).select("change_id", F.posexplode("c.files").alias("pos", "file"))
     return rows.select("change_id", F.col("pos").cast("bigint").alias("pos"), F.coalesce("file.filename", F.lit("")).alias("filename"))
 
@@ -51,4 +71,5 @@ def read_change_commits(frame: DataFrame, json: str = "json") -> DataFrame:
 
 
 def read_change_heads(frame: DataFrame, json: str = "json") -> DataFrame:
+    """(change_id, head_branch) of every document; the branch of one that can't be read is null."""
     return _parsed(frame, json).select("change_id", F.col("c.head.ref").alias("head_branch"))

@@ -23,33 +23,48 @@ def read_script_listing(spark: SparkSession, path: str) -> DataFrame:
 def read_scripts(spark: SparkSession, path: str, bundled: DataFrame | None = None) -> DataFrame:
     """(name, text, ts) of every ``*.sql`` file directly in a folder, as UTF-8.
 
-    Content is pruned from the scan when only names are selected. When ``bundled``
-    scripts exist they are used instead of the folder. Spark's file scans pass over
-    files of length zero, so an empty script is not seen.
+    Content is pruned from the scan when only names are selected. Bytes that are not UTF-8
+    become U+FFFD. When ``bundled`` scripts exist they are used instead of the folder.
     """
     if bundled is not None and not bundled.isEmpty():
         return bundled.select("name", "text", "ts")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sql").load(path)
-    return files.select(
+    read = files.where("length > 0").select(
         file_name(F.col("path")).alias("name"),
-        F.decode("content", "UTF-8").alias("text"),
+        F.make_valid_utf8(F.col("content").cast("string")).alias("text"),
         F.col("modificationTime").alias("ts"),
     )
+    return read.unionByName(empty_scripts(spark, path))
+
+
+def empty_scripts(spark: SparkSession, path: str) -> DataFrame:
+    """(name, text, ts) of the scripts of length zero, which file scans pass over.
+
+    They come from the folder's listing, which Spark makes on the driver for a scan anyway.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, "*.sql")) or []
+    rows = [(s.getPath().getName(), "", s.getModificationTime()) for s in found if s.isFile() and s.getLen() == 0]
+    frame = spark.createDataFrame(rows, "name string, text string, ms bigint")
+    return frame.select("name", "text", F.timestamp_millis("ms").alias("ts"))
 
 
 def write_corpus(documents: DataFrame, root: str, mode: str = "overwrite") -> None:
-    """Write (path, text) as parquet, one folder per directory of the paths.
+    """Write (path, text), and part if there is one, as parquet, one folder per directory of the paths.
 
     Rows are written where they are, without a shuffle, so a directory that has most
     of the documents is written by all tasks.
     """
     folder = F.regexp_replace("path", r"/?[^/]*\z", "")
-    placed = documents.select("path", "text", folder.alias("directory"))
+    part = [c for c in documents.columns if c == "part"]
+    placed = documents.select("path", *part, "text", folder.alias("directory"))
     placed.write.mode(mode).partitionBy("directory").parquet(root)
 
 
 def read_corpus(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(root).select("path", "text")
+    """What ``write_corpus`` wrote, without the folders."""
+    return spark.read.parquet(root).drop("directory")
 
 
 def qualified(spark: SparkSession, path: str) -> str:
@@ -63,32 +78,49 @@ def qualified(spark: SparkSession, path: str) -> str:
 
 
 def write_files(documents: DataFrame, root: str) -> DataFrame:
-    """Write each (path, text) row as its own file below ``root``; returns (path, bytes).
+    """Write each document as its own file below ``root``; returns (path, bytes).
 
-    Every task streams its own rows. A file is written under a temporary name and
-    moved into place, so a retried or repeated task leaves one whole file.
+    Without a ``part`` column a row is a document. With one, the rows of a path are its
+    parts: they are brought together by path and appended in the order of the parts, one
+    after the other. A file is written under a temporary name and moved into place, so a
+    retried or repeated task leaves one whole file.
     """
     target = qualified(documents.sparkSession, root)
+    parted = "part" in documents.columns
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs as arrow_fs
 
         system, base = arrow_fs.FileSystem.from_uri(target)
         made: set[str] = set()
+        path = out = draft = None
+        size, done = 0, []
+
+        def close():
+            if out is not None:
+                out.close()
+                system.move(draft, posixpath.join(base, path))
+                done.append((path, size))
+
         for batch in batches:
-            sizes = []
-            for path, text in zip(batch["path"], batch["text"], strict=True):
-                full = posixpath.join(base, path)
-                folder = posixpath.dirname(full)
-                if folder not in made:
-                    system.create_dir(folder, recursive=True)
-                    made.add(folder)
+            for name, text in zip(batch["path"], batch["text"], strict=True):
+                if out is None or not parted or name != path:
+                    close()
+                    folder = posixpath.dirname(posixpath.join(base, name))
+                    if folder not in made:
+                        system.create_dir(folder, recursive=True)
+                        made.add(folder)
+                    path, size, draft = name, 0, f"{folder}/.{uuid.uuid4().hex}.tmp"
+                    out = system.open_output_stream(draft)
                 data = (text or "").encode("utf-8")
-                draft = f"{folder}/.{uuid.uuid4().hex}.tmp"
-                with system.open_output_stream(draft) as out:
-                    out.write(data)
-                system.move(draft, full)
-                sizes.append(len(data))
-            yield pd.DataFrame({"path": batch["path"], "bytes": sizes})
-
-    return documents.select("path", "text").mapInPandas(write, "path string, bytes bigint")
+                out.write(data)
+                size += len(data)
+            yield pd.DataFrame(done, columns=["path", "bytes"])
+            done.clear()
+        close()
+        yield pd.DataFrame(done, columns=["path", "bytes"])
+
+    rows = documents.select("path", "text")
+    if parted:
+        rows = documents.repartition("path").sortWithinPartitions("path", "part").select("path", "text")
+    return rows.mapInPandas(write, "path string, bytes bigint")

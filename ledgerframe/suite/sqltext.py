@@ -20,7 +20,7 @@ def valid(n: str) -> str:
 
 
 def order_number(n: str) -> str:
-    return f"try_cast(nullif(regexp_extract({n}, '^([0-9]+)(_|$)', 1), '') as int)"
+    return f"try_cast(nullif(regexp_extract({n}, '^([0-9]+)(_|$)', 1), '') as decimal(38,0))"
 
 
 def type_(n: str) -> str:

@@ -33,7 +33,7 @@ EXAMPLES = [
     (N.order_number, "12.sql", None),
     (N.order_number, "_a.sql", None),
     (N.order_number, "x1_a.sql", None),
-    (N.order_number, "2147483648_a.sql", None),
+    (N.order_number, "2147483648_a.sql", 2147483648),
     (N.execution_band, "001_x.sql", N.COMMON_BAND),
     (N.execution_band, "99_x.sql", N.UNDER_HUNDRED_BAND),
 ]
