@@ -1,6 +1,7 @@
 """Queries over the object catalogue.
 
-Lookups take a frame of requested names. Requests are made distinct first, so a
+A catalogue holds the objects of many owners; operators that go by an object's name alone take
+the owner and look at nothing else. Lookups take a frame of requested names. Requests are made distinct first, so a
 name asked for millions of times is one row before it reaches a join.
 """
 
@@ -59,27 +60,31 @@ def catalogue_type(object_type: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), object_type), object_type)
 
 
-def list_objects(objects: DataFrame) -> DataFrame:
-    """Objects that have a stored definition; ``_`` is a wildcard in the patterns."""
+def of_owner(objects: DataFrame, owner: str) -> DataFrame:
+    return objects.where(F.col("owner") == owner)
+
+
+def list_objects(objects: DataFrame, owner: str) -> DataFrame:
+    """The owner's objects that have a stored definition; ``_`` is a wildcard in the patterns."""
     kind, name = F.col("object_type"), F.col("object_name")
     own = F.col("generated") == "N"
     table = (kind == "TABLE") & own & ~name.like("Z_%") & ~name.like("%_OLD")
     always = kind.isin("VIEW", "PACKAGE", "PACKAGE BODY", "TRIGGER")
     typed = kind.isin("TYPE", "TYPE BODY") & own & ~name.like("T$%")
-    return objects.where(table | always | typed).select("object_name", "object_type")
+    return of_owner(objects, owner).where(table | always | typed).select("object_name", "object_type")
 
 
 def distinct_keys(objects: DataFrame) -> DataFrame:
     return objects.select("object_name", "object_type").distinct()
 
 
-def object_exists(requests: DataFrame, objects: DataFrame) -> DataFrame:
+def object_exists(requests: DataFrame, objects: DataFrame, owner: str) -> DataFrame:
     """(object_name, object_type, found) per distinct request; blank requests are false."""
     asked = requests.select("object_name", "object_type").distinct()
     keyed = asked.withColumns(
         {"key_name": F.upper("object_name"), "key_type": catalogue_type(F.col("object_type"))}
     )
-    known = distinct_keys(objects).select(
+    known = distinct_keys(of_owner(objects, owner)).select(
         F.col("object_name").alias("key_name"),
         F.col("object_type").alias("key_type"),
         F.lit(True).alias("hit"),
@@ -98,10 +103,10 @@ def _kinds(objects: DataFrame) -> DataFrame:
     )
 
 
-def object_kind(names: DataFrame, objects: DataFrame) -> DataFrame:
+def object_kind(names: DataFrame, objects: DataFrame, owner: str) -> DataFrame:
     """TABLE or VIEW per name, or ``missing`` / ``ambiguous``."""
     asked = names.select("object_name").distinct().withColumn("key_name", F.upper("object_name"))
-    joined = asked.join(_kinds(objects), "key_name", "left")
+    joined = asked.join(_kinds(of_owner(objects, owner)), "key_name", "left")
     kind = (
         F.when(F.col("hits").isNull(), "missing")
         .when(F.col("hits") > 1, "ambiguous")
@@ -145,7 +150,13 @@ def parent_by_sequence(
 ) -> DataFrame:
     """Every table of a sequence, with the number of tables it has."""
     asked = names.select("object_name").distinct().withColumn("sequence_name", F.upper("object_name"))
-    pairs = table_sequences(dependencies, triggers)
+    # Written, as the scripts behind the names may be costly to scan and it is read three times.
+    asked = materialize(asked, "asked")
+    # References are cut to the asked names before anything else is done with them.
+    wanted = dependencies.join(
+        asked.select(F.col("sequence_name").alias("referenced_name")).distinct(), "referenced_name", "left_semi"
+    )
+    pairs = table_sequences(wanted, triggers)
     # Slim, and read by the count as well as by the join with it: made once. An inner
     # join, so that a sequence with very many tables can be split on its own side.
     found = materialize(
@@ -204,6 +215,7 @@ def resolve_changed_objects(
     indexes: DataFrame,
     triggers: DataFrame,
     dependencies: DataFrame,
+    owner: str,
 ) -> DataFrame:
     """(target_name, target_type, action): what a set of changed objects means.
 
@@ -213,6 +225,7 @@ def resolve_changed_objects(
     """
     # Names only, read once per kind below: the scripts behind them are scanned once.
     asked = materialize(changed.select("object_name", "object_type").distinct(), "changed")
+    objects = of_owner(objects, owner)
 
     def of(kind: str) -> DataFrame:
         return asked.where(F.col("object_type") == kind).select("object_name")
@@ -253,7 +266,7 @@ def resolve_changed_objects(
             )
         )
     )
-    kinds = object_kind(of("COMMENT"), objects)
+    kinds = object_kind(of("COMMENT"), objects, owner)
     known = F.col("kind").isin("TABLE", "VIEW")
     dependants.append(
         kinds.select(
@@ -265,7 +278,7 @@ def resolve_changed_objects(
         )
     )
     stored = asked.where(F.col("object_type").isin(*STORED_AS))
-    direct = object_exists(stored, objects).select(
+    direct = object_exists(stored, objects, owner).select(
         *row(
             F.col("object_name"),
             F.col("object_type"),
@@ -290,10 +303,10 @@ def artifact_paths(objects: DataFrame) -> DataFrame:
     return objects.select("object_name", "object_type", path.alias("path"))
 
 
-def redundant_artifacts(changed: DataFrame, objects: DataFrame) -> DataFrame:
+def redundant_artifacts(changed: DataFrame, objects: DataFrame, owner: str) -> DataFrame:
     """Stored files of objects that left the catalogue; a spec takes its body along."""
     stored = changed.where(F.col("object_type").isin(*STORED_AS))
-    gone = object_exists(stored, objects).where(~F.col("found"))
+    gone = object_exists(stored, objects, owner).where(~F.col("found"))
     name, kind = F.col("object_name"), F.col("object_type")
     body_kind = F.replace(kind, F.lit("_SPEC"), F.lit("_BODY"))
     paths = F.when(
@@ -345,14 +358,14 @@ def invalid_summary(objects: DataFrame) -> DataFrame:
     return _compilable(objects).rollup("owner", "object_type").agg(F.count(F.lit(1)).alias("n_invalid"))
 
 
-def compile_statements(objects: DataFrame) -> DataFrame:
-    """The statement that would recompile each invalid object, as text only."""
+def compile_statements(objects: DataFrame, owner: str) -> DataFrame:
+    """The statement that would recompile each invalid object of the owner, as text only."""
     kind, name = F.col("object_type"), F.col("object_name")
     chain = None
     for wanted, (before, after) in COMPILE_STATEMENT.items():
         text = F.concat(F.lit(before), name, F.lit(after))
         chain = F.when(kind == wanted, text) if chain is None else chain.when(kind == wanted, text)
-    return _compilable(objects).select("owner", "object_name", "object_type", chain.alias("statement"))
+    return _compilable(of_owner(objects, owner)).select("owner", "object_name", "object_type", chain.alias("statement"))
 
 
 def present_schemas(owner: str, users: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerframe.functions import text as T
 
 MERGE_MARK = "Merge branch 'master' into"
-NON_PACKAGE_WARNING = "Non-package DDL changes detected under ddl/ outside of ddl/packages/."
+NON_PACKAGE_WARNING = "Some changed definitions lie outside of the package folder."
 ROLLBACK_FILE = "_rollback.sql"
 
 

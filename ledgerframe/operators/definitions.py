@@ -212,6 +212,7 @@ def table_documents(
     owner: str,
     max_chars: int = MAX_DOCUMENT_CHARS,
     part_rows: int = PART_ROWS,
+    excluded_sequences: tuple[str, ...] = EXCLUDED_SEQUENCES,
 ) -> DataFrame:
     """Whole table definitions: base, indexes, comments, sequences, triggers.
 
@@ -240,7 +241,7 @@ def table_documents(
     )
     index_place = _place(**{c: F.col(c) for c in ("rank", "plain", "lead", "unnumbered", "number")}, label=F.col("index_name"))
     kept = sequences
-    for excluded in EXCLUDED_SEQUENCES:
+    for excluded in excluded_sequences:
         kept = kept.where(~F.col("ddl").contains(excluded))
     own = triggers.where(~F.col("trigger_name").like("Z_%"))
     trigger_place = _place(rank=F.lit(1), lead=F.lower("trigger_name"), label=F.col("trigger_name"))

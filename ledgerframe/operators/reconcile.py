@@ -39,8 +39,13 @@ def directory_keys(directory: DataFrame) -> DataFrame:
 
 
 def registry_keys(registry: DataFrame) -> DataFrame:
-    """Everything a comparison needs of the latest row of each name, but not its text."""
+    """Everything a comparison needs of the latest row of each name, but not its text.
+
+    A registry without ids, such as the result of ``next_registry``, is unique on the name.
+    """
     facts = [c for c in ("type", "status") if c in registry.columns]
+    if "script_id" not in registry.columns:
+        registry = registry.withColumn("script_id", F.lit(0).cast("bigint"))
     slim = with_fingerprint(registry).select("script_id", "name", "file_hash", *facts)
     return read_registry(slim).withColumnRenamed("file_hash", "reg_hash")
 

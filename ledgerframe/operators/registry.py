@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,12 +11,13 @@ from ledgerframe.functions import names as N
 
 
 def read_registry(registry: DataFrame, key: str = "name", version: str = "script_id") -> DataFrame:
-    """One row per name, the highest id; repeats are combined before the shuffle."""
-    others = [c for c in registry.columns if c not in (key, version)]
-    latest = F.max_by(F.struct(version, *others), F.col(version)).alias("row")
-    return registry.groupBy(key).agg(latest).select(
-        key, *[F.col(f"row.{c}").alias(c) for c in registry.columns if c != key]
-    )
+    """One row per name, the highest id.
+
+    Ids are unique. The highest ones are found in a hash aggregate over names and ids, so
+    text is neither sorted nor aggregated.
+    """
+    latest = registry.groupBy(key).agg(F.max(version).alias(version))
+    return registry.join(latest, [key, version], "left_semi").select(*registry.columns)
 
 
 def registry_duplicates(registry: DataFrame) -> DataFrame:
@@ -58,19 +61,20 @@ def apply_changes(
     """The next version of a registry that is unique on ``name``.
 
     An update replaces fingerprint, text and time and nothing else; deletes go by
-    name; inserts are new names.
+    name; inserts are new names. Rows that stay are kept by an anti join with the list of
+    changed names, which is short where changes are few, so their text can stay in place.
     """
     result = registry
-    if deletes is not None:
-        result = result.join(deletes.select("name").distinct(), "name", "left_anti")
+    gone = [frame.select("name") for frame in (deletes, updates) if frame is not None]
+    if gone:
+        result = registry.join(reduce(DataFrame.unionByName, gone).distinct(), "name", "left_anti")
     if updates is not None:
         fields = [c for c in ("file_hash", "text", "ts") if c in updates.columns and c in registry.columns]
-        changed = updates.select("name", F.struct(*fields).alias("new"))
-        joined = result.join(changed, "name", "left")
-        replaced = {
-            c: F.when(F.col("new").isNotNull(), F.col(f"new.{c}")).otherwise(F.col(c)) for c in fields
-        }
-        result = joined.withColumns(replaced).select(*registry.columns)
+        before = registry.drop(*fields)
+        if deletes is not None:
+            before = before.join(deletes.select("name").distinct(), "name", "left_anti")
+        changed = before.join(updates.select("name", *fields), "name").select(*registry.columns)
+        result = result.unionByName(changed)
     if inserts is not None:
         result = result.unionByName(inserts, allowMissingColumns=True)
     return result

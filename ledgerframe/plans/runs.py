@@ -138,7 +138,9 @@ def decide_inserts(
     if outcomes is None:
         fresh = fresh.withColumn("exit_code", F.lit(0))
     else:
-        fresh = fresh.join(outcomes.select("name", "exit_code"), "name", "left")
+        # of several outcomes of a script the highest code counts: one failure is a failure
+        codes = outcomes.groupBy("name").agg(F.max(F.abs("exit_code")).alias("exit_code"))
+        fresh = fresh.join(codes, "name", "left")
     code = F.coalesce("exit_code", F.lit(0))
     is_commit = F.col("type") == N.COMMIT
     failed = F.lit(False) if ignore_errors else is_commit & (code != 0)
@@ -173,7 +175,8 @@ def next_registry(
 
     New scripts wait for the next run when rollbacks were copied out for a person to
     run, or when one failed. ``outcomes`` holds exit codes by script name; a script
-    without one counts as successful. On an empty registry every script is recorded as
+    without one counts as successful, and of several the worst counts. The result is unique on
+    the name and needs no ids: it can be the registry of the next run. On an empty registry every script is recorded as
     executed and none is run.
     """
     if raise_on_orphans:
@@ -201,6 +204,7 @@ def next_registry(
         )
     shared_ts = ["ts"] if "ts" in directory.columns and "ts" in registry.columns else []
     fields = ["name", "file_hash", "text", *shared_ts, "type", "status"]
-    old_rows = with_fingerprint(registry).join(from_registry, ["name", "script_id"], "left_semi")
+    keys = [c for c in ("name", "script_id") if c in registry.columns]
+    old_rows = with_fingerprint(registry).join(from_registry.select(*keys), keys, "left_semi")
     new_rows = with_fingerprint(R.valid_scripts(directory)).join(arriving, "name")
     return old_rows.select(*fields).unionByName(new_rows.select(*fields))

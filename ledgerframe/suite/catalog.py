@@ -21,16 +21,16 @@ COMPILABLE = (
 
 @query(
     "list_objects",
-    """select object_name, object_type from objects where (object_type = 'TABLE' and generated = 'N' and object_name not like 'Z_%'
+    """select object_name, object_type from objects where owner = 'APP' and ((object_type = 'TABLE' and generated = 'N' and object_name not like 'Z_%'
     and object_name not like '%_OLD') or object_type in ('VIEW', 'PACKAGE', 'PACKAGE BODY', 'TRIGGER')
-    or (object_type in ('TYPE', 'TYPE BODY') and generated = 'N' and object_name not like 'T$%')""",
+    or (object_type in ('TYPE', 'TYPE BODY') and generated = 'N' and object_name not like 'T$%'))""",
 )
 def _(v):
-    return C.list_objects(v("objects"))
+    return C.list_objects(v("objects"), OWNER)
 
 
 FOUND = f"""trim(q.object_name) <> '' and exists (select 1 from objects o
-    where o.object_name = upper(q.object_name) and o.object_type = {S.catalogue_type('q.object_type')})"""
+    where o.owner = 'APP' and o.object_name = upper(q.object_name) and o.object_type = {S.catalogue_type('q.object_type')})"""
 
 
 @query(
@@ -38,7 +38,7 @@ FOUND = f"""trim(q.object_name) <> '' and exists (select 1 from objects o
     f"select object_name, object_type, {FOUND} as found from (select distinct object_name, object_type from requests) q",
 )
 def _(v):
-    return C.object_exists(v("requests"), v("objects"))
+    return C.object_exists(v("requests"), v("objects"), OWNER)
 
 
 @query(
@@ -46,12 +46,12 @@ def _(v):
     """select object_name, case when hits = 0 then 'missing' when hits > 1 then 'ambiguous' else kind end as kind from
     (select q.object_name, count(o.object_name) as hits, max(o.object_type) as kind
      from (select distinct object_name from requests union select lower(object_name) from catalog_objects) q
-     left join (select * from catalog_objects where object_type in ('TABLE', 'VIEW')) o on o.object_name = upper(q.object_name) group by q.object_name)""",
+     left join (select * from catalog_objects where owner = 'APP' and object_type in ('TABLE', 'VIEW')) o on o.object_name = upper(q.object_name) group by q.object_name)""",
 )
 def _(v):
     catalogue = v("catalog_objects")
     names = v("requests").select("object_name").union(catalogue.select(F.lower("object_name")))
-    return C.object_kind(names, catalogue)
+    return C.object_kind(names, catalogue, OWNER)
 
 
 def changed_of(v, kind: str):
@@ -130,10 +130,8 @@ def _(v):
     return C.commented_tables(v("tab_comments"), v("col_comments"))
 
 
-@query(
-    "resolve_changed_objects",
-    f"""with c as ({CHANGED}), cat as (select distinct object_name, object_type from catalog_objects),
-    kinds as (select object_name, count(*) as hits, max(object_type) as kind from catalog_objects where object_type in ('TABLE', 'VIEW') group by object_name),
+RESOLVED = f"""with c as ({CHANGED}), cat as (select distinct object_name, object_type from catalog_objects where owner = 'APP'),
+    kinds as (select object_name, count(*) as hits, max(object_type) as kind from catalog_objects where owner = 'APP' and object_type in ('TABLE', 'VIEW') group by object_name),
     dep as (select c.object_name, c.object_type, i.table_name from c left join indexes i on i.index_name = upper(c.object_name) where c.object_type = 'INDEX'
       union all select c.object_name, c.object_type, t.table_name from c left join triggers t on t.trigger_name = upper(c.object_name) where c.object_type = 'TRIGGER'),
     placed as (select d.*, t.object_name is not null as ok from dep d left join cat t on t.object_name = d.table_name and t.object_type = 'TABLE')
@@ -150,12 +148,14 @@ def _(v):
       union all
       select c.object_name, c.object_type, case when o.object_name is null then 'redundant' else 'regenerate' end
       from c left join cat o on o.object_name = upper(c.object_name) and o.object_type = {S.catalogue_type('c.object_type')}
-      where c.object_type in ('PACKAGE_BODY', 'PACKAGE_SPEC', 'TABLE', 'VIEW', 'TYPE_BODY', 'TYPE_SPEC'))""",
-)
-def _(v):
+      where c.object_type in ('PACKAGE_BODY', 'PACKAGE_SPEC', 'TABLE', 'VIEW', 'TYPE_BODY', 'TYPE_SPEC'))"""
+
+
+@query("resolve_changed_objects", RESOLVED)
+def resolved(v):
     changed = I.distinct_changed_objects(v("dir_scripts"))
     return C.resolve_changed_objects(
-        changed, v("catalog_objects"), v("indexes"), v("triggers"), v("dependencies")
+        changed, v("catalog_objects"), v("indexes"), v("triggers"), v("dependencies"), OWNER
     )
 
 
@@ -170,7 +170,7 @@ def _(v):
 )
 def _(v):
     asked = v("requests").unionByName(I.distinct_changed_objects(v("dir_scripts")))
-    return C.redundant_artifacts(asked, v("objects"))
+    return C.redundant_artifacts(asked, v("objects"), OWNER)
 
 
 @query(
@@ -210,10 +210,10 @@ def _(v):
     when 'PACKAGE BODY' then 'alter package ' || object_name || ' compile body' when 'TYPE' then 'alter type ' || object_name || ' compile specification'
     when 'TYPE BODY' then 'alter type ' || object_name || ' compile body' when 'INDEX' then 'alter index ' || object_name || ' rebuild'
     when 'SYNONYM' then 'select 1 from ' || object_name else 'alter ' || lower(object_type) || ' ' || object_name || ' compile' end as statement
-    from objects where {COMPILABLE}""",
+    from objects where owner = 'APP' and {COMPILABLE}""",
 )
 def _(v):
-    return C.compile_statements(v("objects"))
+    return C.compile_statements(v("objects"), OWNER)
 
 
 @query(

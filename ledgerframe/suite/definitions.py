@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ledgerframe.operators import definitions as D
-from ledgerframe.operators import impact as I
 from ledgerframe.plans import definitions as P
 from ledgerframe.suite import sqltext as S
+from ledgerframe.suite.catalog import RESOLVED, resolved
 from ledgerframe.suite.registry import query
 
 OWNER = "APP"
@@ -201,13 +203,14 @@ def _(v):
 
 @query(
     "regenerated_definitions",
-    f"""with {table_doc_ctes('all_')}, changed as (select distinct upper(object_name) as object_name, {S.catalogue_type('object_type')} as object_type
-      from ({S.changed()}))
+    f"""with {table_doc_ctes('all_')}, changed as (select distinct upper(target_name) as object_name, {S.catalogue_type('target_type')} as object_type
+      from ({RESOLVED}) where action = 'regenerate')
     select path, cast(0 as bigint) as part, {S.code_style('text')} as text from ({ALL_FILES}) f
     where exists (select 1 from changed c where c.object_name = upper(f.object_name) and c.object_type = f.object_type)""",
 )
 def _(v):
-    return all_definitions(v, I.distinct_changed_objects(v("dir_scripts")))
+    targets = resolved(v).where("action = 'regenerate'")
+    return all_definitions(v, targets.select(F.col("target_name").alias("object_name"), F.col("target_type").alias("object_type")))
 
 
 @query(

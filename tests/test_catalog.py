@@ -5,7 +5,8 @@ from ledgerframe.operators import impact as I
 
 
 def objects(spark, rows):
-    full = [("APP", n, t, g, s) for n, t, g, s in rows]
+    # every object's namesake of another kind and owner must not be seen
+    full = [("APP", n, t, g, s) for n, t, g, s in rows] + [("ELSE", n, "VIEW", g, "INVALID") for n, _, g, _ in rows]
     return spark.createDataFrame(full, "owner string, object_name string, object_type string, generated string, status string")
 
 
@@ -20,7 +21,7 @@ def test_list_objects_patterns(spark):
         ("ZV", "VIEW", "Y", "VALID"),
         ("S", "SEQUENCE", "N", "VALID"),
     ]
-    got = {r.object_name for r in C.list_objects(objects(spark, rows)).collect()}
+    got = {r.object_name for r in C.list_objects(objects(spark, rows), "APP").collect()}
     # The underscore of the patterns is a wildcard, so THRESHOLD and ZEBRA are left out.
     assert got == {"PLAIN", "TX", "ZV"}
 
@@ -30,10 +31,10 @@ def test_lookups(spark):
         spark, [("A", "TABLE", "N", "VALID"), ("A", "VIEW", "N", "VALID"), ("B", "VIEW", "N", "VALID"), ("P", "PACKAGE", "N", "VALID")]
     )
     asked = spark.createDataFrame([("a", "TABLE"), ("p", "PACKAGE_SPEC"), ("p", "PACKAGE_BODY"), (" ", "TABLE"), ("a", "TABLE")], "object_name string, object_type string")
-    got = {(r.object_name, r.object_type): r.found for r in C.object_exists(asked, catalogue).collect()}
+    got = {(r.object_name, r.object_type): r.found for r in C.object_exists(asked, catalogue, "APP").collect()}
     assert got == {("a", "TABLE"): True, ("p", "PACKAGE_SPEC"): True, ("p", "PACKAGE_BODY"): False, (" ", "TABLE"): False}
     names = spark.createDataFrame([("a",), ("b",), ("c",)], "object_name string")
-    assert {r.object_name: r.kind for r in C.object_kind(names, catalogue).collect()} == {"a": "ambiguous", "b": "VIEW", "c": "missing"}
+    assert {r.object_name: r.kind for r in C.object_kind(names, catalogue, "APP").collect()} == {"a": "ambiguous", "b": "VIEW", "c": "missing"}
 
 
 def test_resolve(spark):
@@ -49,7 +50,7 @@ def test_resolve(spark):
          ("x", "COMMENT"), ("t1", "TABLE"), ("t2", "TABLE"), ("p", "PACKAGE_SPEC"), ("p", "PACKAGE_BODY")],
         "object_name string, object_type string",
     )
-    got = {tuple(r) for r in C.resolve_changed_objects(changed, catalogue, indexes, triggers, deps).collect()}
+    got = {tuple(r) for r in C.resolve_changed_objects(changed, catalogue, indexes, triggers, deps, "APP").collect()}
     assert got == {
         ("t1", "TABLE", "regenerate"),
         ("i2", "INDEX", "unresolved"),
@@ -65,7 +66,7 @@ def test_resolve(spark):
 
 def test_redundant_spec_takes_its_body_along(spark):
     asked = spark.createDataFrame([("Pkg", "PACKAGE_SPEC"), ("t", "TYPE_BODY"), ("i", "INDEX")], "object_name string, object_type string")
-    got = {r.path for r in C.redundant_artifacts(asked, objects(spark, [("X", "TABLE", "N", "VALID")])).collect()}
+    got = {r.path for r in C.redundant_artifacts(asked, objects(spark, [("X", "TABLE", "N", "VALID")]), "APP").collect()}
     assert got == {"packages/pkg_spec.sql", "packages/pkg.sql", "types/t.sql"}
 
 
@@ -73,7 +74,7 @@ def test_invalid_objects_are_sorted(spark):
     rows = [("B", "VIEW", "N", "INVALID"), ("A", "VIEW", "N", "INVALID"), ("S", "SYNONYM", "N", "INVALID"), ("BIN$1", "TABLE", "N", "INVALID"), ("P", "PACKAGE BODY", "N", "INVALID")]
     frame = objects(spark, rows)
     assert [r.object_name for r in C.invalid_objects(frame, "APP").collect()] == ["P", "A", "B"]
-    assert {r.statement for r in C.compile_statements(frame).collect()} == {
+    assert {r.statement for r in C.compile_statements(frame, "APP").collect()} == {
         "alter view A compile", "alter view B compile", "select 1 from S", "alter package P compile body",
     }
 

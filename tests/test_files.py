@@ -122,3 +122,29 @@ def test_step_stream_equals_batch(spark):
     columns = ["run_id", "step_id", "status"]
     got = Z.recorded_steps(spark, root).select(columns).collect()
     assert sorted(got) == sorted(O.run_until_failure(log).select(columns).collect())
+
+
+def test_parts_are_appended_in_order(spark, tmp_path):
+    rows = [("d/a.sql", p, f"<{p}>") for p in range(50)] + [("d/b.sql", 0, "whole"), ("c.sql", 0, None)]
+    frame = spark.createDataFrame(rows, "path string, part bigint, text string").repartition(7)
+    sizes = {r.path: r.bytes for r in W.write_files(frame, str(tmp_path / "out")).collect()}
+    whole = "".join(f"<{p}>" for p in range(50))
+    assert sizes == {"d/a.sql": len(whole), "d/b.sql": 5, "c.sql": 0}
+    assert (tmp_path / "out" / "d" / "a.sql").read_text() == whole
+    W.write_corpus(frame, str(tmp_path / "corpus"))
+    back = W.read_corpus(spark, str(tmp_path / "corpus")).collect()
+    assert sorted((r.path, r.part, r.text or "") for r in back) == sorted((a, b, c or "") for a, b, c in rows)
+
+
+def test_empty_files_and_bad_bytes_are_read(spark, tmp_path):
+    (tmp_path / "1_a.sql").write_bytes(b"")
+    (tmp_path / "2_b.sql").write_bytes(b"x\xffy")
+    got = {r.name: r.text for r in W.read_scripts(spark, str(tmp_path)).collect()}
+    assert got == {"1_a.sql": "", "2_b.sql": "x�y"}
+
+
+def test_malformed_documents_are_reported(spark):
+    frame = spark.createDataFrame([(1, '{"go": true, "scripts_written": 2}'), (2, "{oops"), (3, None)], "change_id int, json string")
+    told = {r.change_id: (r.should_run, r.error) for r in J.read_change_set_result(frame, keep=("change_id",), run_flag="go").collect()}
+    assert told == {1: (True, None), 2: (False, J.MALFORMED), 3: (False, J.MALFORMED)}
+    assert {r.change_id for r in J.rejected_documents(frame).collect()} == {2, 3}

@@ -68,16 +68,16 @@ def test_duration(spark):
     assert got == ["00:00:00.000", "00:01:01.001", "100:00:00.005"]
 
 
-SAMPLE = ["1_script1.sql", "1_script1_rollback.sql", "8861_script2.sql", "8861_script2_rollback.sql"]
+SAMPLE = ["7_rates.sql", "7_rates_rollback.sql", "4120_fees.sql", "4120_fees_rollback.sql"]
 
 
 def test_commit_order_runs_long_numbers_first(scripts):
-    assert [r.name for r in O.commit_order(scripts(SAMPLE)).collect()] == ["8861_script2.sql", "1_script1.sql"]
+    assert [r.name for r in O.commit_order(scripts(SAMPLE)).collect()] == ["4120_fees.sql", "7_rates.sql"]
 
 
 def test_rollback_order_is_the_reverse(scripts):
     got = [r.name for r in O.rollback_order(scripts(SAMPLE)).collect()]
-    assert got == ["1_script1_rollback.sql", "8861_script2_rollback.sql"]
+    assert got == ["7_rates_rollback.sql", "4120_fees_rollback.sql"]
 
 
 def test_orders_against_python(scripts):

@@ -105,7 +105,7 @@ def test_read_registry_combines_before_the_shuffle(spark):
     )
     plan = G.read_registry(rows)._jdf.queryExecution().executedPlan().toString()
     shuffle = plan.index("Exchange")
-    assert "partial_max_by" in plan[shuffle:]
+    assert "partial_max" in plan[shuffle:]
     assert G.read_registry(rows).where("name = 'hot'").first().script_id == 19998
 
 
@@ -219,3 +219,11 @@ def test_random_reconcile_against_dicts(scripts, registry):
             for n in left | right
         }
         assert {r.name: r.change for r in R.reconcile(scripts(left), registry(right)).collect()} == want
+
+
+def test_a_run_starts_from_the_registry_of_the_last_one(scripts, registry, spark):
+    first = P.next_registry(scripts(["1_a.sql", "2_b.sql"]), registry([]), execute=True)
+    outcomes = spark.createDataFrame([("3_c.sql", 0), ("3_c.sql", 1)], "name string, exit_code int")
+    second = P.next_registry(scripts(["1_a.sql", "2_b.sql", "3_c.sql"]), first, execute=True, outcomes=outcomes)
+    got = sorted((r.name, r.status) for r in second.collect())
+    assert [name for name, _ in got] == ["1_a.sql", "2_b.sql", "3_c.sql"] and got[2][1] != 0
