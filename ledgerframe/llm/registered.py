@@ -125,8 +125,8 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class of near duplicates, named by its least doc_id."""
     classes = near_dedup.near_classes(table(spark, sf_dir, "documents"))
-    names = classes.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return classes.join(names, "class").select("doc_id", "class_id", "class_size")
+    names = classes.filter(F.col("row") == F.col("class")).select("class", F.col("doc_id").alias("class_id"))
+    return classes.join(names, "class").select("doc_id", "class_id")
 
 
 QUERIES = {
