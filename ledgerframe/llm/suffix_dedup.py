@@ -30,6 +30,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -248,7 +249,9 @@ def common_prefixes(key: np.ndarray) -> np.ndarray:
 
 def bucket_windows(key: np.ndarray, right: np.ndarray, left: np.ndarray, low: np.ndarray, high: np.ndarray):
     """For every zone and each number of bytes in front of the anchor (0 to ``LEFT``): the least
-    and the greatest document with that window, and whether its run touches the border.
+    and the greatest document with that window, and a number for the windows whose runs touch the
+    bucket's border (equal windows have one number, others -1); and of every such number a row, the
+    bytes in front, the least and the greatest document.
 
     The rows are in the order of their keys. Windows that a zone lacks have low > high.
     """
@@ -257,7 +260,7 @@ def bucket_windows(key: np.ndarray, right: np.ndarray, left: np.ndarray, low: np
     order = multikey_order(key[:, WINDOW:])
     head = common_prefixes(key[:, WINDOW:][order])
     least, most = np.full((n, LEFT + 1), np.iinfo(np.int64).max), np.full((n, LEFT + 1), -1)
-    border = np.zeros((n, LEFT + 1), bool)
+    number, edges, count = np.full((n, LEFT + 1), -1, np.int32), [], 0
     for front in range(LEFT + 1):
         run = np.cumsum(tail < WINDOW - front)
         kind = np.empty(n, np.int64)
@@ -271,8 +274,14 @@ def bucket_windows(key: np.ndarray, right: np.ndarray, left: np.ndarray, low: np
         sizes = np.diff(np.append(starts, len(own)))
         least[own[by], front] = np.repeat(np.minimum.reduceat(low[own[by]], starts), sizes)
         most[own[by], front] = np.repeat(np.maximum.reduceat(high[own[by]], starts), sizes)
-        border[own, front] = (run[own] == run[0]) | (run[own] == run[-1])
-    return least, most, border
+        first = own[by][starts]
+        edge = (run[first] == run[0]) | (run[first] == run[-1])
+        label = np.where(edge, count + np.cumsum(edge) - 1, -1)
+        number[own[by], front] = np.repeat(label, sizes)
+        count += int(edge.sum())
+        at = first[edge]
+        edges.append(np.stack([at, np.full(len(at), front), least[at, front], most[at, front]], axis=1))
+    return least, most, number, np.concatenate(edges) if edges else np.zeros((0, 4), np.int64)
 
 
 def _digests(key: np.ndarray, front: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -284,71 +293,97 @@ def _digests(key: np.ndarray, front: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return tuple(mixed(random[i][window.astype(np.int64), at].sum(axis=1, dtype=U) + front.astype(U)) for i in range(2))
 
 
-DECISIONS = "gram long, zone long, first byte, last byte, low long, one long, two long, high long"
+#: What a bucket tells. TOLD: the decisions on a zone's windows. EDGE: a window whose run touches the
+#: border, with its digests. OPEN: a zone with such windows, and their numbers.
+TOLD, EDGE, OPEN = 0, 1, 2
+BUCKET = (
+    "kind byte, bucket int, gram long, zone long, first byte, last byte, low long, high long, "
+    "one long, two long, number int, numbers binary"
+)
+_NAMES = [field.split()[0] for field in BUCKET.split(", ")]
+_TYPES = {"byte": pa.int8(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+
+
+def _rows(count: int, **columns) -> pa.RecordBatch:
+    fields = [field.split() for field in BUCKET.split(", ")]
+    arrays = [pa.array(columns[name], _TYPES[kind]) if name in columns else pa.nulls(count, _TYPES[kind]) for name, kind in fields]
+    return pa.RecordBatch.from_arrays(arrays, names=_NAMES)
+
+
+def _runs(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first and last column, and value of the runs of equal values of at least 0 in rows."""
+    new = np.ones(value.shape, bool)
+    new[:, 1:] = value[:, 1:] != value[:, :-1]
+    begin = np.flatnonzero(new.ravel())
+    end = np.append(begin[1:], value.size) - 1
+    kept = value.ravel()[begin] >= 0
+    begin, end = begin[kept], end[kept]
+    at, first = np.divmod(begin, value.shape[1])
+    return at, first, end - at * value.shape[1], value.ravel()[begin]
+
+
+def _sorted_bucket(batches: list[pa.RecordBatch], bucket: int):
+    table = pa.Table.from_batches(batches)
+    column = {name: table[name].combine_chunks() for name in table.column_names}
+    n = table.num_rows
+    key = np.frombuffer(column["key"].buffers()[2], np.uint8)[: n * (WINDOW + LEFT)].reshape(n, -1)
+    order = multikey_order(key)
+    gram, zone, low, high = (column[c].to_numpy(zero_copy_only=False)[order] for c in ("gram", "zone", "low", "high"))
+    right, left = (column[c].to_numpy(zero_copy_only=False)[order].astype(np.int64) for c in ("right", "left"))
+    key = key[order]
+    least, most, number, edges = bucket_windows(key, right, left, low, high)
+    # equal zones of several chunks have equal windows: one of them speaks for all
+    pair = np.lexsort((zone, gram))
+    single = np.ones(n, bool)
+    single[pair[1:]] = (gram[pair][1:] != gram[pair][:-1]) | (zone[pair][1:] != zone[pair][:-1])
+    told = (least < most) & single[:, None] & (number < 0)
+    at, first, last, value = _runs(np.where(told, least, -1))
+    yield _rows(len(at), kind=np.full(len(at), TOLD), gram=gram[at], zone=zone[at], first=first, last=last, low=value)
+    for start in range(0, len(edges), 100_000):
+        at, front, low, high = edges[start : start + 100_000].T
+        one, two = (x.view(np.int64) for x in _digests(key[at], front))
+        labels = np.arange(start, start + len(at))
+        yield _rows(len(at), kind=np.full(len(at), EDGE), bucket=np.full(len(at), bucket), low=low, high=high, one=one, two=two, number=labels)
+    at = np.flatnonzero(single & (number >= 0).any(axis=1))
+    numbers = [x.tobytes() for x in number[at].astype("<i4")]
+    yield _rows(len(at), kind=np.full(len(at), OPEN), bucket=np.full(len(at), bucket), gram=gram[at], zone=zone[at], numbers=numbers)
+
+
+def buckets(found: DataFrame) -> DataFrame:
+    """What the sorted buckets of zones tell, written once."""
 
+    def sort_bucket(batches):
+        held = [batch for batch in batches if batch.num_rows]
+        if held:
+            yield from _sorted_bucket(held, TaskContext.get().partitionId())
 
-def decisions(found: DataFrame) -> DataFrame:
-    """gram, zone, first, last, low: the least document of the windows with first to last bytes
-    in front of the anchor, where more than one document has them."""
+    return materialize(found.repartitionByRange("key").mapInArrow(sort_bucket, BUCKET), "windows")
 
-    def sort_bucket(batches):
-        table = pa.Table.from_batches([b for b in batches if b.num_rows] or [])
-        column = {name: table[name].combine_chunks() for name in table.column_names}
-        n = table.num_rows
-        key = np.frombuffer(column["key"].buffers()[2], np.uint8)[: n * (WINDOW + LEFT)].reshape(n, -1)
-        order = multikey_order(key)
-        gram, zone, low, high = (column[c].to_numpy(zero_copy_only=False)[order] for c in ("gram", "zone", "low", "high"))
-        right, left = (column[c].to_numpy(zero_copy_only=False)[order].astype(np.int64) for c in ("right", "left"))
-        key = key[order]
-        least, most, border = bucket_windows(key, right, left, low, high)
-        # equal zones of several chunks have equal windows: one of them speaks for all
-        pair = np.lexsort((zone, gram))
-        alike = np.zeros(n, bool)
-        alike[pair[1:]] = (gram[pair][1:] == gram[pair][:-1]) & (zone[pair][1:] == zone[pair][:-1])
-        single = ~alike[:, None]
-        told = (least < most) & single & ~border
-        value = np.where(told, least, -1)
-        new = np.ones(value.shape, bool)
-        new[:, 1:] = value[:, 1:] != value[:, :-1]
-        begin = np.flatnonzero(new.ravel())
-        end = np.append(begin[1:], value.size) - 1
-        kept = value.ravel()[begin] >= 0
-        begin, end = begin[kept], end[kept]
-        at, first = np.divmod(begin, LEFT + 1)
-        nothing = np.zeros(len(at), np.int64)
-        yield _rows(gram[at], zone[at], first, end - at * (LEFT + 1), value.ravel()[begin], nothing, nothing, nothing - 1)
-        at, front = np.nonzero(border & (least <= most))
-        for part in np.array_split(np.arange(len(at)), max(1, len(at) // 100_000)):
-            a, f = at[part], front[part]
-            one, two = _digests(key[a], f)
-            yield _rows(gram[a], zone[a], f, f, least[a, f], one.view(np.int64), two.view(np.int64), most[a, f])
-
-    def sorted_or_empty(batches):
-        first = next((b for b in batches if b.num_rows), None)
-        if first is not None:
-            yield from sort_bucket(_chained(first, batches))
-
-    buckets = found.repartitionByRange("key").mapInArrow(sorted_or_empty, DECISIONS)
-    return materialize(buckets, "windows")
-
-
-def _chained(first, rest):
-    yield first
-    yield from rest
-
-
-def _rows(gram, zone, first, last, low, one, two, high) -> pa.RecordBatch:
-    columns = [gram, zone, first.astype(np.int8), last.astype(np.int8), low, one, two, high]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "zone", "first", "last", "low", "one", "two", "high"])
-
-
-def across_buckets(told: DataFrame) -> DataFrame:
-    """The decisions with those of the windows at the borders of buckets, by their digests."""
-    named = ["gram", "zone", "first", "last", "low"]
-    edge = told.filter("high >= 0")
+
+def decisions(told: DataFrame) -> DataFrame:
+    """gram, zone, first, last, low: the least document of the windows with first to last bytes in
+    front of the anchor, where more than one document has them.
+
+    Windows at the borders of buckets are compared by their digests, one row for each window and
+    bucket; what is found goes back to the zones of the bucket.
+    """
+    edge = told.filter(F.col("kind") == EDGE).select("bucket", "number", "one", "two", "low", "high")
     least = edge.groupBy("one", "two").agg(F.min("low").alias("least"), F.max("high").alias("most")).filter("least < most")
-    edge = edge.drop("low").join(least.drop("most"), ["one", "two"]).withColumnRenamed("least", "low")
-    return told.filter("high < 0").select(named).unionByName(edge.select(named).distinct())
+    known = edge.join(least, ["one", "two"]).select(F.col("bucket").alias("of"), "number", F.col("least").alias("low"))
+    open_ = told.filter(F.col("kind") == OPEN).select("bucket", "gram", "zone", "numbers")
+
+    def resolved(zones: pa.Table, windows: pa.Table) -> pa.Table:
+        number = np.frombuffer(b"".join(zones["numbers"].to_pylist()), "<i4").reshape(zones.num_rows, LEFT + 1)
+        place = windows["number"].to_numpy()
+        low = np.full(max(number.max(initial=-1), place.max(initial=-1)) + 2, -1)
+        low[place] = windows["low"].to_numpy()
+        at, first, last, value = _runs(low[number])  # -1, for none, is the last place
+        columns = {"gram": zones["gram"].take(pa.array(at)), "zone": zones["zone"].take(pa.array(at))}
+        return pa.table({**columns, "first": pa.array(first, pa.int8()), "last": pa.array(last, pa.int8()), "low": value})
+
+    schema = "gram long, zone long, first byte, last byte, low long"
+    across = open_.groupBy("bucket").cogroup(known.groupBy("of")).applyInArrow(resolved, schema)
+    return told.filter(F.col("kind") == TOLD).select("gram", "zone", "first", "last", "low").unionByName(across)
 
 
 def places(docs: DataFrame, shared) -> DataFrame:
@@ -375,7 +410,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     """
     session = docs.sparkSession
     shared = session.sparkContext.broadcast(anchor_filter(shared_anchors(docs)))
-    told = across_buckets(decisions(zones(docs, shared)))
+    told = decisions(buckets(zones(docs, shared)))
     hit = places(docs, shared).join(told, ["gram", "zone"]).filter("low < ord")
     span = F.struct((F.col("anchor") - F.col("last")).alias("start"), (F.col("anchor") - F.col("first") + WINDOW).alias("end"))
     return hit.groupBy("row").agg(F.collect_list(span).alias("spans"))
