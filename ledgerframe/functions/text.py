@@ -251,14 +251,14 @@ def trigger_statement(ddl: Column, owner: str) -> Column:
     return F.regexp_replace(d, r"^([\s\S]*?)ALTER TRIGGER " + r'"\w+" ENABLE;', "$1")
 
 
-def comment_statement(table: Column, column: Column | None, comment: Column) -> Column:
-    """COMMENT statement with the literal's quotes doubled; of a table's columns on one line."""
+def comment_statement(table: Column, column: Column | None, comment: Column, one_line: bool = False) -> Column:
+    """COMMENT statement with the literal's quotes doubled, and without line ends if asked for."""
     target = F.concat(F.lit('TABLE "'), table, F.lit('"'))
     if column is not None:
         target = F.concat(F.lit('COLUMN "'), table, F.lit('"."'), column, F.lit('"'))
     literal = F.replace(comment, F.lit("'"), F.lit("''"))
     full = F.concat(F.lit("COMMENT ON "), target, F.lit(" IS '"), literal, F.lit("';"))
-    return F.regexp_replace(full, r"\n", "")
+    return F.replace(full, F.lit("\n"), F.lit("")) if one_line else full
 
 
 # --- package sources ----------------------------------------------------------

@@ -161,7 +161,11 @@ def missing_sources(files: DataFrame, sources: DataFrame, root: str = "db") -> D
 
 
 def change_summary_by_set(files: DataFrame, sources: DataFrame, year: int, root: str = "db") -> DataFrame:
-    """Per change set: scripts and rollbacks written, warnings, and whether to run."""
+    """Per change set: scripts and rollbacks written and missing, warnings, and whether to run.
+
+    A script is missing if its package has no spec to make it from; ``missing_sources`` names it.
+    """
+    missing = missing_sources(files, sources, root).groupBy("change_id").agg(F.count(F.lit(1)).alias("missing"))
     written = (
         regenerate_scripts(files, sources, year, root)
         .groupBy("change_id")
@@ -175,13 +179,14 @@ def change_summary_by_set(files: DataFrame, sources: DataFrame, year: int, root:
         .groupBy("change_id")
         .agg(F.max("in_scripts").alias("has_scripts"), F.max("non_package_ddl").alias("warned"))
     )
-    joined = seen.join(written, "change_id", "left")
+    joined = seen.join(written, "change_id", "left").join(missing, "change_id", "left")
     scripts = F.coalesce("scripts_written", F.lit(0).cast("bigint"))
     rollbacks = F.coalesce("rollback_scripts_written", F.lit(0).cast("bigint"))
     return joined.select(
         "change_id",
         scripts.alias("scripts_written"),
         rollbacks.alias("rollback_scripts_written"),
+        F.coalesce("missing", F.lit(0).cast("bigint")).alias("scripts_missing"),
         F.when(F.col("warned"), F.lit(1)).otherwise(F.lit(0)).alias("n_warnings"),
         (F.col("has_scripts") | (scripts + rollbacks > 0)).alias("should_run"),
     )

@@ -100,8 +100,12 @@ def _opening_breaks(frame: DataFrame, key: str) -> DataFrame:
     return frame.select(key).distinct().withColumns({"text": F.lit(CRLF), "chars": F.lit(2)})
 
 
-def table_comment_fragments(tab_comments: DataFrame, col_comments: DataFrame) -> DataFrame:
-    """(table_name, rank, column_name, text, chars): a break, the table comment, the columns."""
+def table_comment_fragments(tab_comments: DataFrame, col_comments: DataFrame, one_line: bool = True) -> DataFrame:
+    """(table_name, rank, column_name, text, chars): a break, the table comment, the columns.
+
+    Comments of columns lose their line ends if they are to be on one line, as those of
+    tables are; comments of tables and of views keep theirs.
+    """
     table, column, comment = F.col("table_name"), F.col("column_name"), F.col("comments")
     chars = (F.length(comment) + 2 * F.length(table) + 40).alias("chars")
     tabs = tab_comments.where(comment.isNotNull()).select(
@@ -116,7 +120,7 @@ def table_comment_fragments(tab_comments: DataFrame, col_comments: DataFrame) ->
         chars,
         F.lit(2).alias("rank"),
         "column_name",
-        F.concat(F.lit(CRLF), T.comment_statement(table, column, comment)).alias("text"),
+        F.concat(F.lit(CRLF), T.comment_statement(table, column, comment, one_line)).alias("text"),
     )
     both = tabs.unionByName(cols)
     opening = _opening_breaks(both, "table_name").withColumns(
@@ -283,7 +287,7 @@ def view_documents(
         T.canonical_view(F.col("ddl"), owner).alias("text"),
         F.length("ddl").alias("chars"),
     )
-    comments = table_comment_fragments(tab_comments, col_comments).select(
+    comments = table_comment_fragments(tab_comments, col_comments, one_line=False).select(
         F.col("table_name").alias("object_name"),
         F.lit(1).alias("kind"),
         _comment_place().alias("place"),

@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "ledgerframe", cores: str = "*", **conf: str) -> SparkSession:
-    """A local session with the settings the operators are tuned for."""
+def build_session(app: str = "ledgerframe", cores: str = "*", master: str | None = None, **conf: str) -> SparkSession:
+    """A session with the settings the operators are tuned for, local unless ``master`` is given.
+
+    A local session has as many shuffle partitions as cores; on a cluster the setting of the
+    cluster holds.
+    """
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
-        "spark.sql.shuffle.partitions": "8",
         "spark.ui.enabled": "false",
         "spark.driver.memory": "8g",
         **conf,
     }
-    builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
+    if master is None:
+        count = str(os.cpu_count() or 8) if cores == "*" else cores
+        settings = {"spark.sql.shuffle.partitions": count, **settings}
+    builder = SparkSession.builder.master(master or f"local[{cores}]").appName(app)
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

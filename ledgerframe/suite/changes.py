@@ -107,13 +107,27 @@ def _(v):
     return X.regenerate_scripts(v("change_files"), v("package_sources"), YEAR)
 
 
+def missing(rollback: bool, edition: str) -> str:
+    return f"""select change_id, package_name, {str(rollback).lower()} as is_rollback from ({candidates(rollback)})
+    where package_name not in (select package_name from package_sources where edition = '{edition}' and spec is not null)"""
+
+
+MISSING = f"{missing(True, 'before')} union all {missing(False, 'after')}"
+
+
+@query("missing_sources", MISSING)
+def _(v):
+    return X.missing_sources(v("change_files"), v("package_sources"))
+
+
 @query(
     "change_summary_by_set",
-    f"""with w as (select change_id, count(*) filter (not is_rollback) as f, count(*) filter (is_rollback) as b from ({REGENERATED}) group by change_id)
-    select change_id, coalesce(f, 0) as scripts_written, coalesce(b, 0) as rollback_scripts_written, case when warned then 1 else 0 end as n_warnings,
+    f"""with w as (select change_id, count(*) filter (not is_rollback) as f, count(*) filter (is_rollback) as b from ({REGENERATED}) group by change_id),
+    m as (select change_id, count(*) as n from ({MISSING}) group by change_id)
+    select change_id, coalesce(f, 0) as scripts_written, coalesce(b, 0) as rollback_scripts_written, coalesce(n, 0) as scripts_missing, case when warned then 1 else 0 end as n_warnings,
       has_scripts or coalesce(f, 0) + coalesce(b, 0) > 0 as should_run
     from (select change_id, bool_or(in_scripts) as has_scripts, bool_or(non_package_ddl) as warned from (select change_id, {FLAGS} from change_files) group by change_id)
-    left join w using (change_id)""",
+    left join w using (change_id) left join m using (change_id)""",
 )
 def _(v):
     return X.change_summary_by_set(v("change_files"), v("package_sources"), YEAR)

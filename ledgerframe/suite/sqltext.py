@@ -170,7 +170,8 @@ def catalogue_type(kind: str) -> str:
 
 def comment(table: str, column: str | None, text: str) -> str:
     target = f"'TABLE \"' || {table} || '\"'" if column is None else f"'COLUMN \"' || {table} || '\".\"' || {column} || '\"'"
-    return f"replace('COMMENT ON ' || {target} || ' IS ''' || replace({text}, '''', '''''') || ''';', chr(10), '')"
+    statement = f"'COMMENT ON ' || {target} || ' IS ''' || replace({text}, '''', '''''') || ''';'"
+    return statement if column is None else f"replace({statement}, chr(10), '')"
 
 
 def index_statement(ddl: str) -> str:

@@ -129,7 +129,7 @@ def test_change_summary(spark):
     script = X.regenerate_scripts(files, sources, 2024).first()
     assert (script.file_name, script.text) == ("1_a_p.sql", "s 2003-2024/\n\n")
     got = {r.change_id: tuple(r)[1:] for r in X.change_summary_by_set(files, sources, 2024).collect()}
-    assert got == {1: (1, 0, 1, True), 2: (0, 0, 0, False)}
+    assert got == {1: (1, 0, 0, 1, True), 2: (0, 0, 0, 0, False)}
 
 
 def test_missing_sources(spark):

@@ -173,3 +173,14 @@ def test_extract_placeholders(spark):
     assert apply(spark, P.extract_placeholders, texts) == [["rowCount", "tableName", "state"], ["yy", "zz"], []]
     braces = apply(spark, lambda c: P.extract_placeholders(c, True), texts[:1])
     assert braces == [["{rowCount}", "{tableName}", "{state}"]]
+
+
+def test_comments_keep_their_lines_but_on_columns_of_tables(spark):
+    frame = spark.createDataFrame([("T", "C", "a\nb'c")], "t string, c string, x string")
+    t, c, x = (F.col(n) for n in "tcx")
+    got = frame.select(T.comment_statement(t, None, x), T.comment_statement(t, c, x), T.comment_statement(t, c, x, one_line=True)).first()
+    assert list(got) == [
+        "COMMENT ON TABLE \"T\" IS 'a\nb''c';",
+        "COMMENT ON COLUMN \"T\".\"C\" IS 'a\nb''c';",
+        "COMMENT ON COLUMN \"T\".\"C\" IS 'ab''c';",
+    ]
