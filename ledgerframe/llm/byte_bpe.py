@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from functools import cache
 
 import numpy as np
@@ -85,22 +86,22 @@ def merged(token: bytes, ranks: dict[bytes, int]) -> list[int]:
     after = list(range(1, n + 1))  # where the part that starts here ends; 0: merged away
     before = list(range(-1, n))  # where the part in front starts
     rank = ranks.get
-    heap = [(r, i) for i in range(n - 1) if (r := rank(token[i : i + 2])) is not None]
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(token[i : i + 2])) is not None]
     heapq.heapify(heap)
     pop, push = heapq.heappop, heapq.heappush
     while heap:
-        r, i = pop(heap)
+        _, i, end = pop(heap)
         j = after[i]
-        if not 0 < j < n or rank(token[i : after[j]]) != r:
+        if not i < j < end or after[j] != end:
             continue  # one of the two has changed since
-        end = after[i] = after[j]
-        after[j] = 0
+        after[i], after[j] = end, 0
         if end < n:
             before[end] = i
-            if (r := rank(token[i : after[end]])) is not None:
-                push(heap, (r, i))
+            last = after[end]
+            if (r := rank(token[i:last])) is not None:
+                push(heap, (r, i, last))
         if i and (r := rank(token[before[i] : end])) is not None:
-            push(heap, (r, before[i]))
+            push(heap, (r, before[i], end))
     found, i = [], 0
     while i < n:
         found.append(ranks[token[i : after[i]]])
@@ -138,7 +139,7 @@ class Codec:
                 found.append(self.rank_at[at])
             else:
                 found += merged(token, self.ranks)
-        return np.array(found, "<i4").tobytes()
+        return array("i", found).tobytes()
 
     def encode(self, rows: list[str]) -> list[bytes]:
         """Packed ranks of each text."""
