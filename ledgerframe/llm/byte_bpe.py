@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from ledgerframe.llm.common import Recent, byte_batches, column_of, texts
 from ledgerframe.llm.packing import pieces_of
 
-KEPT, KEPT_CHARS = 400_000, 48
+KEPT, KEPT_CHARS = 300_000, 48
 
 
 def _hashes(token: bytes) -> tuple[int, int, int]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerframe.llm.common import byte_batches, column_of
+from ledgerframe.llm.common import byte_batches
 
 SAMPLE_DOCS = 20_000
 MATRIX_CELLS = 1 << 22
@@ -109,23 +109,28 @@ def scores(model: Model, rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def predicted(docs: DataFrame, model: Model | None, *more: str) -> DataFrame:
-    """doc_id, lang_pred and score of every text, with further columns of ``docs`` by name."""
-    named = ["doc_id", *(c for c in more if c != "text"), "text"]
-    rows = docs.select(*named, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_known"))
+    """doc_id, lang_pred and score of every text, with further columns of ``docs`` by name.
+
+    Only texts go to the Python workers; other columns stay in the rows.
+    """
+    named = ["doc_id", *(c for c in more if c != "doc_id")]
     if model is None:
-        return rows.select("doc_id", *more, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(*named, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def score(batches):
-        for batch in byte_batches(batches):
-            kept = batch.column(batch.schema.get_field_index("_known")).to_numpy(zero_copy_only=False)
-            text = batch.column(batch.schema.get_field_index("text"))
-            lang, value = np.full(len(kept), UNKNOWN, object), np.zeros(len(kept))
-            if kept.any():
-                best, sure = scores(shared.value, text.filter(pa.array(kept)).to_pylist())
-                lang[kept], value[kept] = np.array(shared.value.languages, object)[best], sure
-            own = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", *more)]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(lang, pa.string()), pa.array(value)], names=["doc_id", *more, "lang_pred", "score"])
-
-    schema = ", ".join([*(column_of(docs, c) for c in ("doc_id", *more)), "lang_pred string, score double"])
-    return rows.mapInArrow(score, schema)
+    @F.arrow_udf("lang string, score double")
+    def told(text: pa.Array) -> pa.Array:
+        lang, score = [], []
+        for batch in byte_batches([pa.RecordBatch.from_arrays([text], names=["text"])]):
+            best, sure = scores(shared.value, batch.column(0).to_pylist())
+            lang += [shared.value.languages[i] for i in best.tolist()]
+            score += sure.tolist()
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["lang", "score"])
+
+    known = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    rows = docs.select(*named, told(F.coalesce("text", F.lit(""))).alias("_told"), known.alias("_known"))
+    return rows.select(
+        *named,
+        F.when(F.col("_known"), F.col("_told.lang")).otherwise(UNKNOWN).alias("lang_pred"),
+        F.when(F.col("_known"), F.col("_told.score")).otherwise(0.0).alias("score"),
+    )

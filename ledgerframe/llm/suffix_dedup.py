@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerframe.llm.common import column_of, keyed, text_bytes
+from ledgerframe.llm.common import keyed, text_bytes
 from ledgerframe.session import materialize
 
 WINDOW = 50
@@ -441,31 +441,30 @@ def whole_characters(text: bytes, start: np.ndarray, end: np.ndarray) -> tuple[n
 def without_repeats(docs: DataFrame, *more: str, whole_chars: bool = False) -> DataFrame:
     """doc_id, bytes (of the text without what earlier documents have), n_bytes, spans (maximal
     removed runs, in order), with further columns of ``docs`` by name. With ``whole_chars`` the
-    bytes are text again: characters that only a part would be removed of stay."""
-    rows = keyed(docs, *more)
-    both = rows.join(repeats(rows), "row", "left").select("doc_id", *more, "text", "spans")
+    bytes are text again: characters that only a part would be removed of stay.
 
-    def cut(batches):
-        for batch in batches:
-            texts = batch.column(1 + len(more)).cast(pa.binary()).to_pylist()
-            spans = batch.column(2 + len(more))
-            kept, runs = [], []
-            for i, text in enumerate(texts):
-                if not spans[i].is_valid:
-                    kept.append(text)
-                    runs.append([])
-                    continue
-                pairs = spans[i].values
-                start, end = joined_spans(pairs.field(0).to_numpy(), pairs.field(1).to_numpy())
-                if whole_chars:
-                    start, end = whole_characters(text, start, end)
-                borders = np.concatenate([[0], np.stack([start, end], axis=1).ravel(), [len(text)]]).tolist()
-                kept.append(b"".join(text[a:b] for a, b in zip(borders[::2], borders[1::2], strict=True)))
-                runs.append([{"start": a, "end": b} for a, b in zip(start.tolist(), end.tolist(), strict=True)])
-            sizes = pa.array([len(text) for text in texts], pa.int64())
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            own = [batch.column(i) for i in range(1 + len(more))]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(kept, pa.binary()), sizes, pa.array(runs, kind)], names=["doc_id", *more, "bytes", "n_bytes", "spans"])
-
-    columns = [column_of(docs, c) for c in ("doc_id", *more)]
-    return both.mapInArrow(cut, ", ".join([*columns, "bytes binary, n_bytes long, spans array<struct<start: bigint, end: bigint>>"]))
+    Only texts and spans go to the Python workers; other columns stay in the rows.
+    """
+
+    @F.arrow_udf("bytes binary, spans array<struct<start: bigint, end: bigint>>")
+    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        kept, runs = [], []
+        for text, pairs in zip(texts.cast(pa.binary()), spans, strict=True):
+            text = text.as_py()
+            if not pairs.is_valid:
+                kept.append(text)
+                runs.append([])
+                continue
+            start, end = joined_spans(*(pairs.values.field(i).to_numpy() for i in (0, 1)))
+            if whole_chars:
+                start, end = whole_characters(text, start, end)
+            borders = np.concatenate([[0], np.stack([start, end], axis=1).ravel(), [len(text)]]).tolist()
+            kept.append(b"".join(text[a:b] for a, b in zip(borders[::2], borders[1::2], strict=True)))
+            runs.append([{"start": a, "end": b} for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        return pa.StructArray.from_arrays([pa.array(kept, pa.binary()), pa.array(runs, kind)], names=["bytes", "spans"])
+
+    rows = keyed(docs, *more)
+    both = rows.join(repeats(rows), "row", "left")
+    both = both.select("doc_id", *more, F.octet_length("text").cast("long").alias("n_bytes"), cut("text", "spans").alias("_cut"))
+    return both.select("doc_id", *more, F.col("_cut.bytes").alias("bytes"), "n_bytes", F.col("_cut.spans").alias("spans"))

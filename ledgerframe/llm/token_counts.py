@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from ledgerframe.llm.common import Recent, byte_batches, column_of, texts
 
 #: Pieces kept per worker and generation, and the longest piece kept.
-KEPT, KEPT_CHARS = 500_000, 48
+KEPT, KEPT_CHARS = 300_000, 48
 #: Characters per call of the library.
 CALL_CHARS = 1 << 18
 #: The cuts: blanks that the tokenizer treats as blanks as well.
