@@ -7,7 +7,8 @@ digest is put in one cell of each part: the cell counts it and takes its digest
 exclusive or. Sketches of two versions subtract cell by cell, and what both have vanishes. A cell
 that holds one digest shows it, by its check; taken out of its three cells, it uncovers others,
 and so on until no cell is left: the digests that only one version has. If cells are left, the
-sketch was too small for the difference, and the pair is tried again with a larger one.
+sketch was too small for the difference, and the pair is tried again with a larger one. How many
+cells to begin with is estimated from the least digests of both.
 
 As sketches are sums, two sketches and their difference are one aggregation of signed digests.
 Cells stay partitioned by document, so a round of peeling needs no shuffle.
@@ -30,6 +31,7 @@ from ledgerframe.session import materialize
 PARAGRAPH = 96
 CELLS = 24
 ROUNDS = 7
+LEAST = 16
 #: Rows of a state that hold what was found so far, instead of a cell: digests that only the
 #: first, and only the second version has.
 FIRST, SECOND = -1, -2
@@ -104,14 +106,23 @@ def differences(pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return told
 
 
+def _begin(cells: int) -> Column:
+    """Cells for the difference that the ``LEAST`` least digests of ``first`` and ``second`` let expect."""
+    one, two = (F.slice(F.sort_array(c), 1, LEAST) for c in ("first", "second"))
+    both = F.slice(F.sort_array(F.array_union(one, two)), 1, LEAST)
+    shared = F.size(F.array_intersect(both, F.array_intersect(one, two)))
+    different = F.col("total") * (F.size(both) - shared) / F.greatest(F.size(both) + shared, F.lit(1))
+    return (3 * F.ceil((cells + 2 * different) / 3)).cast("long")
+
+
 def likeness(pairs: DataFrame, cells: int = CELLS) -> DataFrame:
     """row, kind, likeness (twice the common over all digests) of pairs of digest sets.
 
-    Pairs: row, kind, first, second. Every pair starts with ``cells`` cells; those that fail go
-    on with a sketch for all digests of both, then with twice as many cells each time.
+    Pairs: row, kind, first, second. A pair starts with ``cells`` cells and two more for each
+    digest of the estimated difference; those that fail go on with twice as many each time.
     """
     pairs = pairs.withColumn("total", (F.size("first") + F.size("second")).cast("long"))
-    open_, done, level = pairs.withColumn("size", F.lit(cells).cast("long")), [], 0
+    open_, done, level = pairs.withColumn("size", _begin(cells)), [], 0
     while True:
         told = open_.select("row", "kind", "total", F.size("first").alias("n")).join(differences(open_), ["row", "kind"], "left")
         common = F.col("n") - F.coalesce("only_first", F.lit(0))
@@ -122,9 +133,8 @@ def likeness(pairs: DataFrame, cells: int = CELLS) -> DataFrame:
         failed = told.filter("left").select("row", "kind")
         if failed.isEmpty():
             return reduce(DataFrame.unionByName, done)
-        size = (F.expr("total div 2") + 10) * 3 * (1 << level)
-        open_ = pairs.join(failed, ["row", "kind"], "left_semi").withColumn("size", size.cast("long"))
         level += 1
+        open_ = pairs.join(failed, ["row", "kind"], "left_semi").withColumn("size", _begin(cells) * (1 << level))
 
 
 def next_rows(rows: DataFrame) -> DataFrame:
