@@ -28,10 +28,11 @@ from pyspark.sql import functions as F
 from ledgerframe.llm.common import keyed, numbered
 from ledgerframe.session import materialize
 
-PARAGRAPH = 96
+PARAGRAPH = 128
 CELLS = 24
 ROUNDS = 7
 LEAST = 16
+PART_DIGESTS = 200_000
 #: Rows of a state that hold what was found so far, instead of a cell: digests that only the
 #: first, and only the second version has.
 FIRST, SECOND = -1, -2
@@ -90,20 +91,21 @@ def peeled(state: DataFrame, *keys: str) -> DataFrame:
 
 
 def differences(pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """row, kind, first, second, left: how many digests only the first and only the second
-    version has, and whether cells are left. Pairs: row, kind, size, first and second (arrays)."""
+    """row, found: for each kind of pair, how many digests only the first and only the second
+    version has, and whether cells are left.
+
+    Pairs: row, kind, size, first and second (arrays), partitioned by row.
+    """
     keys = ["row", "kind"]
     signed = F.expr("concat(transform(first, d -> named_struct('digest', d, 'sign', 1)), transform(second, d -> named_struct('digest', d, 'sign', -1)))")
-    units = pairs.repartition("row").select(*keys, "size", F.inline(signed))
-    state = sketch(units, *keys, "size")
+    state = sketch(pairs.select(*keys, "size", F.inline(signed)), *keys, "size")
     for _ in range(rounds):
         state = peeled(state, *keys)
     told = state.groupBy(*keys).agg(
         F.sum(F.when(F.col("cell") == FIRST, F.col("n"))).alias("only_first"),
-        F.sum(F.when(F.col("cell") == SECOND, F.col("n"))).alias("only_second"),
         F.max(F.col("cell") >= 0).alias("left"),
     )
-    return told
+    return told.groupBy("row").agg(F.collect_list(F.struct("kind", "only_first", "left")).alias("found"))
 
 
 def _begin(cells: int) -> Column:
@@ -111,30 +113,39 @@ def _begin(cells: int) -> Column:
     one, two = (F.slice(F.sort_array(c), 1, LEAST) for c in ("first", "second"))
     both = F.slice(F.sort_array(F.array_union(one, two)), 1, LEAST)
     shared = F.size(F.array_intersect(both, F.array_intersect(one, two)))
-    different = F.col("total") * (F.size(both) - shared) / F.greatest(F.size(both) + shared, F.lit(1))
+    total = F.size("first") + F.size("second")
+    different = total * (F.size(both) - shared) / F.greatest(F.size(both) + shared, F.lit(1))
     return (3 * F.ceil((cells + 2 * different) / 3)).cast("long")
 
 
-def likeness(pairs: DataFrame, cells: int = CELLS) -> DataFrame:
+def likeness(sets: DataFrame, cells: int = CELLS) -> DataFrame:
     """row, kind, likeness (twice the common over all digests) of pairs of digest sets.
 
-    Pairs: row, kind, first, second. A pair starts with ``cells`` cells and two more for each
-    digest of the estimated difference; those that fail go on with twice as many each time.
+    Sets: row, first, and others, an array of kind and second. A pair starts with ``cells`` cells
+    and two more for each digest of the estimated difference; those that fail go on with twice as
+    many each time. Partitions are made for ``PART_DIGESTS`` digests each.
     """
-    pairs = pairs.withColumn("total", (F.size("first") + F.size("second")).cast("long"))
-    open_, done, level = pairs.withColumn("size", _begin(cells)), [], 0
+    held = F.aggregate("others", F.size("first"), lambda n, o: n + F.size("first") + F.size(o["second"]))
+    parts = max(1, -(-(sets.agg(F.sum(held)).first()[0] or 0) // PART_DIGESTS))
+    done, level = [], 0
     while True:
-        told = open_.select("row", "kind", "total", F.size("first").alias("n")).join(differences(open_), ["row", "kind"], "left")
-        common = F.col("n") - F.coalesce("only_first", F.lit(0))
-        like = F.when(F.col("total") == 0, 1.0).otherwise(2 * common / F.greatest("total", F.lit(1)))
-        told = told.select("row", "kind", F.coalesce("left", F.lit(False)).alias("left"), like.alias("likeness"))
-        told = materialize(told, "peeled")
+        spread = sets.repartition(parts, "row")
+        pairs = spread.select("row", "first", F.inline("others")).withColumn("size", _begin(cells) * (1 << level))
+        both = spread.join(differences(pairs), "row", "left").select("row", "first", "found", F.inline("others"))
+        found = F.filter(F.coalesce("found", F.array()), lambda f: f["kind"] == F.col("kind"))
+        told = both.withColumn("own", F.try_element_at(found, F.lit(1)))
+        left = F.coalesce("own.left", F.lit(False))
+        total = F.size("first") + F.size("second")
+        common = F.size("first") - F.coalesce("own.only_first", F.lit(0))
+        like = F.when(total == 0, 1.0).otherwise(2 * common / F.greatest(total, F.lit(1)))
+        # sets are kept for the pairs that failed only
+        again = F.when(left, F.struct("first", F.array(F.struct("kind", "second")).alias("others")))
+        told = materialize(told.select("row", "kind", left.alias("left"), like.alias("likeness"), again.alias("again")), "peeled")
         done.append(told.filter("not left").select("row", "kind", "likeness"))
-        failed = told.filter("left").select("row", "kind")
-        if failed.isEmpty():
+        sets = told.filter("left").select("row", "again.*")
+        if sets.isEmpty():
             return reduce(DataFrame.unionByName, done)
-        level += 1
-        open_ = pairs.join(failed, ["row", "kind"], "left_semi").withColumn("size", _begin(cells) * (1 << level))
+        level, parts = level + 1, max(1, parts // 4)
 
 
 def next_rows(rows: DataFrame) -> DataFrame:
@@ -146,23 +157,23 @@ def next_rows(rows: DataFrame) -> DataFrame:
 
 
 def versions(rows: DataFrame, length: int = PARAGRAPH) -> DataFrame:
-    """row, doc_id, n_chars, edited_sha256 and the digests of every text, of its edited text
-    and of the next text. Edited: the last third is replaced by the start of the next text.
+    """row, n_chars, edited_sha256 and the digests of every text, of its edited text and of the
+    next text. Edited: the last third is replaced by the start of the next text.
 
-    Written once; texts are shuffled by row, and starts of texts to the row in front of them.
+    Written once. Texts are shuffled by row, once for both joins, and starts of texts to the row
+    in front of them.
     """
-    n = F.length("text")
+    text = rows.select("row", "text")
     sized = rows.select("row", F.length("text").alias("n"))
-    ahead = next_rows(rows).join(sized, "row").select("row", F.col("next"), F.floor(F.col("n") / 3).cast("int").alias("third"))
-    heads = rows.select(F.col("row").alias("next"), "text").join(ahead, "next")
-    heads = heads.select("row", F.expr("left(text, third)").alias("head"), digests(F.col("text"), length).alias("following"))
-    both = rows.select("row", "doc_id", "text").join(heads, "row")
+    ahead = next_rows(rows).join(sized, "row").select(F.col("row").alias("before"), F.col("next"), F.floor(F.col("n") / 3).cast("int").alias("third"))
+    heads = text.join(ahead, text["row"] == ahead["next"])
+    heads = heads.select(F.col("before").alias("of"), F.expr("left(text, third)").alias("head"), digests(F.col("text"), length).alias("following"))
+    both = text.join(heads, text["row"] == heads["of"])
     edited = F.concat(F.expr("left(text, char_length(text) - cast(floor(char_length(text) / 3) as int))"), "head")
-    both = both.select("row", "doc_id", "text", "following", F.inline(F.array(F.struct(edited.alias("edited")))))
+    both = both.select("row", "text", "following", F.inline(F.array(F.struct(edited.alias("edited")))))
     told = both.select(
         "row",
-        "doc_id",
-        n.cast("long").alias("n_chars"),
+        F.length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         digests(F.col("text"), length).alias("own"),
         digests(F.col("edited"), length).alias("changed"),
@@ -173,15 +184,16 @@ def versions(rows: DataFrame, length: int = PARAGRAPH) -> DataFrame:
 
 def fingerprints(docs: DataFrame, cells: int = CELLS, length: int = PARAGRAPH) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    told = versions(keyed(docs), length)
-    kinds = F.inline(F.expr("array(named_struct('kind', 0, 'second', changed), named_struct('kind', 1, 'second', following))"))
-    near = likeness(told.select("row", F.col("own").alias("first"), kinds), cells)
+    rows = keyed(docs)
+    told = versions(rows, length)
+    others = F.expr("array(named_struct('kind', 0, 'second', changed), named_struct('kind', 1, 'second', following))")
+    near = likeness(told.select("row", F.col("own").alias("first"), others.alias("others")), cells)
     near = near.groupBy("row").agg(
         F.max(F.when(F.col("kind") == 0, F.col("likeness"))).alias("near_edited"),
         F.max(F.when(F.col("kind") == 1, F.col("likeness"))).alias("near_next"),
     )
     version = F.inline(F.expr("array(named_struct('version', 0, 'digests', own), named_struct('version', 1, 'digests', changed))"))
-    units = told.select("row", version).repartition("row")
+    units = told.select("row", "own", "changed").repartition("row").select("row", version)
     units = units.select("row", "version", F.lit(cells).cast("long").alias("size"), F.lit(1).alias("sign"), F.explode("digests").alias("digest"))
     marked = sketch(units, "row", "version").groupBy("row").agg(F.collect_list(F.struct("version", "cell", "n", "key", "chk")).alias("cells"))
     prints = marked.select(
@@ -189,7 +201,7 @@ def fingerprints(docs: DataFrame, cells: int = CELLS, length: int = PARAGRAPH) -
         fingerprint(F.filter("cells", lambda c: c["version"] == 0)).alias("fingerprint"),
         fingerprint(F.filter("cells", lambda c: c["version"] == 1)).alias("edited_fingerprint"),
     )
-    slim = told.select("row", "doc_id", "n_chars", "edited_sha256")
+    slim = told.select("row", "n_chars", "edited_sha256").join(rows.select("row", "doc_id"), "row")
     both = slim.join(near, "row").join(prints, "row", "left")
     return both.select(
         "doc_id",

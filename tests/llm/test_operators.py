@@ -289,7 +289,7 @@ def test_fingerprints(unique_docs, unique):
         row = got[number]
         assert row.n_chars == len(text) and row.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         for other, near in ((edited, row.near_edited), (after, row.near_next)):
-            one, two = (set(re.findall(r"[^\n]{1,96}", t)) for t in (text, other))
+            one, two = (set(re.findall(r"[^\n]{1,128}", t)) for t in (text, other))
             assert near == (2 * len(one & two) / (len(one) + len(two)) if one or two else 1.0)
     prints = {}
     for number, text in unique:
