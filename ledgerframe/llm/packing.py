@@ -26,8 +26,9 @@ from ledgerframe.llm.token_counts import KEPT, KEPT_CHARS, encoded_in_calls, id_
 
 LENGTH = 2048
 GROUP_DOCS = 512
-#: Texts with such blanks are cut with more care: runs of blanks are matched as one.
-UNEVEN = re.compile(r"\s\s|[^\S \n]|\x00")
+#: Texts with any of these are cut with more care: runs of blanks are matched as one. They are
+#: the blanks besides blank and line end, the mark used for cutting, and blanks next to each other.
+UNEVEN = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"] + ["\0", "  ", "\n\n", " \n", "\n "]
 BEFORE_BLANK = re.compile(r"(?<=\S)(?= )")
 
 
@@ -37,7 +38,7 @@ def pieces_of(text: str) -> list[str]:
     A blank after a visible character starts a pre-token; so does a lone line end, and what
     follows it.
     """
-    if UNEVEN.search(text):
+    if any(mark in text for mark in UNEVEN):
         return BEFORE_BLANK.split(text)
     return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
