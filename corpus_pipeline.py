@@ -33,9 +33,12 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that fail the base or whose posterior quality is below the threshold."""
-    counts = quality_rules.counted(_carried(docs), "_row")
-    judged = materialize(counts.withColumns(quality_rules.votes()), "votes")
+    """Rejects documents that fail the base or whose posterior quality is below the threshold.
+
+    Texts are counted twice, for the weights and for the verdicts: a table of votes that carries
+    the documents along would take their size in the shared folder.
+    """
+    judged = quality_rules.counted(_carried(docs), "_row").withColumns(quality_rules.votes())
     good = quality_rules.posterior(quality_rules.fit(judged)) >= quality_rules.THRESHOLD
     return judged.filter(~quality_rules.base_failed() & good).select("_row.*")
 

@@ -28,6 +28,8 @@ BUCKETS = 1 << 17
 ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
 UNKNOWN = "und"
+#: Bytes of text scored at once; the n-grams of a byte take about a hundred.
+CHUNK = 1 << 18
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint32)
 
 
@@ -62,7 +64,7 @@ def grams(rows: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
 def _counted(sample: DataFrame, buckets: int) -> DataFrame:
     def count(batches):
         totals: dict[str, np.ndarray] = {}
-        for batch in byte_batches(batches):
+        for batch in byte_batches(batches, CHUNK):
             frame = batch.to_pandas()
             for lang, rows in frame.groupby("lang")["text"]:
                 found, _ = grams(list(rows), buckets)
@@ -121,7 +123,7 @@ def predicted(docs: DataFrame, model: Model | None, *more: str) -> DataFrame:
     @F.arrow_udf("lang string, score double")
     def told(text: pa.Array) -> pa.Array:
         lang, score = [], []
-        for batch in byte_batches([pa.RecordBatch.from_arrays([text], names=["text"])]):
+        for batch in byte_batches([pa.RecordBatch.from_arrays([text], names=["text"])], CHUNK):
             best, sure = scores(shared.value, batch.column(0).to_pylist())
             lang += [shared.value.languages[i] for i in best.tolist()]
             score += sure.tolist()
