@@ -11,9 +11,9 @@ repeat, that is a longest increasing run of places.
 
 Copies are one document here. In a bucket of equal sketches all documents are compared with
 the least; those unlike it are compared with the least of the rest, and so on, ``ROUNDS`` times.
-What is left then is compared pair by pair in blocks that are spread over tasks. So neither the
-number of partners is capped nor all pairs of a group of alike documents are made. Classes are
-connected components of the links.
+Then any two documents of a bucket that the links leave in different components are compared, in
+blocks that are spread over tasks. So neither the number of partners is capped nor all pairs of a
+group of alike documents are made. Classes are connected components of the links.
 
 Defined results: a null text is empty. Documents without a word are alike only if their texts
 are equal; below five words the words are the only shingle. Extra columns are ignored; an empty
@@ -154,33 +154,62 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialize(both.mapInArrow(verify, "leader long, row long, similar boolean"), "verified")
 
 
+def unjoined(seen: DataFrame, buckets: DataFrame, known: DataFrame) -> DataFrame:
+    """bucket, row, label, block and blocks to meet, of the buckets whose documents are in several components.
+
+    The documents of a bucket's largest component make blocks of their own, which meet the others'
+    blocks only. Buckets of the same documents are taken once.
+    """
+    labelled = seen.select("bucket", "row").join(buckets, "bucket", "left_semi").join(known.withColumnRenamed("node", "row"), "row", "left")
+    labelled = materialize(labelled.withColumn("label", F.coalesce("label", "row")), "labelled")
+    named = [F.bit_xor(F.xxhash64("row", F.lit(i))).alias(f"rows{i}") for i in range(2)]
+    groups = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"), *named)
+    sums = [F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"), *(F.bit_xor(f"rows{i}").alias(f"rows{i}") for i in range(2))]
+    mixed_ = groups.groupBy("bucket").agg(*sums, F.count("*").alias("labels")).filter("labels > 1")
+    once = mixed_.groupBy("n", "rows0", "rows1").agg(F.min(F.struct("bucket", "most")).alias("at")).select("n", "at.*")
+    few, many = (F.ceil(n / BLOCK).cast("int") for n in (F.col("n") - F.col("most.n"), F.col("most.n")))
+    once = once.select("bucket", F.col("most.label").alias("largest"), few.alias("few"), many.alias("many"))
+    number, own = F.xxhash64("row"), F.col("label") == F.col("largest")
+    block = F.when(own, F.col("few") + F.pmod(number, F.col("many"))).otherwise(F.pmod(number, F.col("few"))).cast("int")
+    meets = F.when(own, F.col("few")).otherwise(F.col("few") + F.col("many"))
+    return labelled.join(once, "bucket").select("bucket", "row", "label", block.alias("block"), meets.alias("meets"))
+
+
 def in_blocks(rest: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links between any two documents of a bucket, compared in pairs of blocks."""
-    sizes = rest.groupBy("bucket").agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = rest.join(sizes, "bucket").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = dealt.select("bucket", "row", "block", other)
-    dealt = dealt.select("row", F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), F.xxhash64("bucket", "block").alias("side"))
+    """Links between documents of a bucket that are in different components, compared in pairs of
+    blocks. A pair of blocks gives only links that join two components."""
+    other = F.explode(F.sequence(F.lit(0), F.col("meets") - 1)).alias("other")
+    dealt = rest.select("bucket", "row", "label", "block", other)
+    dealt = dealt.select("row", "label", F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), F.xxhash64("bucket", "block").alias("side"))
 
     def compare(table: pa.Table) -> pa.Table:
-        rows, sides = table["row"].to_pylist(), table["side"].to_pylist()
+        rows, sides, names = (table[name].to_pylist() for name in ("row", "side", "label"))
         own = [labels(text) for text in table["text"].to_pylist()]
         one_block = len(set(sides)) == 1
-        links = [
-            (rows[i], rows[j])
-            for i in range(len(rows))
-            for j in range(i)
-            if (one_block or sides[i] != sides[j]) and similarity(own[i], own[j]) >= SIMILARITY
-        ]
+        joined = {name: name for name in names}
+
+        def root(name: int) -> int:
+            while joined[name] != name:
+                joined[name] = name = joined[joined[name]]
+            return name
+
+        links = []
+        for i in range(len(rows)):
+            for j in range(i):
+                if not one_block and sides[i] == sides[j]:
+                    continue
+                one, two = root(names[i]), root(names[j])
+                if one != two and similarity(own[i], own[j]) >= SIMILARITY:
+                    joined[one] = two
+                    links.append((rows[i], rows[j]))
         return pa.table({"leader": pa.array([a for a, _ in links], pa.int64()), "row": pa.array([b for _, b in links], pa.int64())})
 
     return materialize(dealt.join(texts, "row").groupBy("unit").applyInArrow(compare, "leader long, row long"), "blocks")
 
 
-def links_of(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """leader, row: links between documents of equal sketches (bucket, row)."""
-    found, links, open_ = None, [], members
+def components_of(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, label: components by the links between documents of equal sketches (bucket, row)."""
+    found, links, seen, open_ = None, [], [], members
     for _ in range(ROUNDS):
         leaders = open_.groupBy("bucket").agg(F.min("row").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
         led = open_.join(leaders, "bucket").filter("row != leader")
@@ -190,13 +219,19 @@ def links_of(members: DataFrame, texts: DataFrame) -> DataFrame:
         told = verified(pairs, texts)
         links.append(told.filter("similar").select("leader", "row"))
         found = told if found is None else found.unionByName(told)
+        seen.append(materialize(led.join(found, ["leader", "row"]).select("bucket", "row", "similar"), "seen"))
         # a bucket goes on with the documents unlike its leader
-        open_ = materialize(led.join(found.filter("not similar"), ["leader", "row"], "left_semi").select("bucket", "row"), "open")
-        rest = open_.groupBy("bucket").count().filter("count > 1")
+        open_ = seen[-1].filter("not similar").select("bucket", "row")
+        rest = open_.groupBy("bucket").count().filter("count > 1").select("bucket")
         if rest.isEmpty():
-            return reduce(DataFrame.unionByName, links)
-    rest = open_.join(rest, "bucket", "left_semi")
-    return reduce(DataFrame.unionByName, [*links, in_blocks(rest, texts)])
+            break
+    linked = reduce(DataFrame.unionByName, links)
+    known = components(linked)
+    # documents like a leader have not met those unlike it, and the rest has not met at all
+    led = reduce(DataFrame.unionByName, seen).filter("similar").select("bucket")
+    buckets = seen[0].filter("not similar").select("bucket").distinct().join(led.unionByName(rest), "bucket", "left_semi")
+    more = in_blocks(unjoined(seen[0], buckets, known), texts)
+    return known if more.isEmpty() else components(linked.unionByName(more))
 
 
 def components(links: DataFrame, one: str = "leader", two: str = "row") -> DataFrame:
@@ -228,6 +263,6 @@ def near_classes(docs: DataFrame, *more: str) -> DataFrame:
     shared = bucketed.groupBy("bucket").count().filter("count > 1").select("bucket")
     members = materialize(bucketed.join(shared, "bucket", "left_semi"), "members")
     texts = materialize(rows.select("row", "text").join(members.select("row").distinct(), "row", "left_semi"), "candidates")
-    known = components(links_of(members, texts))
+    known = components_of(members, texts)
     classes = same.join(known, same["first"] == known["node"], "left").select("row", F.coalesce("label", "first").alias("class"))
     return rows.drop("text").join(classes, "row")

@@ -382,6 +382,23 @@ def test_near_dedup_compares_the_rest_in_blocks(spark, monkeypatch):
     assert all(got[i] == got[i + 40] for i in range(40))
 
 
+def test_near_dedup_joins_copies_by_an_original_that_is_no_leader(spark):
+    """Copies unlike each other, all like one document that is the last of its buckets."""
+    rng = random.Random(11)
+    base = words(rng, 300)
+    made = [(1000, " ".join(base))]
+    for i in range(60):
+        edited = list(base)
+        for place in rng.sample(range(2, 298, 6), 9):
+            edited[place] = f"x{i}"
+        made.append((i, " ".join(edited)))
+    own = [near_dedup.labels(t) for _, t in made]
+    assert all(near_dedup.similarity(own[0], o) >= 0.8 for o in own[1:])
+    assert sum(near_dedup.similarity(own[1], o) >= 0.8 for o in own[2:]) == 0
+    got = {r.doc_id: r["class"] for r in near_dedup.near_classes(docs_of(spark, made)).collect()}
+    assert set(got.values()) == {0}
+
+
 def test_similarity_is_a_chain_in_order():
     rng = random.Random(7)
     one = near_dedup.labels(" ".join(words(rng, 400)))
