@@ -4,6 +4,7 @@ A document is the sequence of its five-word shingles, each labelled with how oft
 occurred before, so that no label repeats. A sketch takes the ``PICKED`` labels with the least
 hashes of one hash function and keeps them in text order: it agrees for two documents about as
 often as they agree in shingles and in their order. Documents with an equal sketch are candidates.
+A document of at most ``FEW`` shingles has keys instead that any document like it shares for certain.
 
 Similarity is the best alignment of the two sequences over the longer one's length: the longest
 chain of equal labels in order, within the band of diagonals that 0.8 leaves. As labels don't
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 48
 PICKED = 5
+FEW = 20
+KEYED = 3
 ROUNDS = 3
 BLOCK = 64
 U = np.uint64
@@ -96,6 +100,30 @@ def sketches(label: np.ndarray, count: int = SKETCHES, picked: int = PICKED) ->
     return found
 
 
+def keys(label: np.ndarray, picked: int = KEYED) -> np.ndarray:
+    """Numbers of which two documents of alike sequences have one in common for certain.
+
+    Alike documents share ``need`` labels or more. The least ``picked`` of these are among the least
+    ``len(label) - need + picked`` labels of both, so every choice from those is a key.
+    """
+    size = len(label)
+    need = next(n for n in range(size + 1) if n / size >= SIMILARITY)
+    picked = min(picked, size)
+    least = np.sort(label)[: size - need + picked]
+    code = np.full(1, SKETCHES + picked, U)
+    for column in least[np.array(list(combinations(range(len(least)), picked)))].T:
+        code = mixed(code + column)
+    return code
+
+
+def candidacies(label: np.ndarray) -> np.ndarray:
+    """The buckets of a document: keys, sketches, or both where its partners may have either."""
+    if not len(label):
+        return np.zeros(0, U)
+    found = [keys(label)] if len(label) <= FEW / SIMILARITY else []
+    return np.concatenate([*found, *([sketches(label)] if len(label) > FEW else [])])
+
+
 def similarity(one: np.ndarray, two: np.ndarray) -> float:
     """The longest banded chain of equal labels over the longer length; 0 where below the threshold
     is certain."""
@@ -122,11 +150,11 @@ def similarity(one: np.ndarray, two: np.ndarray) -> float:
 
 
 def sketched(rows: DataFrame) -> DataFrame:
-    """row, one, two (hashes of the text) and sketches of every document; written once."""
+    """row, one, two (hashes of the text) and sketches or keys of every document; written once."""
 
     def sketch(batches):
         for batch in byte_batches(batches):
-            found = [sketches(x) if len(x) else np.zeros(0, U) for x in map(labels, batch.column(3).to_pylist())]
+            found = [candidacies(x) for x in map(labels, batch.column(3).to_pylist())]
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], names=["row", "one", "two", "sketches"])

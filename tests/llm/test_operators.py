@@ -399,6 +399,29 @@ def test_near_dedup_joins_copies_by_an_original_that_is_no_leader(spark):
     assert set(got.values()) == {0}
 
 
+def test_near_dedup_finds_all_alike_short_texts(spark):
+    """Texts that differ at an end by as much as 0.8 leaves, of every length with keys."""
+    rng = random.Random(12)
+    made, alike = [], []
+    for shingles in range(5, 26):
+        for _ in range(6):
+            text = words(rng, shingles + 4)
+            fewer = next(k for k in range(shingles, 0, -1) if (k - 1) / shingles < 0.8)
+            alike.append((len(made), len(made) + 1))
+            made += [" ".join(text), " ".join(text[: fewer + 4])]
+            if shingles < 10:
+                alike.append((len(made), len(made) + 1))
+                made += [" ".join(["a", *text[1:]]), " ".join(["b", *text[1:]])]
+    own = [near_dedup.labels(t) for t in made]
+    for i, j in alike:
+        assert near_dedup.similarity(own[i], own[j]) >= 0.8
+        if min(len(own[i]), len(own[j])) <= near_dedup.FEW:
+            assert set(near_dedup.candidacies(own[i]).tolist()) & set(near_dedup.candidacies(own[j]).tolist())
+    few = range(60)
+    got = {r.doc_id: r["class"] for r in near_dedup.near_classes(docs_of(spark, [(i, made[i]) for i in few])).collect()}
+    assert all(got[i] == got[j] for i, j in alike if j in few)
+
+
 def test_similarity_is_a_chain_in_order():
     rng = random.Random(7)
     one = near_dedup.labels(" ".join(words(rng, 400)))
