@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerframe.llm import byte_bpe, fingerprints, language_id, near_dedup, packing, quality_rules, sharding, suffix_dedup, token_counts, url_filter
+from ledgerframe.llm import byte_bpe, fingerprints, language_id, near_dedup, packing, quality_rules, sharding, suffix_dedup, token_counts, url_filter, whitening
 from ledgerframe.session import materialize
 
 URL_RULES = ["allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/"]
@@ -129,6 +129,11 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.join(names, "class").select("doc_id", "class_id")
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of every embedding on the eight leading components."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), count=8)
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -140,6 +145,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_near_dedup": op10_near_dedup,
+    "op12_embedding_whitening": op12_embedding_whitening,
     "pipeline": corpus_pipeline.run,
 }
 
