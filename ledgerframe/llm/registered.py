@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerframe.llm import byte_bpe, fingerprints, language_id, near_dedup, packing, quality_rules, sharding, suffix_dedup, token_counts, url_filter, whitening
+from ledgerframe.llm import byte_bpe, fingerprints, language_id, near_dedup, packing, prefix_trie, quality_rules, sharding, suffix_dedup, token_counts, url_filter, whitening
 from ledgerframe.session import materialize
 
 URL_RULES = ["allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/"]
@@ -129,6 +129,57 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.join(names, "class").select("doc_id", "class_id")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of conversations rebuilt on the heads they share."""
+    turns = prefix_trie.turn_rows(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.spliced(turns))
+
+
+OP11_SQL = """
+with crc_table as (
+    select list(list_reduce([n, 0, 1, 2, 3, 4, 5, 6, 7], lambda c, i: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end)
+        order by n) as entries
+    from (select range::bigint as n from range(256))
+), own as (
+    select conv_id, coalesce(role, '') as role, coalesce(text, '') as content, row_number() over (partition by conv_id
+        order by turn nulls first, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as pos
+    from conversations where conv_id is not null
+), convs as (
+    select conv_id, conv_id - conv_id % 100 as base, xor(4294967295, list_reduce(
+        list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint)),
+        lambda c, x: xor(entries[(xor(c, x) & 255) + 1], c >> 8))) % 6 as h
+    from (select distinct conv_id from own), crc_table
+), rebuilt as (
+    select c.conv_id, 0 as half, o.pos, o.role, o.content from convs c join own o on o.conv_id = c.base and o.pos <= c.h
+    union all
+    select c.conv_id, 1, o.pos, o.role, o.content from convs c join own o on o.conv_id = c.conv_id and o.pos > c.h
+), whole as (
+    select c.conv_id, coalesce(list({'role': r.role, 'content': r.content} order by r.half, r.pos) filter (where r.pos is not null), []) as turns
+    from convs c left join rebuilt r on r.conv_id = c.conv_id group by c.conv_id
+), paths as (
+    select conv_id, d as depth, turns[1:d] as prefix, d = len(turns) as ends
+    from (select *, unnest(range(len(turns) + 1)) as d from whole)
+), named as (
+    select *, min(conv_id) over (partition by depth, prefix) as node from paths
+), nodes as (
+    select n.node, n.depth, any_value(up.node) as parent, count(*) as n_convs,
+        (count(*) - 1) * coalesce(any_value(length(n.prefix[n.depth].content)), 0) as own,
+        sha256(coalesce(string_agg(n.conv_id::varchar, ',' order by n.conv_id) filter (where n.ends), '')) as ends_sha256
+    from named n left join named up on up.conv_id = n.conv_id and up.depth = n.depth - 1
+    group by n.node, n.depth
+), children as (
+    select n.*, (select count(*) from nodes c where c.parent = n.node and c.depth = n.depth + 1) as n_children from nodes n
+), subtrees as (
+    select m.node, m.depth, sum(c.own) as saved_tokens, count(*) filter (where c.n_children = 0) as n_leaves
+    from children c join named m on m.conv_id = c.node and m.depth <= c.depth
+    group by m.node, m.depth
+)
+select c.node as conv_id, c.depth, c.parent as parent_conv_id, c.n_convs, c.n_children, s.n_leaves,
+    s.saved_tokens::bigint as saved_tokens, c.ends_sha256
+from children c join subtrees s on s.node = c.node and s.depth = c.depth
+"""
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whitened coordinates of every embedding on the eight leading components."""
     return whitening.whitened(table(spark, sf_dir, "embeddings"), count=8)
@@ -145,6 +196,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_near_dedup": op10_near_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_embedding_whitening": op12_embedding_whitening,
     "pipeline": corpus_pipeline.run,
 }
@@ -155,4 +207,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_url_filters": OP1_SQL}
+    return {"op1_url_filters": OP1_SQL, "op11_prefix_trie": OP11_SQL}
