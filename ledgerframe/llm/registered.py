@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerframe.llm import byte_bpe, fingerprints, language_id, near_dedup, packing, prefix_trie, quality_rules, sharding, suffix_dedup, token_counts, url_filter, whitening
+from ledgerframe.llm import byte_bpe, fingerprints, html_extraction, language_id, near_dedup, packing, prefix_trie, quality_rules, sharding, suffix_dedup, token_counts, url_filter, whitening
 from ledgerframe.session import materialize
 
 URL_RULES = ["allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/"]
@@ -185,6 +185,11 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"), count=8)
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page by the wrapper of its host."""
+    return html_extraction.main_texts(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -198,6 +203,7 @@ QUERIES = {
     "op10_near_dedup": op10_near_dedup,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_html_extraction": op13_html_extraction,
     "pipeline": corpus_pipeline.run,
 }
 
