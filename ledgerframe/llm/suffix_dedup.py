@@ -8,7 +8,7 @@ are sorted, about one for 14 bytes, and of those only the ones that can matter:
 1. Hashes of anchors are grouped; those in more than one document are put in a Bloom filter of
    bounded size, which is broadcast. It only saves work: what passes by mistake is sorted in vain.
 2. Zones at those anchors, once per batch, are range-partitioned by their suffixes with sampled
-   splitters. Every bucket is sorted by a multikey sort (one word of eight bytes at a time, for
+   splitters, into as many buckets as keep them at about ``BUCKET_ROWS`` zones. Every bucket is sorted by a multikey sort (one word of eight bytes at a time, for
    the suffixes that are equal so far). Runs of neighbours with a common prefix, split by the bytes in front of the
    anchor, are the equal windows; the least document of each is kept. Windows of runs that
    touch a bucket's border are compared across buckets by their digests.
@@ -18,7 +18,10 @@ are sorted, about one for 14 bytes, and of those only the ones that can matter:
 Equal zones are sent once per batch, so a hot passage is no hot group; zones that share only
 a suffix are split over buckets, as all their bytes take part in the order.
 
-Defined results: a null text is empty. Texts below 50 bytes lose nothing. Rows with equal ids
+Very long texts are worked on in parts of ``size`` bytes that overlap by a window.
+
+Defined results: a null text is empty. Texts below 50 bytes lose nothing. Columns that are not
+asked for are ignored, whatever their names. Rows with equal ids
 are no earlier than each other, so they keep what only they share; a null id comes last.
 Matches never cross documents. An empty table gives an empty result.
 """
@@ -43,6 +46,10 @@ LEFT = WINDOW - ANCHOR
 #: Bytes of text worked on at once, and the largest Bloom filter in bits.
 CHUNK = 1 << 20
 FILTER_BITS = 1 << 27
+#: Zones in a bucket; bytes of text that splitters are sampled from, at least and as a share of all;
+#: one of so many sampled suffixes goes to the driver.
+BUCKET_ROWS = 250_000
+SAMPLE_BYTES, SAMPLE_SHARE, SAMPLE_STEP = 8 << 20, 1 / 50_000, 8
 _PLACE = np.uint64((1 << 22) - 1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 U = np.uint64
@@ -91,7 +98,7 @@ class Chunk:
         new = np.ones(len(place), bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
         first = np.flatnonzero(new)
-        last = np.append(first[1:], len(place)) - 1
+        last = np.append(first[1:], len(place))[: len(first)] - 1  # none where no window is
         self.text, self.anchor = text[first], anchor[first]
         self.low, self.high = place[first], place[last]  # first and last window of the zone
 
@@ -131,11 +138,11 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def shared_anchors(docs: DataFrame) -> DataFrame:
+def shared_anchors(docs: DataFrame, size: int = CHUNK) -> DataFrame:
     """Hashes of the anchors that more than one document has."""
 
     def anchors(batches):
-        for chunk, rows, _ in chunks(batches):
+        for chunk, rows, _ in chunks(batches, size):
             gram, _ = chunk.keys()
             yield pa.RecordBatch.from_arrays([_signed(gram), pa.array(rows[1][chunk.text])], names=["gram", "ord"])
 
@@ -174,12 +181,12 @@ def _passes(filled: np.ndarray, gram: np.ndarray) -> np.ndarray:
     return found
 
 
-def zones(docs: DataFrame, shared) -> DataFrame:
+def zones(docs: DataFrame, shared, splitters: np.ndarray | None = None, size: int = CHUNK) -> DataFrame:
     """Distinct zones of each chunk: key (suffix, then the bytes in front, backwards, both padded
-    with zeros), right, left (their lengths), gram, zone, low and high (its documents)."""
+    with zeros), right, left (their lengths), gram, zone, low and high (its documents), bucket."""
 
     def cut(batches):
-        for chunk, rows, _ in chunks(batches):
+        for chunk, rows, _ in chunks(batches, size):
             gram, zone = chunk.keys()
             kept = np.flatnonzero(_passes(shared.value, gram))
             if not len(kept):
@@ -202,11 +209,62 @@ def zones(docs: DataFrame, shared) -> DataFrame:
             borders = pa.py_buffer(np.arange(0, key.size + 1, key.shape[1], dtype=np.int32))
             keys = pa.Array.from_buffers(pa.binary(), len(kept), [None, borders, pa.py_buffer(key)])
             yield pa.RecordBatch.from_arrays(
-                [keys, pa.array(right.astype(np.int8)), pa.array(left.astype(np.int8)), _signed(gram[kept]), _signed(zone[kept]), pa.array(low), pa.array(high)],
-                names=["key", "right", "left", "gram", "zone", "low", "high"],
+                [
+                    keys,
+                    pa.array(right.astype(np.int8)),
+                    pa.array(left.astype(np.int8)),
+                    _signed(gram[kept]),
+                    _signed(zone[kept]),
+                    pa.array(low),
+                    pa.array(high),
+                    pa.array(bucket_of(key, splitters)),
+                ],
+                names=["key", "right", "left", "gram", "zone", "low", "high", "bucket"],
             )
 
-    return docs.select("row", "ord", "text").mapInArrow(cut, "key binary, right byte, left byte, gram long, zone long, low long, high long")
+    schema = "key binary, right byte, left byte, gram long, zone long, low long, high long, bucket int"
+    return docs.select("row", "ord", "text").mapInArrow(cut, schema)
+
+
+def _leading(key: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(key[:, :8]).view(">u8").ravel().astype(U)
+
+
+def bucket_of(key: np.ndarray, splitters: np.ndarray | None) -> np.ndarray:
+    """The number of splitters at or below each key; both are rows of bytes, splitters in order."""
+    if splitters is None or not len(splitters):
+        return np.zeros(len(key), np.int32)
+    borders, own = _leading(splitters), _leading(key)
+    found = np.searchsorted(borders, own, side="right")
+    # the leading eight bytes decide, but for keys that have those of a splitter
+    tied = np.flatnonzero(found > np.searchsorted(borders, own, side="left"))
+    if len(tied):
+        as_text = f"S{key.shape[1]}"
+        whole = np.ascontiguousarray(splitters).view(as_text).ravel()
+        found[tied] = np.searchsorted(whole, np.ascontiguousarray(key[tied]).view(as_text).ravel(), side="right")
+    return found.astype(np.int32)
+
+
+def sampled_splitters(docs: DataFrame, shared, size: int = CHUNK, bucket_rows: int = BUCKET_ROWS) -> np.ndarray:
+    """Keys, in order, that part the zones into buckets of about ``bucket_rows``.
+
+    They come from a sample of the documents. They decide on the balance of buckets alone.
+    """
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    share = min(1.0, max(SAMPLE_BYTES, total * SAMPLE_SHARE) / max(total, 1))
+    some = docs if share == 1.0 else docs.sample(share, seed=2)
+
+    def thinned(batches):
+        for batch in batches:
+            yield batch.take(pa.array(np.arange(0, batch.num_rows, SAMPLE_STEP)))
+
+    keys = zones(some, shared, size=size).select("key").mapInArrow(thinned, "key binary").toArrow()["key"].to_pylist()
+    wanted = min(len(keys), int(len(keys) * SAMPLE_STEP / share / bucket_rows) + 1)
+    if wanted < 2:
+        return np.zeros((0, WINDOW + LEFT), np.uint8)
+    keys.sort()
+    chosen = sorted({keys[len(keys) * i // wanted] for i in range(1, wanted)})
+    return np.frombuffer(b"".join(chosen), np.uint8).reshape(len(chosen), -1)
 
 
 def multikey_order(key: np.ndarray) -> np.ndarray:
@@ -349,15 +407,15 @@ def _sorted_bucket(batches: list[pa.RecordBatch], bucket: int):
     yield _rows(len(at), kind=np.full(len(at), OPEN), bucket=np.full(len(at), bucket), gram=gram[at], zone=zone[at], numbers=numbers)
 
 
-def buckets(found: DataFrame) -> DataFrame:
-    """What the sorted buckets of zones tell, written once."""
+def buckets(found: DataFrame, count: int) -> DataFrame:
+    """What the ``count`` sorted buckets of zones tell, written once."""
 
     def sort_bucket(batches):
         held = [batch for batch in batches if batch.num_rows]
         if held:
             yield from _sorted_bucket(held, TaskContext.get().partitionId())
 
-    return materialize(found.repartitionByRange("key").mapInArrow(sort_bucket, BUCKET), "windows")
+    return materialize(found.repartitionById(count, "bucket").mapInArrow(sort_bucket, BUCKET), "windows")
 
 
 def decisions(told: DataFrame) -> DataFrame:
@@ -386,11 +444,11 @@ def decisions(told: DataFrame) -> DataFrame:
     return told.filter(F.col("kind") == TOLD).select("gram", "zone", "first", "last", "low").unionByName(across)
 
 
-def places(docs: DataFrame, shared) -> DataFrame:
+def places(docs: DataFrame, shared, size: int = CHUNK) -> DataFrame:
     """gram, zone, row, ord and the anchor's place in the text, for the zones that may repeat."""
 
     def find(batches):
-        for chunk, rows, offsets in chunks(batches):
+        for chunk, rows, offsets in chunks(batches, size):
             gram, zone = chunk.keys()
             kept = np.flatnonzero(_passes(shared.value, gram))
             text = chunk.text[kept]
@@ -403,15 +461,16 @@ def places(docs: DataFrame, shared) -> DataFrame:
     return docs.select("row", "ord", "text").mapInArrow(find, "gram long, zone long, row long, ord long, anchor long")
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, size: int = CHUNK, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """row, spans: bytes [start, end) of each document that earlier documents have as well.
 
     ``docs`` has the columns of ``keyed``. The spans may overlap and have no order.
     """
     session = docs.sparkSession
-    shared = session.sparkContext.broadcast(anchor_filter(shared_anchors(docs)))
-    told = decisions(buckets(zones(docs, shared)))
-    hit = places(docs, shared).join(told, ["gram", "zone"]).filter("low < ord")
+    shared = session.sparkContext.broadcast(anchor_filter(shared_anchors(docs, size)))
+    splitters = sampled_splitters(docs, shared, size, bucket_rows)
+    told = decisions(buckets(zones(docs, shared, splitters, size), len(splitters) + 1))
+    hit = places(docs, shared, size).join(told, ["gram", "zone"]).filter("low < ord")
     span = F.struct((F.col("anchor") - F.col("last")).alias("start"), (F.col("anchor") - F.col("first") + WINDOW).alias("end"))
     return hit.groupBy("row").agg(F.collect_list(span).alias("spans"))
 
@@ -438,7 +497,9 @@ def whole_characters(text: bytes, start: np.ndarray, end: np.ndarray) -> tuple[n
     return start[kept], end[kept]
 
 
-def without_repeats(docs: DataFrame, *more: str, whole_chars: bool = False) -> DataFrame:
+def without_repeats(
+    docs: DataFrame, *more: str, whole_chars: bool = False, size: int = CHUNK, bucket_rows: int = BUCKET_ROWS
+) -> DataFrame:
     """doc_id, bytes (of the text without what earlier documents have), n_bytes, spans (maximal
     removed runs, in order), with further columns of ``docs`` by name. With ``whole_chars`` the
     bytes are text again: characters that only a part would be removed of stay.
@@ -465,6 +526,6 @@ def without_repeats(docs: DataFrame, *more: str, whole_chars: bool = False) -> D
         return pa.StructArray.from_arrays([pa.array(kept, pa.binary()), pa.array(runs, kind)], names=["bytes", "spans"])
 
     rows = keyed(docs, *more)
-    both = rows.join(repeats(rows), "row", "left")
+    both = rows.join(repeats(rows, size, bucket_rows), "row", "left")
     both = both.select("doc_id", *more, F.octet_length("text").cast("long").alias("n_bytes"), cut("text", "spans").alias("_cut"))
     return both.select("doc_id", *more, F.col("_cut.bytes").alias("bytes"), "n_bytes", F.col("_cut.spans").alias("spans"))

@@ -251,19 +251,47 @@ def removed_by_hand(rows):
     return found
 
 
-def test_suffix_dedup(spark, docs, rows, monkeypatch):
+@pytest.mark.parametrize(("size", "bucket_rows"), [(suffix_dedup.CHUNK, suffix_dedup.BUCKET_ROWS), (300, 40), (64, 1_000_000)])
+def test_suffix_dedup(docs, rows, size, bucket_rows):
+    # small chunks: texts in parts, in every worker; small buckets: windows across borders
     order = lambda i: 2**63 - 1 if i is None else i
     want = sorted(removed_by_hand([(order(i), t) for i, t in rows]))
-    got = sorted((order(r.doc_id), bytes(r.bytes)) for r in suffix_dedup.without_repeats(docs).collect())
-    assert got == want
-    # small chunks: texts in parts
-    monkeypatch.setattr(suffix_dedup.chunks, "__defaults__", (300,))
-    pieces = list(suffix_dedup.chunks(iter([])))
-    assert pieces == []
+    cut = suffix_dedup.without_repeats(docs, size=size, bucket_rows=bucket_rows).collect()
+    assert sorted((order(r.doc_id), bytes(r.bytes)) for r in cut) == want
+
+
+def test_suffix_dedup_keeps_characters_whole(docs):
     whole = suffix_dedup.without_repeats(docs, whole_chars=True).collect()
     assert all(bytes(r.bytes).decode() is not None for r in whole)
 
 
+@pytest.mark.parametrize("found", [["short", "", None, "short", "x" * 49], [None], ["   "]])
+def test_suffix_dedup_of_texts_without_a_window(spark, found):
+    made = list(enumerate(found))
+    got = {r.doc_id: bytes(r.bytes) for r in suffix_dedup.without_repeats(docs_of(spark, made)).collect()}
+    assert got == {i: (t or "").encode() for i, t in made}
+
+
+@pytest.mark.parametrize("rest", [1, 10, 49, 50])
+def test_suffix_dedup_of_last_parts_without_a_window(spark, rest):
+    rng = random.Random(rest)
+    long = "".join(rng.choice("abcdefgh") for _ in range(600 + rest))
+    made = [(1, long), (2, "tail " + long[-80:]), (3, long[:200] + "!")]
+    for size in (200, 300):
+        got = {r.doc_id: bytes(r.bytes) for r in suffix_dedup.without_repeats(docs_of(spark, made), size=size).collect()}
+        assert got == dict(removed_by_hand(made))
+
+
+def test_bucket_of_keys():
+    rng = np.random.default_rng(3)
+    key = rng.integers(0, 2, (400, 76), np.uint8)
+    key[:, :8] = rng.integers(0, 2, (400, 1), np.uint8)
+    splitters = np.frombuffer(b"".join(sorted(bytes(k) for k in key[:9])), np.uint8).reshape(9, -1)
+    want = [sum(bytes(s) <= bytes(k) for s in splitters) for k in key]
+    assert suffix_dedup.bucket_of(key, splitters).tolist() == want
+    assert suffix_dedup.bucket_of(key, None).tolist() == [0] * 400
+
+
 def test_multikey_order():
     key = np.random.default_rng(0).integers(0, 2, (500, 26), np.uint8)
     order = suffix_dedup.multikey_order(key)
