@@ -1,19 +1,19 @@
 """Packing of tokenised documents into sequences of a fixed length.
 
 Documents are dealt into random groups by a hash, as many groups as keep them at about
-``GROUP_DOCS`` documents, and every group is packed on its own. Whole lengths are cut off a
+``GROUP_DOCS`` documents and ``GROUP_BYTES`` of text, and every group is packed on its own. Whole lengths are cut off a
 document first; its rest is placed by first-fit decreasing, where a tournament tree of free
 capacities finds the first sequence that has room. Then the rests in the emptiest sequences
 are cut to fill the gaps of the others, so that a group pads less than one sequence.
 
 Defined results: a null or empty text is the end id alone. Rows are packed one by one, so a
-repeated row is packed as often as it occurs. An empty table gives an empty result. A text
+repeated row is packed as often as it occurs, and equal rows are dealt over all groups. Columns
+other than doc_id and text are ignored, whatever their names. An empty table gives an empty result. A text
 longer than a sequence spans several; no id is dropped.
 """
 
 from __future__ import annotations
 
-import re
 from functools import cache
 
 import numpy as np
@@ -21,26 +21,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerframe.llm.common import Recent, byte_batches, column_of, texts
+from ledgerframe.llm.common import Recent, byte_batches, column_of, keyed, text_bytes
 from ledgerframe.llm.token_counts import KEPT, KEPT_CHARS, encoded_in_calls, id_type
 
 LENGTH = 2048
 GROUP_DOCS = 512
-#: Texts with any of these are cut with more care: runs of blanks are matched as one. They are
-#: the blanks besides blank and line end, the mark used for cutting, and blanks next to each other.
-UNEVEN = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"] + ["\0", "  ", "\n\n", " \n", "\n "]
-BEFORE_BLANK = re.compile(r"(?<=\S)(?= )")
+#: Bytes of text that a group holds about, and that are encoded at once.
+GROUP_BYTES = 4 << 20
+BATCH_BYTES = 4 << 20
 
 
-def pieces_of(text: str) -> list[str]:
-    """Cuts where no token of a byte-level vocabulary with GPT-style pre-tokens can span.
+def piece_borders(data: np.ndarray, borders: np.ndarray) -> np.ndarray:
+    """Where pieces begin in the texts' bytes, ``borders`` included: cuts that no token of a byte-level
+    vocabulary with GPT-style pre-tokens can span.
 
-    A blank after a visible character starts a pre-token; so does a lone line end, and what
-    follows it.
+    A blank after a visible character starts a pre-token; so does a lone line end between visible
+    characters, and what follows it. A byte counts as visible if it ends no blank of any kind; where
+    that is open (characters of three bytes that may be blanks) there is no cut.
     """
-    if any(mark in text for mark in UNEVEN):
-        return BEFORE_BLANK.split(text)
-    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+    n = len(data)
+    # a blank in front and behind, so that places next to the ends have neighbours
+    wide = np.full(n + 4, 0x20, np.uint8)
+    wide[3 : n + 3] = data
+    ascii_blank = (wide <= 0x20) | (wide == 0x7F)
+    two = (wide[1:-1] == 0xC2) & (wide[2:] >= 0x80)
+    unseen = ascii_blank.copy()
+    unseen[2:] |= two & ((wide[2:] == 0x85) | (wide[2:] == 0xA0))
+    third = (wide[1:-2] >= 0xE1) & (wide[1:-2] <= 0xE3)
+    unseen[3:] |= third
+    before = ~unseen[2 : n + 2]
+    blank = before & (data == 0x20)
+    after = wide[4 : n + 4]
+    # what follows a line end may not be a blank, nor begin with a byte that a blank can begin with
+    open_ = (after <= 0x20) | (after == 0x7F) | (after == 0xC2) | ((after >= 0xE1) & (after <= 0xE3))
+    line = before & (data == 0x0A) & ~open_
+    cut = np.zeros(n + 1, bool)
+    cut[:-1] = blank | line
+    cut[1:] |= line
+    cut[borders] = True
+    return np.flatnonzero(cut)
 
 
 @cache
@@ -48,15 +67,38 @@ def _known(path: str) -> Recent:
     return Recent(KEPT, KEPT_CHARS)
 
 
-def encode_batch(path: str, rows: list[str]) -> list[bytes]:
-    """The ids of each text as the library gives them, packed; distinct pieces are encoded once."""
+def encode_batch(path: str, column: pa.Array, end_id: int) -> pa.Array:
+    """The ids of each text as the library gives them, and the end id, packed.
+
+    Pieces are cut and told apart in bulk, each distinct one is encoded once, and the ids of all
+    pieces are gathered at once.
+    """
+    kind = id_type(path)
+    data, borders = text_bytes(column)
+    begins = piece_borders(data, borders)
+    offsets = pa.py_buffer(begins.astype(np.int64))
+    count = max(len(begins) - 1, 0)
+    found = pa.Array.from_buffers(pa.large_string(), count, [None, offsets, pa.py_buffer(data)]).dictionary_encode()
+    pieces = found.dictionary.to_pylist()
     known = _known(path)
-    cut = [pieces_of(row) for row in rows]
-    fresh = known.unknown(set().union(*cut))
+    fresh = known.unknown(set(pieces))
     known.now.update(encoded_in_calls(path, fresh))
-    found = [b"".join(map(known.now.__getitem__, pieces)) for pieces in cut]
+    packed = [*map(known.now.__getitem__, pieces), np.array([end_id], kind).tobytes()]
     known.trim(fresh)
-    return found
+
+    sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // kind.itemsize
+    ids = np.frombuffer(b"".join(packed), kind)
+    # the end id stands behind the last piece of each text
+    last = np.searchsorted(begins, borders[1:])
+    which = np.insert(found.indices.to_numpy(zero_copy_only=False).astype(np.int64), last, len(pieces))
+    length = sizes[which]
+    ends = np.cumsum(length)
+    shift = (np.cumsum(sizes) - sizes)[which] - (ends - length)
+    gathered = ids[np.repeat(shift, length) + np.arange(ends[-1] if len(ends) else 0)]
+    borders_out = np.append(0, ends[last + np.arange(len(last))]) * kind.itemsize
+    return pa.Array.from_buffers(
+        pa.large_binary(), len(column), [None, pa.py_buffer(borders_out.astype(np.int64)), pa.py_buffer(gathered)]
+    ).cast(pa.binary())
 
 
 class Tournament:
@@ -123,15 +165,17 @@ def packed(docs: DataFrame, path: str, end_id: int, length: int = LENGTH, group_
 
     ``ids`` are the piece's ids as little-endian unsigned 32-bit numbers.
     """
-    groups = max(1, -(-docs.count() // group_docs))
-    dealt = texts(docs).withColumn("group", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
+    rows = keyed(docs)
+    total = rows.agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    groups = max(1, -(-total["rows"] // group_docs), -(-(total["bytes"] or 0) // GROUP_BYTES))
+    # rows have a number of their own where they repeat, so that equal ones are spread as others are
+    dealt = rows.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)))
     own = column_of(docs, "doc_id")
 
     def encode(batches):
-        end = np.array([end_id], id_type(path)).tobytes()
-        for batch in byte_batches(batches):
-            ids = [found + end for found in encode_batch(path, batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array(ids, pa.binary())], names=["group", "doc_id", "ids"])
+        for batch in byte_batches(batches, BATCH_BYTES):
+            ids = encode_batch(path, batch.column(1), end_id)
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), ids], names=["group", "doc_id", "ids"])
 
     def place(table: pa.Table) -> pa.Table:
         kind = id_type(path)

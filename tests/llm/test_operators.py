@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -108,8 +109,13 @@ def odd_texts():
 def test_pieces_are_encoded_as_whole_texts():
     odd = odd_texts()
     whole = Tokenizer.from_file(BYTE)
-    packed = packing.encode_batch(BYTE, odd)
-    assert [np.frombuffer(p, "<u2").tolist() for p in packed] == [e.ids for e in whole.encode_batch(odd, add_special_tokens=False)]
+    for some in (odd, odd[7:8], ["", "", ""], [], [None, "a b", None][1:2], ["", " x\ny", ""]):
+        packed = packing.encode_batch(BYTE, pa.array(some, pa.string()), 1)
+        want = [[*e.ids, 1] for e in whole.encode_batch(some, add_special_tokens=False)]
+        assert [np.frombuffer(p.as_py(), "<u2").tolist() for p in packed] == want
+    # a slice of a batch, as batches of bounded bytes are
+    part = packing.encode_batch(BYTE, pa.array(odd).slice(5, 20), 1)
+    assert [p.as_py() for p in part] == [p.as_py() for p in packing.encode_batch(BYTE, pa.array(odd[5:25]), 1)]
     counts = [len(e.ids) for e in Tokenizer.from_file(WORD).encode_batch(odd, add_special_tokens=False)]
     assert token_counts.count_batch(WORD, odd) == counts
 
@@ -167,6 +173,22 @@ def test_packing_places_every_id_once(docs, rows):
     assert len(by_sequence) * 256 - total < groups * 256
 
 
+def test_packing_spreads_equal_rows(spark):
+    # a third of all rows are equal, and have no id either
+    made = [(None, "the same text again")] * 3000 + [(i, f"another text {i}") for i in range(6000)]
+    pieces = packing.packed(docs_of(spark, made), BYTE, 1, length=64, group_docs=512).collect()
+    groups = collections.Counter(p.sequence_id >> 32 for p in pieces if p.start == 0)
+    assert sum(groups.values()) == 9000 and len(groups) == 18 and max(groups.values()) < 650
+    of_equal = collections.Counter(p.sequence_id >> 32 for p in pieces if p.doc_id is None and p.start == 0)
+    assert sum(of_equal.values()) == 3000 and max(of_equal.values()) < 300
+
+
+def test_packing_of_short_texts_and_none(spark):
+    pieces = packing.packed(docs_of(spark, [(1, None), (2, ""), (3, "x")]), BYTE, 1).collect()
+    assert sorted((p.doc_id, p.start, p.length, p.doc_tokens) for p in pieces) == [(1, 0, 1, 1), (2, 0, 1, 1), (3, 0, 2, 2)]
+    assert packing.packed(docs_of(spark, []), BYTE, 1).collect() == []
+
+
 def test_first_fit_takes_the_first_bin_with_room():
     rng = random.Random(1)
     tree, plain = packing.Tournament(40, 100), [100] * 40
