@@ -44,11 +44,11 @@ WINDOW = 50
 ANCHOR = 24
 LEFT = WINDOW - ANCHOR
 #: Bytes of text worked on at once, and the largest Bloom filter in bits.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 FILTER_BITS = 1 << 27
 #: Zones in a bucket; bytes of text that splitters are sampled from, at least and as a share of all;
 #: one of so many sampled suffixes goes to the driver.
-BUCKET_ROWS = 250_000
+BUCKET_ROWS = 100_000
 SAMPLE_BYTES, SAMPLE_SHARE, SAMPLE_STEP = 8 << 20, 1 / 50_000, 8
 _PLACE = np.uint64((1 << 22) - 1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -76,7 +76,7 @@ class Chunk:
     def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
         """``starts`` and ``ends`` are the texts' borders in ``data``."""
         n = len(data)
-        up, down, table = _powers(1 << max(21, n.bit_length()))
+        up, down, table = _powers(1 << max(20, n.bit_length()))
         sums = np.zeros(n + 1, U)
         np.cumsum(table[data] * down[:n], out=sums[1:])
         self.data, self.sums, self.up, self.starts = data, sums, up, starts
