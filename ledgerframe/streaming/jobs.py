@@ -1,147 +1,26 @@
-"""Micro-batch jobs whose state is a written table in a shared folder.
-
-A batch writes only what it changes, below ``version=<batch id + 1>``; the state is
-the latest row per key over the versions before it. A batch repeated after a failure
-reads the same versions and overwrites its own, so every row is applied once.
-"""
+"""Streams of arriving scripts and of run steps."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-
-from ledgerframe.functions import names as N
-from ledgerframe.operators import ordering as O
-from ledgerframe.operators import reconcile as R
-from ledgerframe.operators.registry import bootstrap_registry, read_registry, with_fingerprint
-from ledgerframe.operators.skew import HOT_ROWS, join_counted
-
-REGISTRY_FIELDS = ["name", "file_hash", "text", "type", "status"]
-REGISTRY_SCHEMA = "name string, file_hash string, text string, type int, status int, version bigint"
-FAILURE_SCHEMA = "run_id bigint, first_fail struct<ts: timestamp_ntz, step_id: bigint>, version bigint"
-
-
-def write_version(changes: DataFrame, root: str, version: int) -> None:
-    changes.write.mode("overwrite").parquet(f"{root}/version={version}")
-
-
-def seed_registry(registry: DataFrame, root: str) -> None:
-    """Write version 0, the registry the stream starts from."""
-    write_version(read_registry(with_fingerprint(registry)).select(*REGISTRY_FIELDS), root, 0)
-
-
-def registry_versions(spark: SparkSession, root: str, upto: int | None = None) -> DataFrame:
-    """Rows of all versions, or of those up to a number; ``latest`` folds them."""
-    rows = spark.read.schema(REGISTRY_SCHEMA).parquet(root)
-    if upto is not None:
-        rows = rows.where(F.col("version") <= upto)
-    return rows
-
-
-def latest(versions: DataFrame) -> DataFrame:
-    """The registry: the newest row of each name."""
-    return read_registry(versions, version="version").drop("version")
-
-
-def compact_registry(spark: SparkSession, root: str, new_root: str) -> None:
-    """Fold all versions into version 0 of a new root, between two runs of the stream.
-
-    The stream goes on with the new root and its old checkpoint; batch numbers rise on.
-    """
-    write_version(latest(registry_versions(spark, root)).select(*REGISTRY_FIELDS), new_root, 0)
-
-
-def absorb_scripts(batch: DataFrame, versions: DataFrame) -> DataFrame:
-    """Registry rows a batch of arriving scripts adds or changes.
-
-    A change keeps the type and status on record. A name that arrives twice in one
-    batch counts once: the later file, or without times the larger text.
-    """
-    pick = F.max_by("text", F.struct("ts", "text")) if "ts" in batch.columns else F.max("text")
-    arrived = bootstrap_registry(R.valid_scripts(batch).groupBy("name").agg(pick.alias("text")))
-    known = (
-        read_registry(versions.select("name", "file_hash", "type", "status", "version"), version="version")
-        .select("name", F.struct("file_hash", "type", "status").alias("known"))
-    )
-    marked = arrived.join(known, "name", "left")
-    changed = marked.where(F.col("known").isNull() | (F.col("known.file_hash") != F.col("file_hash")))
-    kept = {c: F.coalesce(f"known.{c}", c).alias(c) for c in ("type", "status")}
-    return changed.select("name", "file_hash", "text", kept["type"], kept["status"])
-
-
-def reconcile_stream(scripts: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Keep a registry in step with scripts arriving on a stream of (name, text).
-
-    Deletions cannot be seen by a stream of arrivals; ``deleted_scripts`` stays a
-    batch operator.
-    """
-
-    def absorb(batch: DataFrame, batch_id: int) -> None:
-        versions = registry_versions(batch.sparkSession, root, batch_id)
-        write_version(absorb_scripts(batch, versions), root, batch_id + 1)
-
-    return (
-        scripts.writeStream.foreachBatch(absorb)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
-def seed_failures(spark: SparkSession, root: str) -> None:
-    empty = spark.createDataFrame([], FAILURE_SCHEMA).drop("version")
-    write_version(empty, f"{root}/failures", 0)
-
-
-def absorb_steps(batch: DataFrame, failures: DataFrame, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(recorded steps of the batch, runs that fail in it for the first time).
-
-    The state is one key per failed run. Both the batch and the state are combined
-    before the shuffle, and a run that fills the batch is joined by broadcast.
-    """
-    seen = O.run_facts(batch)
-    earlier = failures.select("run_id", "first_fail").withColumn("n_rows", F.lit(0).cast("bigint"))
-    merged = (
-        earlier.unionByName(seen)
-        .groupBy("run_id")
-        .agg(
-            F.sum("n_rows").alias("n_rows"),
-            F.min("first_fail").alias("first_fail"),
-            F.max(F.when(F.col("n_rows") == 0, F.col("first_fail"))).alias("known_fail"),
-        )
-        .where(F.col("n_rows") > 0)
-    )
-    columns = [F.col(c) for c in batch.columns]
-    marked = join_counted(batch, merged, ["run_id"], "inner", hot_rows=hot_rows)
-    recorded = marked.where(O.is_recorded()).select(
-        *columns, N.status_of_exit_code(F.col("exit_code")).alias("status")
-    )
-    found = F.col("first_fail").isNotNull() & F.col("known_fail").isNull()
-    return recorded, merged.where(found).select("run_id", "first_fail")
-
-
-def run_log_stream(steps: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """``run_until_failure`` over a stream of steps that arrive in order from batch to batch.
-
-    Recorded steps go to ``root/recorded``, the first failure of each run to
-    ``root/failures``; within a batch the order of rows does not matter.
-    """
-
-    def absorb(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        known = spark.read.schema(FAILURE_SCHEMA).parquet(f"{root}/failures")
-        recorded, failed = absorb_steps(batch, known.where(F.col("version") <= batch_id))
-        write_version(recorded, f"{root}/recorded", batch_id + 1)
-        write_version(failed, f"{root}/failures", batch_id + 1)
-
-    return (
-        steps.writeStream.foreachBatch(absorb)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
-def recorded_steps(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/recorded").drop("version")
+from ledgerframe.streaming.registry_log import (
+    absorb_scripts,
+    compact_registry,
+    latest,
+    reconcile_stream,
+    registry_versions,
+    seed_registry,
+    write_version,
+)
+from ledgerframe.streaming.run_log import recorded_steps, run_log_stream
+
+__all__ = [
+    "absorb_scripts",
+    "compact_registry",
+    "latest",
+    "reconcile_stream",
+    "recorded_steps",
+    "registry_versions",
+    "run_log_stream",
+    "seed_registry",
+    "write_version",
+]

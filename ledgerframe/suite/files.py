@@ -78,7 +78,6 @@ def _(v):
     arrivals, root = fresh_path(v.spark, "steps"), fresh_path(v.spark, "replay")
     progress = fresh_path(v.spark, "progress")
     log = v("run_log")
-    Z.seed_failures(v.spark, root)
     # Four stretches of time arrive one after the other; each is one batch of the stream.
     span = log.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
     edges = [span.lo + (span.hi - span.lo) * i / 4 for i in range(1, 4)]

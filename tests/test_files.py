@@ -1,5 +1,6 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerframe.operators import ordering as O
@@ -8,6 +9,7 @@ from ledgerframe.sources import change_json as J
 from ledgerframe.sources import scripts as W
 from ledgerframe.sources.catalogue import read_catalogue
 from ledgerframe.streaming import jobs as Z
+from ledgerframe.streaming import registry_log as L
 
 
 def test_scripts_round_trip(spark):
@@ -109,19 +111,76 @@ def test_repeated_batch_changes_nothing(spark, registry, scripts):
     assert got == {"1_a.sql": "new", "2_b.sql": "b"}
 
 
-def test_step_stream_equals_batch(spark):
-    rows = [(i % 7, i, i, int(i % 23 == 5)) for i in range(200)]
-    log = spark.createDataFrame(rows, "run_id bigint, step_id bigint, t bigint, exit_code int").selectExpr(
-        "run_id", "step_id", "cast(timestamp_seconds(t) as timestamp_ntz) as ts", "exit_code", "1D as seconds"
-    )
+def run_log(spark, rows):
+    frame = spark.createDataFrame(rows, "run_id bigint, step_id bigint, t bigint, exit_code int, seconds double")
+    return frame.selectExpr("run_id", "step_id", "cast(timestamp_micros(t) as timestamp_ntz) as ts", "exit_code", "seconds")
+
+
+@pytest.mark.parametrize("lanes", [1, 5])
+def test_step_stream_equals_batch(spark, lanes):
+    """Each batch is a run of the query of its own, so it starts from the checkpoint."""
+    rows = [(i % 7, i, i * 1001, int(i % 23 == 5), float(i) if i % 5 else None) for i in range(200)]
+    # one run holds most rows; a run fails at a time of several steps; late steps; nulls
+    rows += [(100, i, 10**6 + i, int(i == 150), 1.0) for i in range(300)]
+    rows += [(101, i, 5, int(i in (3, 4)), 1.0) for i in range(8)] + [(102, 1, 50, None, None), (102, 2, 60, 1, 0.5), (102, 3, 70, 0, 0.5)]
+    arrivals, root, progress = (fresh_path(spark, n) for n in ("steps", "replay", "progress"))
+    log = run_log(spark, rows)
+    order = sorted(range(len(rows)), key=lambda i: i * 7919 % 13)
+    for part in (order[:200], order[200:350], order[350:]):
+        run_log(spark, [rows[i] for i in part]).write.mode("append").parquet(arrivals)
+        Z.run_log_stream(spark.readStream.schema(log.schema).parquet(arrivals), root, progress, lanes).awaitTermination()
+    assert sorted(map(str, Z.recorded_steps(spark, root).collect())) == sorted(map(str, O.run_until_failure(log).collect()))
+    # a second run without new files changes nothing
+    Z.run_log_stream(spark.readStream.schema(log.schema).parquet(arrivals), root, progress, lanes).awaitTermination()
+    assert Z.recorded_steps(spark, root).count() == O.run_until_failure(log).count()
+
+
+def test_steps_after_a_failure_of_an_earlier_batch_are_not_written(spark):
     arrivals, root, progress = (fresh_path(spark, n) for n in ("steps", "replay", "progress"))
-    Z.seed_failures(spark, root)
-    for low in (0, 70, 140):
-        log.where(f"step_id >= {low} and step_id < {low + 70}").write.mode("append").parquet(arrivals)
-        Z.run_log_stream(spark.readStream.schema(log.schema).parquet(arrivals), root, progress).awaitTermination()
-    columns = ["run_id", "step_id", "status"]
-    got = Z.recorded_steps(spark, root).select(columns).collect()
-    assert sorted(got) == sorted(O.run_until_failure(log).select(columns).collect())
+    written = []
+    for start in (0, 100, 200):
+        log = run_log(spark, [(1, i, i, int(i % 50 == 49), 1.0) for i in range(start, start + 100)])
+        log.write.mode("append").parquet(arrivals)
+        Z.run_log_stream(spark.readStream.schema(log.schema).parquet(arrivals), root, progress, 1).awaitTermination()
+        written.append(spark.read.parquet(f"{root}/recorded").count())
+    # the one lane saw the failure in the first batch, and the state knows it in all later runs
+    assert written == [50, 50, 50]
+    assert Z.recorded_steps(spark, root).count() == 50
+
+
+def test_registry_log_reads_and_keeps_few_runs(spark, registry):
+    """50 batches of one name each: lookups stay flat, and the result is that of one batch operator."""
+    root = fresh_path(spark, "registry")
+    L.seed_registry(registry({f"{i}_s.sql": "seed" for i in range(1, 40)}), root, buckets=4)
+    read, want = [], {f"{i}_s.sql": "seed" for i in range(1, 40)}
+    for n in range(50):
+        name, text = f"{n * 7 % 45 + 1}_s.sql", f"text {n}"
+        want[name] = text
+        batch = spark.createDataFrame([(name, text)], "name string, text string")
+        L.drop_merged(spark, root, n)
+        known = L.looked_up(batch, root, n)
+        read.append(len(known.inputFiles()))
+        L.write_version(L.absorb_scripts(batch, known), root, n + 1, 4)
+        L.merge_runs(spark, root, n + 1, fanout=3)
+    # one bucket of: the seed, and two runs of each of four levels at most
+    assert max(read) <= 1 + 2 * 4 and max(read[40:]) <= max(read[:30]) + 2
+    assert len(L.stored_runs(spark, root)) <= 2 + 3 * 4
+    assert {r.name: r.text for r in L.latest(L.registry_versions(spark, root)).collect()} == want
+
+
+def test_registry_log_survives_a_repeated_batch_that_merged(spark, registry, scripts):
+    root = fresh_path(spark, "registry")
+    L.seed_registry(registry({"1_a.sql": "old"}), root, buckets=2)
+    for n, again in ((0, 1), (1, 2), (2, 1), (3, 2)):
+        for _ in range(again):
+            batch = scripts({"1_a.sql": f"a{n}", f"{n + 2}_b.sql": "b"})
+            L.drop_merged(spark, root, n)
+            L.write_version(L.absorb_scripts(batch, L.looked_up(batch, root, n)), root, n + 1, 2)
+            L.merge_runs(spark, root, n + 1, fanout=2)
+    got = {r.name: r.text for r in L.latest(L.registry_versions(spark, root)).collect()}
+    assert got == {"1_a.sql": "a3", **{f"{n}_b.sql": "b" for n in range(2, 6)}}
+    assert L.cover(L.stored_runs(spark, root)) == [(1, 4), (0, 0)]
+    assert [L.merge_span(v, 2) for v in range(1, 9)] == [1, 2, 1, 4, 1, 2, 1, 8]
 
 
 def test_parts_are_appended_in_order(spark, tmp_path):
