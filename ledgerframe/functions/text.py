@@ -136,15 +136,53 @@ def strip_editionable(ddl: Column) -> Column:
     return F.replace(plain, F.lit("EDITIONABLE "), F.lit(""))
 
 
+def requoted(bare: Column) -> Column:
+    """The reserved word CASE in its quotes again."""
+    worded = F.regexp_replace(bare, r"\bCASE,", '"CASE",')
+    worded = F.when(bare.contains("CASE,"), worded).otherwise(bare)
+    return F.replace(worded, F.lit("(CASE)"), F.lit('("CASE")'))
+
+
 def unquote_identifiers(ddl: Column) -> Column:
     """Drop identifier quotes outside literals and comments; keep reserved CASE quoted."""
+    return once(F.regexp_replace(ddl, QUOTE_OUTSIDE_TEXT, "$1"), requoted)
 
-    def requoted(bare: Column) -> Column:
-        worded = F.regexp_replace(bare, r"\bCASE,", '"CASE",')
-        worded = F.when(bare.contains("CASE,"), worded).otherwise(bare)
-        return F.replace(worded, F.lit("(CASE)"), F.lit('("CASE")'))
 
-    return once(F.regexp_replace(ddl, QUOTE_OUTSIDE_TEXT, "$1"), requoted)
+# What a text can be inside of: nothing, a literal, a line comment, a block comment. Each is named
+# by what opens it; the second value closes it.
+QUOTING = {"": "", "'": "'", "--": "", "/*": "*/"}
+
+
+def quoting_pattern(later_quote: bool, later_close: bool) -> str:
+    """Reduces a text to what is still open at its end.
+
+    A literal or block comment is one only if its end follows somewhere; ``later_quote`` and
+    ``later_close`` say whether the rest of the document has such an end.
+    """
+    open_ends = ["--", *["'"] * later_quote, *[r"/\*"] * later_close]
+    closed = r"[^'/-]+|'[^']*'|--[^\n]*\n|/\*[\s\S]*?\*/"
+    return closed + "|(" + "|".join(open_ends) + r")[\s\S]*\z|[-/']"
+
+
+def open_quoting(text: Column, before: str, later_quote: Column, later_close: Column) -> Column:
+    """What a text leaves open that begins inside of ``before``."""
+    from_there = F.concat(F.lit(before), text)
+
+    def reduced(quote: bool, close: bool) -> Column:
+        return F.regexp_replace(from_there, quoting_pattern(quote, close), "$1")
+
+    with_quote = F.when(later_close, reduced(True, True)).otherwise(reduced(True, False))
+    without = F.when(later_close, reduced(False, True)).otherwise(reduced(False, False))
+    return F.when(later_quote, with_quote).otherwise(without)
+
+
+def unquote_inside(ddl: Column, before: Column, after: Column) -> Column:
+    """``unquote_identifiers`` of a part of a document that begins inside of ``before`` and ends inside of ``after``."""
+    closing = F.element_at(F.create_map(*[F.lit(x) for pair in QUOTING.items() for x in pair]), after)
+    whole = F.concat(before, ddl, closing)
+    bare = F.regexp_replace(whole, QUOTE_OUTSIDE_TEXT, "$1")
+    inner = F.substring(bare, F.length(before) + 1, F.length(bare) - F.length(before) - F.length(closing))
+    return once(inner, requoted)
 
 
 def code_style(ddl: Column) -> Column:

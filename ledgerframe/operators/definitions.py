@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerframe.functions import names as N
 from ledgerframe.functions import text as T
 from ledgerframe.operators.catalog import EXCLUDED_SEQUENCES, artifact_path, index_sort_columns
 from ledgerframe.operators.skew import MAX_DOCUMENT_CHARS, PART_ROWS, ordered_text, union_all
+from ledgerframe.session import materialize
 
 # Order of the parts of a table definition.
 KIND_ORDER = ("base", "indexes", "comments", "sequences", "triggers")
 CRLF = "\r\n"
 
+# Characters of a document that have a digest of their own.
+STRETCH = 1 << 20
+
 
 # Every sort column a fragment of a table definition may need.
 PLACE_FIELDS = {
@@ -206,6 +209,40 @@ def assemble_documents(
     return ordered_text(fragments, [key], [rank, F.col("kind"), F.col("ord")], "text", max_chars, part_rows)
 
 
+def styled_parts(cut: DataFrame, keys: list[str]) -> DataFrame:
+    """``code_style`` of documents in parts (keys, part, text), as if each were one text.
+
+    A part changes what is open: a literal, a line comment or a block comment. For each of these,
+    and for none, it tells what is open at its end. These maps, four short strings a part, are
+    put together along the document, and every part then knows where it begins and ends. Parts
+    after the first begin on a new line, as fragments do, so no word lies across a border.
+    """
+    cut = materialize(cut.withColumn("text", T.strip_editionable(F.col("text"))), "parts")
+    later = Window.partitionBy(*keys).orderBy("part").rowsBetween(1, Window.unboundedFollowing)
+    ends = {"quote": F.col("text").contains("'"), "close": F.col("text").contains("*/")}
+    facts = cut.select(*keys, "part", *[c.alias(n) for n, c in ends.items()])
+    facts = facts.select(*keys, "part", *[F.coalesce(F.max(n).over(later), F.lit(False)).alias(n) for n in ends])
+    # one slim row per part: a document has its size / ``max_chars`` of them
+    maps = cut.join(facts, [*keys, "part"]).select(
+        *keys,
+        "part",
+        F.create_map(*[x for s in T.QUOTING for x in (F.lit(s), T.open_quoting(F.col("text"), s, F.col("quote"), F.col("close")))]).alias("to"),
+    )
+    along = maps.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("part", F.map_entries("to").alias("to")))).alias("along"))
+
+    def onward(path: Column, step: Column) -> Column:
+        before = path["at"]
+        after = F.element_at(F.map_from_entries(step["to"]), before)
+        here = F.struct(step["part"].alias("part"), before.alias("before"), after.alias("after"))
+        return F.struct(after.alias("at"), F.concat(path["seen"], F.array(here)).alias("seen"))
+
+    none = F.array().cast("array<struct<part: bigint, before: string, after: string>>")
+    walked = F.aggregate("along", F.struct(F.lit("").alias("at"), none.alias("seen")), onward)
+    places = along.select(*keys, F.inline(walked["seen"]))
+    styled = T.unquote_inside(F.col("text"), F.col("before"), F.col("after"))
+    return cut.join(places, [*keys, "part"]).select(*keys, "part", styled.alias("text"))
+
+
 def table_documents(
     tables: DataFrame,
     indexes: DataFrame,
@@ -259,7 +296,7 @@ def table_documents(
             fragments(own, table, "triggers", trigger_place, T.trigger_statement(F.col("ddl"), owner)),
         ]
     )
-    whole = ordered_text(
+    return ordered_text(
         everything,
         ["object_name"],
         [F.col("kind"), F.col("place")],
@@ -267,8 +304,9 @@ def table_documents(
         part_rows=part_rows,
         opens_with=KIND_ORDER.index("base"),
         chars="chars",
+        each=T.code_style,
+        parts=styled_parts,
     )
-    return whole.withColumn("text", T.code_style(text))
 
 
 def view_documents(
@@ -295,10 +333,9 @@ def view_documents(
         "chars",
     )
     order = [F.col("kind"), F.col("place")]
-    whole = ordered_text(
-        base.unionByName(comments), ["object_name"], order, "text", max_chars, part_rows, opens_with=0, chars="chars"
-    )
-    return whole.withColumn("text", T.code_style(F.col("text")))
+    fragments = base.unionByName(comments)
+    rules = {"each": T.code_style, "parts": styled_parts}
+    return ordered_text(fragments, ["object_name"], order, "text", max_chars, part_rows, opens_with=0, chars="chars", **rules)
 
 
 def stored_definitions(corpus: DataFrame) -> DataFrame:
@@ -307,13 +344,68 @@ def stored_definitions(corpus: DataFrame) -> DataFrame:
     return corpus.select(path.alias("path"), F.col("ddl").alias("text")).where("path is not null")
 
 
-def corpus_drift(stored: DataFrame, current: DataFrame) -> DataFrame:
+def _digest(pieces: Column) -> Column:
+    """One digest of the digests of a document's stretches, in order."""
+    return F.sha1(F.array_join(pieces, ""))
+
+
+def _stretches(text: Column, stretch: int, start: Column) -> Column:
+    """(stretch, piece) of a text whose first character is the document's ``start``-th, from 0."""
+    first = F.floor(start / stretch)
+    last = F.greatest(first, F.floor((start + F.length(text) - 1) / stretch))
+
+    def piece(number: Column) -> Column:
+        low = F.greatest(number * stretch, start)
+        size = (number + 1) * stretch - low
+        cut = F.substring(text, (low - start + 1).cast("int"), size.cast("int"))
+        return F.struct(number.alias("stretch"), cut.alias("piece"))
+
+    return F.transform(F.sequence(first, last), piece)
+
+
+def document_digests(documents: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """(path, digest): equal for equal texts, whatever parts they are in; line ends count as one kind.
+
+    Every ``stretch`` characters of a document have a digest, and those have one. Documents in
+    one row are digested where they are, and only digests are moved. Those in several parts are cut
+    at the same places of the document, and the pieces of a stretch are put together first.
+    """
+    text = F.replace("text", F.lit("\r\n"), F.lit("\n"))
+    known = documents.where("text is not null")
+    part = F.col("part").cast("bigint") if "part" in documents.columns else F.lit(0).cast("bigint")
+    known = known.select("path", part.alias("part"), text.alias("text"))
+    hashed = F.transform(_stretches(F.col("text"), stretch, F.lit(0).cast("bigint")), lambda p: F.sha1(p["piece"]))
+    if "part" not in documents.columns:
+        return known.select("path", _digest(hashed).alias("digest"))
+
+    # slim and written: the paths of which there is more than one part
+    several = materialize(known.groupBy("path").agg(F.count("*").alias("parts")).where("parts > 1").select("path"), "several")
+    single = known.join(several, "path", "left_anti").select("path", _digest(hashed).alias("digest"))
+    cut = materialize(known.join(several, "path", "left_semi"), "parts")
+    order = Window.partitionBy("path").orderBy("part")
+    slim = cut.select("path", "part", F.length("text").alias("n"), F.left("text", F.lit(1)).alias("first"), F.right("text", F.lit(1)).alias("last"))
+    # a line end that lies across a border
+    split = ((F.col("last") == "\r") & (F.lead("first").over(order) == "\n")).cast("int")
+    slim = slim.withColumn("less", F.coalesce(split, F.lit(0)))
+    ahead = F.sum(F.col("n") - F.col("less")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    slim = slim.select("path", "part", "less", F.coalesce(ahead, F.lit(0)).cast("bigint").alias("start"))
+    placed = cut.join(slim, ["path", "part"]).withColumn("text", F.left("text", F.length("text") - F.col("less")))
+    pieces = placed.select("path", "start", F.inline(_stretches(F.col("text"), stretch, F.col("start"))))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "piece"))), lambda p: p["piece"]), "")
+    digests = pieces.where("piece <> ''").groupBy("path", "stretch").agg(F.sha1(whole).alias("digest"))
+    found = digests.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("stretch", "digest"))).alias("all"))
+    # a document of empty parts has the digest of an empty one
+    named = several.join(found, "path", "left").select("path", F.coalesce(F.transform("all", lambda p: p["digest"]), F.array(F.sha1(F.lit("").cast("binary")))).alias("all"))
+    return single.unionByName(named.select("path", _digest(F.col("all")).alias("digest")))
+
+
+def corpus_drift(stored: DataFrame, current: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """(path, action): what to create, overwrite or delete to bring a stored corpus up to date.
 
-    Paths are unique on either side; only fingerprints are moved.
+    Either side has one row per path, or one per path and part; the parts need not be the same.
     """
     sides = [
-        frame.select("path", N.fingerprint(F.col("text")).alias(label))
+        document_digests(frame, stretch).withColumnRenamed("digest", label)
         for frame, label in ((stored, "stored_hash"), (current, "current_hash"))
     ]
     action = (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -52,6 +53,8 @@ def ordered_text(
     part_rows: int = PART_ROWS,
     opens_with: int | None = None,
     chars: str | None = None,
+    each: Callable[[Column], Column] | None = None,
+    parts: Callable[[DataFrame, list[str]], DataFrame] | None = None,
 ) -> DataFrame:
     """Concatenate the fragments of each key in order: (keys, part, text).
 
@@ -60,7 +63,8 @@ def ordered_text(
     document, in ascending order, spell it; most documents have part 0 only. Null texts add
     nothing. With ``opens_with``, documents whose lowest value of the first order column is
     another one are left out. A ``chars`` column with the approximate length of each text
-    saves making the text in the pass that finds documents of several parts.
+    saves making the text in the pass that finds documents of several parts. ``each`` is a last
+    rule for the text of documents of one part, ``parts`` one for the frame of all others.
 
     Documents that have one part by that rule are gathered by key. The fragments of the others
     are range-partitioned, and places are counted within partitions and then across them, so
@@ -86,13 +90,15 @@ def ordered_text(
         return gathered.select(*by, joined.alias("text"))
 
     def whole(frame: DataFrame) -> DataFrame:
-        return spelled(frame, keys).withColumn("part", F.lit(0).cast("bigint")).select(columns)
+        made = spelled(frame, keys).withColumn("part", F.lit(0).cast("bigint"))
+        return made.withColumn("text", each(F.col("text")) if each else F.col("text")).select(columns)
 
     if several.isEmpty():
         return whole(pieces)
     wanted = several if opens_with is None else several.where(F.col("opening") == opens_with)
     parted = _parted(pieces.join(wanted.select(*keys), keys, "left_semi"), keys, len(order), max_chars, part_rows)
-    return whole(pieces.join(several, keys, "left_anti")).unionByName(spelled(parted, [*keys, "part"]).select(columns))
+    cut = spelled(parted, [*keys, "part"]).select(columns)
+    return whole(pieces.join(several, keys, "left_anti")).unionByName(parts(cut, keys) if parts else cut)
 
 
 def _parted(pieces: DataFrame, keys: list[str], width: int, max_chars: int, part_rows: int) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ledgerframe.operators import ordering as O
 
 #: Lanes of a run.
-LANES = 32
+LANES = 16
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Sorts as timestamps do.
 TIME_KEY = "yyyy-MM-dd HH:mm:ss.SSSSSS"
