@@ -46,6 +46,11 @@ def is_valid_name(name: Column) -> Column:
     return name.rlike(VALID_NAME)
 
 
+def is_quarantined(name: Column) -> Column:
+    """Whether a valid name has no place in the order, as its number is out of range."""
+    return is_valid_name(name) & order_number(name).isNull()
+
+
 def script_type(name: Column) -> Column:
     is_rollback = base_name(name).endswith(ROLLBACK_SUFFIX)
     return F.when(is_rollback, F.lit(ROLLBACK)).otherwise(F.lit(COMMIT)).cast("int")

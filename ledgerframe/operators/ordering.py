@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerframe.functions import names as N
 from ledgerframe.functions.text import is_package_script
 from ledgerframe.operators.skew import HOT_ROWS, join_counted
+from ledgerframe.session import materialize
 
 
 def natural_order(scripts: DataFrame) -> DataFrame:
@@ -27,6 +28,35 @@ def rollback_order(scripts: DataFrame) -> DataFrame:
     return back.orderBy(F.desc("band"), F.desc_nulls_last("order_number"), F.desc("name"))
 
 
+def with_position(frame: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
+    """Gapless positions from 1 in the given order, without a window over all rows.
+
+    Rows are range-partitioned, sorted and written, so that a row's place can't change; the sizes of
+    the partitions, one row each, give the first position of every partition.
+    """
+    placed = frame.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = materialize(placed.withColumn("_part", F.shiftright("_at", 33)), "placed")
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # as many rows as partitions
+    starts = sizes.select("_part", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_start"))
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    joined = placed.join(starts, "_part").withColumn(name, F.col("_start") + inside + 1)
+    return joined.select(*frame.columns, name)
+
+
+def commit_positions(scripts: DataFrame) -> DataFrame:
+    """Forward scripts with their position in ``commit_order``; numbers out of range have none."""
+    forward = N.with_script_facts(scripts).where((F.col("type") == N.COMMIT) & F.col("order_number").isNotNull())
+    return with_position(forward, [F.col(c) for c in ("band", "order_number", "name")])
+
+
+def rollback_positions(scripts: DataFrame) -> DataFrame:
+    """Rollbacks with their position in ``rollback_order``; numbers out of range have none."""
+    back = N.with_script_facts(scripts).where((F.col("type") == N.ROLLBACK) & F.col("order_number").isNotNull())
+    return with_position(back, [F.desc(c) for c in ("band", "order_number", "name")])
+
+
 def execution_profile(scripts: DataFrame, ignore_errors: bool = False) -> DataFrame:
     """How each script would be run: schema, wrapper and the locked-component switch."""
     name = F.col("name")

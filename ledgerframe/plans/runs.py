@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerframe.functions import names as N
 from ledgerframe.operators import reconcile as R
+from ledgerframe.operators.ordering import with_position
 from ledgerframe.operators.registry import with_fingerprint
 from ledgerframe.session import materialize
 
@@ -41,7 +42,8 @@ def rollback_branch(mode: str, execute: bool, confirm: bool) -> str:
 def forward_plan(directory: DataFrame, registry: DataFrame, execute: bool = True) -> DataFrame:
     """New scripts with their action; rollbacks are registered first, never run.
 
-    Ascending (phase, band, order_number, name) is the order of the run.
+    Ascending (phase, band, order_number, name) is the order of the run; ``positioned`` numbers
+    it. A script whose number is out of range has no place in it: it is ``quarantined``.
     """
     fresh = N.with_script_facts(R.new_scripts(directory.select("name"), registry))
     is_rollback = F.col("type") == N.ROLLBACK
@@ -53,17 +55,32 @@ def forward_plan(directory: DataFrame, registry: DataFrame, execute: bool = True
         "order_number",
         "name",
         "schema_type",
-        F.when(is_rollback, "register").otherwise(commit_action).alias("action"),
+        F.when(N.is_quarantined(F.col("name")), "quarantined")
+        .when(is_rollback, "register")
+        .otherwise(commit_action)
+        .alias("action"),
     )
 
 
+def positioned(plan: DataFrame) -> DataFrame:
+    """A forward plan with the gapless ``position`` of every script in the run, from 1.
+
+    Quarantined scripts are not part of the run and have no position.
+    """
+    order = [F.col(c) for c in ("phase", "band", "order_number", "name")]
+    placed = with_position(plan.where("action <> 'quarantined'"), order)
+    out = plan.where("action = 'quarantined'").withColumn("position", F.lit(None).cast("bigint"))
+    return placed.unionByName(out)
+
+
 def undo_groups(deleted: DataFrame, strict: bool) -> DataFrame:
     """(commit_name, step): forward names to undo and the rollback that does it.
 
     Several rollbacks can resolve to one forward name; the first in rollback order runs.
     """
     return (
-        deleted.groupBy(N.commit_name(F.col("name"), strict).alias("commit_name"))
+        deleted.where(~N.is_quarantined(F.col("name")))
+        .groupBy(N.commit_name(F.col("name"), strict).alias("commit_name"))
         .agg(
             F.max(F.col("type") == N.COMMIT).alias("has_commit"),
             F.max(F.when(F.col("type") == N.ROLLBACK, run_key())).alias("step"),
@@ -104,8 +121,9 @@ def decide_rollbacks(
     else:
         acts = F.when(F.col("type") == N.ROLLBACK, F.lit(branch))
         gone = F.lit(True)
-    action = F.coalesce(F.when(step.isNotNull(), acts), F.lit("none"))
-    effect = F.when(gone, "delete").otherwise("keep")
+    lost = N.is_quarantined(name)
+    action = F.when(lost, "quarantined").otherwise(F.coalesce(F.when(step.isNotNull(), acts), F.lit("none")))
+    effect = F.when(gone & ~lost, "delete").otherwise("keep")
     return marked.withColumn("action", action).withColumn("effect", effect).select(*PLAN_COLUMNS)
 
 
@@ -120,6 +138,8 @@ def rollback_plan(
 ) -> DataFrame:
     """Every deleted registry row with an action and its effect on the row.
 
+    Rows whose number is out of range are ``quarantined`` and stay.
+
     ``outcomes`` (name, exit_code) stops a forced run behind its first failure; the
     failing pair is gone from the registry, later ones are ``not_reached``.
     """
@@ -131,8 +151,11 @@ def rollback_plan(
 def decide_inserts(
     snapshot: DataFrame, execute: bool, outcomes: DataFrame | None, ignore_errors: bool, unsupported: tuple[str, ...]
 ) -> DataFrame:
-    """New names with the status they are recorded with, cut behind a failure."""
-    fresh = snapshot.where("change = 'new'")
+    """New names with the status they are recorded with, cut behind a failure.
+
+    Quarantined scripts are not run, and so not recorded.
+    """
+    fresh = snapshot.where(F.col("change") == "new").where(~N.is_quarantined(F.col("name")))
     if not execute:
         return fresh.withColumn("status", F.lit(N.EXECUTED))
     if outcomes is None:

@@ -10,6 +10,8 @@ from ledgerframe.operators import ordering as O
 from ledgerframe.operators import reconcile as R
 from ledgerframe.operators import registry as G
 from ledgerframe.plans import runs as P
+from ledgerframe.session import fresh_path
+from ledgerframe.sources import bucketed as B
 from ledgerframe.suite import sqltext as S
 from ledgerframe.suite.registry import query
 
@@ -145,6 +147,24 @@ def _(v):
     )
 
 
+@query(
+    "bucketed_registry",
+    SIDES
+    + f"""select name, coalesce(upd.file_hash, reg_hash) as file_hash, coalesce(upd.text, r.text) as text, {S.type_('name')} as type, status
+    from r left join upd using (name) where name not in (select name from del)
+    union all select name, dir_hash as file_hash, text, type, 0 as status from fresh""",
+)
+def _(v):
+    directory, registry = v("dir_scripts"), v("registry")
+    root = fresh_path(v.spark, "bucketed")
+    B.create(G.with_fingerprint(registry).select("name", "file_hash", "text", "type", "status"), root)
+    inserts = G.bootstrap_registry(R.new_scripts(directory, registry))
+    updates, deletes = R.updated_scripts(directory, registry), R.deleted_names(directory, registry)
+    B.commit(v.spark, root, inserts=inserts)
+    B.commit(v.spark, root, updates=updates.select("name", "file_hash", "text"), deletes=deletes)
+    return B.read(v.spark, root).drop("bucket")
+
+
 @query("semi_filter", SIDES + "select script_id, name, text, type, status from registry where name in (select name from d)")
 def _(v):
     return G.semi_filter(v("registry"), R.valid_scripts(v("dir_scripts")), ["name"])
@@ -235,6 +255,20 @@ order_query("natural_order", O.natural_order, "true")
 order_query("commit_order", O.commit_order, "type = 0")
 order_query("rollback_order", O.rollback_order, "type = 1")
 
+
+def position_query(name: str, operator, where: str, order: str) -> None:
+    @query(
+        name,
+        f"""select *, row_number() over (order by {order}) as position
+        from (select name, {FACTS} from dir_scripts) where {where} and order_number is not null""",
+    )
+    def _(v):
+        return operator(v("dir_scripts").select("name"))
+
+
+position_query("commit_positions", O.commit_positions, "type = 0", "band, order_number, name")
+position_query("rollback_positions", O.rollback_positions, "type = 1", "band desc, order_number desc, name desc")
+
 MARKED = """with marked as (select *, coalesce(sum(case when exit_code <> 0 then 1 else 0 end)
     over (partition by run_id order by ts, step_id rows between unbounded preceding and 1 preceding), 0) = 0 as recorded from run_log)
 """
@@ -291,6 +325,43 @@ def _(v):
     return P.forward_plan(v("dir_scripts"), v("registry"), execute=True)
 
 
+@query(
+    "forward_plan_positions",
+    f"""select *, row_number() over (order by phase, band, order_number nulls first, name) as position
+    from ({forward_check("case when schema_type = 'PERFSTAT' then 'unsupported' else 'execute' end")})""",
+)
+def _(v):
+    return P.positioned(P.forward_plan(v("dir_scripts"), v("registry"), execute=True))
+
+
+# Every script whose name has a multiple of three characters gets a number of 39 digits.
+BEYOND = "9" * 39
+FAR_SQL = f"(select case when length(name) % 3 = 0 then '{BEYOND}_' || name else name end as name, text from dir_scripts)"
+
+
+def far_scripts(v):
+    name = F.col("name")
+    far = F.when(F.length(name) % 3 == 0, F.concat(F.lit(f"{BEYOND}_"), name)).otherwise(name)
+    return v("dir_scripts").select(far.alias("name"), "text")
+
+
+@query(
+    "quarantined_scripts",
+    f"select name, text, 'order number out of range' as reason from {FAR_SQL} where {S.valid('name')} and name like '{BEYOND}%'",
+)
+def _(v):
+    return R.quarantined_scripts(far_scripts(v))
+
+
+@query(
+    "forward_plan_quarantine",
+    f"""select name, case when name like '{BEYOND}%' then 'quarantined' when {S.type_('name')} = 1 then 'register' else 'copy' end as action
+    from {FAR_SQL} where {S.valid('name')} and name not in (select name from registry)""",
+)
+def _(v):
+    return P.forward_plan(far_scripts(v), v("registry"), execute=False).select("name", "action")
+
+
 @query("forward_plan_copy", forward_check("'copy'"))
 def _(v):
     return P.forward_plan(v("dir_scripts"), v("registry"), execute=False)
