@@ -181,8 +181,8 @@ def _passes(filled: np.ndarray, gram: np.ndarray) -> np.ndarray:
     return found
 
 
-def zones(docs: DataFrame, shared, splitters: np.ndarray | None = None, size: int = CHUNK) -> DataFrame:
-    """Distinct zones of each chunk: key (suffix, then the bytes in front, backwards, both padded
+def zones(docs: DataFrame, shared, splitters: np.ndarray | None = None, size: int = CHUNK, step: int = 1) -> DataFrame:
+    """Distinct zones of each chunk, or every ``step``-th of them: key (suffix, then the bytes in front, backwards, both padded
     with zeros), right, left (their lengths), gram, zone, low and high (its documents), bucket."""
 
     def cut(batches):
@@ -196,8 +196,8 @@ def zones(docs: DataFrame, shared, splitters: np.ndarray | None = None, size: in
             new[1:] = (gram[kept][1:] != gram[kept][:-1]) | (zone[kept][1:] != zone[kept][:-1])
             first = np.flatnonzero(new)
             order = rows[1][chunk.text[kept]]
-            low, high = order[first], np.maximum.reduceat(order, first)
-            kept = kept[first]
+            low, high = order[first][::step], np.maximum.reduceat(order, first)[::step]
+            kept = kept[first[::step]]
             anchor = chunk.anchor[kept]
             right, left = chunk.high[kept] + WINDOW - anchor, anchor - chunk.low[kept]
             padded = np.concatenate([np.zeros(LEFT, np.uint8), chunk.data, np.zeros(WINDOW, np.uint8)])
@@ -254,11 +254,8 @@ def sampled_splitters(docs: DataFrame, shared, size: int = CHUNK, bucket_rows: i
     share = min(1.0, max(SAMPLE_BYTES, total * SAMPLE_SHARE) / max(total, 1))
     some = docs if share == 1.0 else docs.sample(share, seed=2)
 
-    def thinned(batches):
-        for batch in batches:
-            yield batch.take(pa.array(np.arange(0, batch.num_rows, SAMPLE_STEP)))
-
-    keys = zones(some, shared, size=size).select("key").mapInArrow(thinned, "key binary").toArrow()["key"].to_pylist()
+    # thinned where they are made: a second Python stage would double the workers of an executor
+    keys = zones(some, shared, size=size, step=SAMPLE_STEP).select("key").toArrow()["key"].to_pylist()
     wanted = min(len(keys), int(len(keys) * SAMPLE_STEP / share / bucket_rows) + 1)
     if wanted < 2:
         return np.zeros((0, WINDOW + LEFT), np.uint8)
