@@ -1,8 +1,9 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Training counts n-grams per language on a sample of labelled texts whose expected size is
-``SAMPLE_DOCS``: every labelled text while there are fewer, else those whose hash falls below
-the matching threshold. The log-probability matrix (languages x buckets, at most
+Training counts n-grams per language on a sample of about ``SAMPLE_DOCS`` labelled texts. Languages
+share it evenly: one with fewer texts than its share is learned from all of them, the others from
+those whose hash, of id and text, falls below the language's threshold. So no language is left out
+because others are frequent; how frequent each is, in all rows, is its prior. The log-probability matrix (languages x buckets, at most
 ``MATRIX_CELLS`` cells: more languages take fewer buckets) is broadcast, and batches of texts are
 scored in numpy: the rows of a text's n-grams are gathered and summed.
 
@@ -78,15 +79,32 @@ def _counted(sample: DataFrame, buckets: int) -> DataFrame:
     return rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
+def even_share(counts: list[int], total: int) -> float:
+    """The bound under which counts add up to ``total`` if larger ones are cut to it."""
+    left = total
+    for i, count in enumerate(sorted(counts)):
+        share = left / (len(counts) - i)
+        if count > share:
+            return share
+        left -= count
+    return float(max(counts))
+
+
 def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
     """A model from the columns text and lang, of rows that have both; None without such rows."""
-    labelled = labelled.filter("text is not null and lang is not null").select("text", "lang")
-    share = min(1.0, sample_docs / max(1, labelled.count()))
-    bound = int(share * 2**63)
-    sample = labelled if share == 1 else labelled.filter(F.xxhash64("text").bitwiseAND(F.lit(2**63 - 1)) < bound)
-    documents = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}
+    key = [c for c in ("doc_id",) if c in labelled.columns]
+    labelled = labelled.filter("text is not null and lang is not null").select("text", "lang", *key)
+    # one row per language
+    documents = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not documents:
         return None
+    sample = labelled
+    if sum(documents.values()) > sample_docs:
+        share = even_share(list(documents.values()), sample_docs)
+        bounds = [(lang, min(int(share / n * 2**63), 2**63 - 1)) for lang, n in documents.items()]
+        bounds = F.broadcast(labelled.sparkSession.createDataFrame(bounds, "lang string, bound long"))
+        place = F.xxhash64(*key, "text").bitwiseAND(F.lit(2**63 - 1))
+        sample = labelled.join(bounds, "lang").filter(place <= F.col("bound"))
     languages = sorted(documents)
     buckets = BUCKETS
     while buckets * len(languages) > MATRIX_CELLS:

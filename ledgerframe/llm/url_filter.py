@@ -71,6 +71,10 @@ def suffixes(host: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(tails)
 
 
+#: Share of strangers that pass a level, about.
+FALSE_SHARE = 0.005
+
+
 @dataclass(frozen=True)
 class Level:
     """One Bloom filter: ``words`` holds its bits."""
@@ -157,6 +161,27 @@ def build(keys: DataFrame, count: int) -> list[Level]:
     return levels
 
 
+def grouped_cascades(keys: DataFrame, listed: int, unlisted: int, limit: int) -> list[list[Level]]:
+    """A cascade for each of as many groups of keys as keep every one below ``limit`` bytes.
+
+    The first level holds the listed keys, the second the unlisted ones that pass it, which may be
+    more where few keys are listed. If a group comes out too large all the same, twice as many
+    groups are made, until groups are as small as single keys.
+    """
+    expected = (listed + unlisted * FALSE_SHARE) * BITS_PER_KEY // 8 * 2
+    groups = max(1, int(-(-expected // limit)))
+    while True:
+        made = []
+        for number in range(groups):
+            own = keys.filter(F.pmod("first", F.lit(groups)) == number)
+            made.append(build(own, own.filter("listed").count()))
+            if groups < listed + unlisted and sum(level.words.nbytes for level in made[-1]) > limit:
+                break
+        else:
+            return made
+        groups *= 2
+
+
 def listed_hosts(hosts: DataFrame, blocked: DataFrame) -> DataFrame:
     """host, listed: whether the block list (column ``domain``) has the host or a parent domain."""
     domains = blocked.select(F.translate("domain", UPPER, LOWER).alias("domain")).distinct()
@@ -178,15 +203,11 @@ def url_filter(pages: DataFrame, rules: list[str], blocked: DataFrame, limit: in
     hashes = {"first": F.xxhash64("host"), "second": F.xxhash64("host", F.lit(1))}
     keys = listed_hosts(judged.select("host").distinct(), blocked).withColumns(hashes)
     keys = materialize(keys.select("first", "second", "listed"), "url-keys")
-    # all levels together take less than 4 times the first
-    groups = max(1, -(-keys.filter("listed").count() * BITS_PER_KEY // 8 * 4 // limit))
-    group = F.pmod("first", F.lit(groups))
+    listed = keys.filter("listed").count()
+    cascades = grouped_cascades(keys, listed, keys.count() - listed, limit)
+    group = F.pmod("first", F.lit(len(cascades)))
     tested = []
-    for number in range(groups):
-        own = keys.filter(group == number)
-        levels = build(own, own.filter("listed").count())
-        if sum(level.words.nbytes for level in levels) > limit:
-            raise ValueError(f"the filters of a group exceed {limit} bytes")
+    for number, levels in enumerate(cascades):
         shared = spark.sparkContext.broadcast(levels)
         tested.append(_tested(judged.withColumns(hashes).filter(group == number), shared))
     rows = reduce(DataFrame.unionByName, tested)

@@ -511,3 +511,33 @@ def test_empty_tables(spark, name, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert registered.queries()[name](spark, str(tmp_path)).collect() == []
+
+
+def test_url_filter_of_few_listed_among_many(spark):
+    """The second level is larger than the first; a group that comes out too large is split."""
+    pages = spark.range(20_000).selectExpr("id as page_id", "concat('http://h', id, '.test/') as url")
+    blocked = spark.createDataFrame([(f"h{i}.test",) for i in range(0, 20_000, 2000)], "domain string")
+    got = url_filter.url_filter(pages, [], blocked, limit=100)
+    assert {r.page_id for r in got.filter("listed").collect()} == set(range(0, 20_000, 2000)) and got.count() == 20_000
+
+
+def test_every_language_is_sampled(spark):
+    """All texts of one language are the same, and another is rare."""
+    rng = random.Random(2)
+    made = [(i, "wiederholter text in einer sprache", "de") for i in range(3000)]
+    made += [(3000 + i, " ".join(words(rng, 20, "abcdef")), "xa") for i in range(3000)]
+    made += [(6000 + i, " ".join(words(rng, 20, "uvwxyz")), "xu") for i in range(12)]
+    frame = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    model = language_id.train(frame, sample_docs=100)
+    assert model.languages == ["de", "xa", "xu"]
+    told = language_id.predicted(frame, model, "lang").filter("lang <> lang_pred").count()
+    assert told <= 60
+    assert language_id.even_share([5, 1, 100], 20) == 14 and language_id.even_share([3, 3], 100) == 3
+
+
+def test_pipeline_of_documents_without_languages(spark):
+    rng = random.Random(3)
+    made = [(i, ". ".join(" ".join(words(rng, 9)).capitalize() for _ in range(12)), None, "s", 1) for i in range(20)]
+    frame = spark.createDataFrame([*made, (99, "12 34", None, "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.languages(spark, frame, "").collect()
+    assert sorted(r.doc_id for r in kept) == list(range(20)) and list(kept[0].asDict()) == frame.columns
