@@ -25,8 +25,13 @@ def _carried(docs: DataFrame) -> DataFrame:
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter and those of no clear language."""
+    """Rejects documents without a letter and those of no clear language.
+
+    Where no document names its language nothing can be learned, and only those without a letter go.
+    """
     model = language_id.train(docs)
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     told = language_id.predicted(_carried(docs), model, "_row")
     known = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LANGUAGE_SCORE)
     return told.filter(known).select("_row.*")
