@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,6 +87,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[borders[0] : borders[-1]], borders - borders[0]
 
 
+def release() -> None:
+    """Hands memory that a task has freed back to the system: workers stay for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class Recent:
     """Results by piece of text, of bounded number: two generations, of which the older is
     forgotten when the younger is full. What is used again moves to the younger."""

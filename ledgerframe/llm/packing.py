@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerframe.llm.common import Recent, byte_batches, column_of, keyed, text_bytes
+from ledgerframe.llm.common import Recent, byte_batches, column_of, keyed, release, text_bytes
 from ledgerframe.llm.token_counts import KEPT, KEPT_CHARS, encoded_in_calls, id_type
 
 LENGTH = 2048
 GROUP_DOCS = 512
 #: Bytes of text that a group holds about, and that are encoded at once.
 GROUP_BYTES = 4 << 20
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 3 << 19
 
 
 #: Texts with any of these are cut with more care: runs of blanks are matched as one. They are
@@ -108,7 +108,7 @@ def encode_batch(path: str, column: pa.Array, end_id: int) -> pa.Array:
     ids = np.frombuffer(b"".join(packed), kind)
     # the end id stands behind the last piece of each text
     last = np.searchsorted(begins, borders[1:])
-    which = np.insert(found.indices.to_numpy(zero_copy_only=False).astype(np.int64), last, len(pieces))
+    which = np.insert(found.indices.to_numpy(zero_copy_only=False), last, len(pieces))
     length = sizes[which]
     ends = np.cumsum(length)
     shift = (np.cumsum(sizes) - sizes)[which] - (ends - length)
@@ -194,6 +194,7 @@ def packed(docs: DataFrame, path: str, end_id: int, length: int = LENGTH, group_
         for batch in byte_batches(batches, BATCH_BYTES):
             ids = encode_batch(path, batch.column(1), end_id)
             yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), ids], names=["group", "doc_id", "ids"])
+        release()
 
     def place(table: pa.Table) -> pa.Table:
         kind = id_type(path)

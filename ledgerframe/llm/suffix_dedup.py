@@ -37,14 +37,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerframe.llm.common import keyed, text_bytes
+from ledgerframe.llm.common import keyed, release, text_bytes
 from ledgerframe.session import materialize
 
 WINDOW = 50
 ANCHOR = 24
 LEFT = WINDOW - ANCHOR
 #: Bytes of text worked on at once, and the largest Bloom filter in bits.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 FILTER_BITS = 1 << 27
 #: Zones in a bucket; bytes of text that splitters are sampled from, at least and as a share of all;
 #: one of so many sampled suffixes goes to the driver.
@@ -76,7 +76,7 @@ class Chunk:
     def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
         """``starts`` and ``ends`` are the texts' borders in ``data``."""
         n = len(data)
-        up, down, table = _powers(1 << max(20, n.bit_length()))
+        up, down, table = _powers(1 << max(19, n.bit_length()))
         sums = np.zeros(n + 1, U)
         np.cumsum(table[data] * down[:n], out=sums[1:])
         self.data, self.sums, self.up, self.starts = data, sums, up, starts
@@ -145,6 +145,7 @@ def shared_anchors(docs: DataFrame, size: int = CHUNK) -> DataFrame:
         for chunk, rows, _ in chunks(batches, size):
             gram, _ = chunk.keys()
             yield pa.RecordBatch.from_arrays([_signed(gram), pa.array(rows[1][chunk.text])], names=["gram", "ord"])
+        release()
 
     found = docs.select("row", "ord", "text").mapInArrow(anchors, "gram long, ord long").groupBy("gram")
     return found.agg(F.min("ord").alias("low"), F.max("ord").alias("high")).filter("low < high").select("gram")
@@ -181,46 +182,52 @@ def _passes(filled: np.ndarray, gram: np.ndarray) -> np.ndarray:
     return found
 
 
-def zones(docs: DataFrame, shared, splitters: np.ndarray | None = None, size: int = CHUNK, step: int = 1) -> DataFrame:
-    """Distinct zones of each chunk, or every ``step``-th of them: key (suffix, then the bytes in front, backwards, both padded
+def _zones_of(batches: Iterator[pa.RecordBatch], filled: np.ndarray, splitters: np.ndarray | None, size: int, step: int = 1):
+    """Distinct zones of each chunk, or every ``step``-th of them."""
+    for chunk, rows, _ in chunks(batches, size):
+        gram, zone = chunk.keys()
+        kept = np.flatnonzero(_passes(filled, gram))
+        if not len(kept):
+            continue
+        kept = kept[np.lexsort((rows[1][chunk.text[kept]], zone[kept], gram[kept]))]
+        new = np.ones(len(kept), bool)
+        new[1:] = (gram[kept][1:] != gram[kept][:-1]) | (zone[kept][1:] != zone[kept][:-1])
+        first = np.flatnonzero(new)
+        order = rows[1][chunk.text[kept]]
+        low, high = order[first][::step], np.maximum.reduceat(order, first)[::step]
+        kept = kept[first[::step]]
+        anchor = chunk.anchor[kept]
+        right, left = chunk.high[kept] + WINDOW - anchor, anchor - chunk.low[kept]
+        padded = np.concatenate([np.zeros(LEFT, np.uint8), chunk.data, np.zeros(WINDOW, np.uint8)])
+        tail = padded[anchor[:, None] + LEFT + np.arange(WINDOW)]
+        tail[np.arange(WINDOW) >= right[:, None]] = 0
+        head = padded[anchor[:, None] + LEFT - 1 - np.arange(LEFT)]
+        head[np.arange(LEFT) >= left[:, None]] = 0
+        key = np.ascontiguousarray(np.hstack([tail, head]))
+        borders = pa.py_buffer(np.arange(0, key.size + 1, key.shape[1], dtype=np.int32))
+        keys = pa.Array.from_buffers(pa.binary(), len(kept), [None, borders, pa.py_buffer(key)])
+        yield pa.RecordBatch.from_arrays(
+            [
+                keys,
+                pa.array(right.astype(np.int8)),
+                pa.array(left.astype(np.int8)),
+                _signed(gram[kept]),
+                _signed(zone[kept]),
+                pa.array(low),
+                pa.array(high),
+                pa.array(bucket_of(key, splitters)),
+            ],
+            names=["key", "right", "left", "gram", "zone", "low", "high", "bucket"],
+        )
+    release()
+
+
+def zones(docs: DataFrame, shared, splitters: np.ndarray | None = None, size: int = CHUNK) -> DataFrame:
+    """Distinct zones of each chunk: key (suffix, then the bytes in front, backwards, both padded
     with zeros), right, left (their lengths), gram, zone, low and high (its documents), bucket."""
 
     def cut(batches):
-        for chunk, rows, _ in chunks(batches, size):
-            gram, zone = chunk.keys()
-            kept = np.flatnonzero(_passes(shared.value, gram))
-            if not len(kept):
-                continue
-            kept = kept[np.lexsort((rows[1][chunk.text[kept]], zone[kept], gram[kept]))]
-            new = np.ones(len(kept), bool)
-            new[1:] = (gram[kept][1:] != gram[kept][:-1]) | (zone[kept][1:] != zone[kept][:-1])
-            first = np.flatnonzero(new)
-            order = rows[1][chunk.text[kept]]
-            low, high = order[first][::step], np.maximum.reduceat(order, first)[::step]
-            kept = kept[first[::step]]
-            anchor = chunk.anchor[kept]
-            right, left = chunk.high[kept] + WINDOW - anchor, anchor - chunk.low[kept]
-            padded = np.concatenate([np.zeros(LEFT, np.uint8), chunk.data, np.zeros(WINDOW, np.uint8)])
-            tail = padded[anchor[:, None] + LEFT + np.arange(WINDOW)]
-            tail[np.arange(WINDOW) >= right[:, None]] = 0
-            head = padded[anchor[:, None] + LEFT - 1 - np.arange(LEFT)]
-            head[np.arange(LEFT) >= left[:, None]] = 0
-            key = np.ascontiguousarray(np.hstack([tail, head]))
-            borders = pa.py_buffer(np.arange(0, key.size + 1, key.shape[1], dtype=np.int32))
-            keys = pa.Array.from_buffers(pa.binary(), len(kept), [None, borders, pa.py_buffer(key)])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    keys,
-                    pa.array(right.astype(np.int8)),
-                    pa.array(left.astype(np.int8)),
-                    _signed(gram[kept]),
-                    _signed(zone[kept]),
-                    pa.array(low),
-                    pa.array(high),
-                    pa.array(bucket_of(key, splitters)),
-                ],
-                names=["key", "right", "left", "gram", "zone", "low", "high", "bucket"],
-            )
+        yield from _zones_of(batches, shared.value, splitters, size)
 
     schema = "key binary, right byte, left byte, gram long, zone long, low long, high long, bucket int"
     return docs.select("row", "ord", "text").mapInArrow(cut, schema)
@@ -254,8 +261,13 @@ def sampled_splitters(docs: DataFrame, shared, size: int = CHUNK, bucket_rows: i
     share = min(1.0, max(SAMPLE_BYTES, total * SAMPLE_SHARE) / max(total, 1))
     some = docs if share == 1.0 else docs.sample(share, seed=2)
 
-    # thinned where they are made: a second Python stage would double the workers of an executor
-    keys = zones(some, shared, size=size, step=SAMPLE_STEP).select("key").toArrow()["key"].to_pylist()
+
+    def sampled(batches):
+        # thinned where they are made: a second Python stage would double the workers of an executor
+        for batch in _zones_of(batches, shared.value, None, size, SAMPLE_STEP):
+            yield batch.select(["key"])
+
+    keys = some.select("row", "ord", "text").mapInArrow(sampled, "key binary").toArrow()["key"].to_pylist()
     wanted = min(len(keys), int(len(keys) * SAMPLE_STEP / share / bucket_rows) + 1)
     if wanted < 2:
         return np.zeros((0, WINDOW + LEFT), np.uint8)
@@ -411,6 +423,7 @@ def buckets(found: DataFrame, count: int) -> DataFrame:
         held = [batch for batch in batches if batch.num_rows]
         if held:
             yield from _sorted_bucket(held, TaskContext.get().partitionId())
+        release()
 
     return materialize(found.repartitionById(count, "bucket").mapInArrow(sort_bucket, BUCKET), "windows")
 
@@ -454,6 +467,7 @@ def places(docs: DataFrame, shared, size: int = CHUNK) -> DataFrame:
                 [_signed(gram[kept]), _signed(zone[kept]), pa.array(rows[0][text]), pa.array(rows[1][text]), pa.array(at)],
                 names=["gram", "zone", "row", "ord", "anchor"],
             )
+        release()
 
     return docs.select("row", "ord", "text").mapInArrow(find, "gram long, zone long, row long, ord long, anchor long")
 
