@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerframe.llm import byte_bpe, fingerprints, html_extraction, language_id, near_dedup, packing, prefix_trie, quality_rules, sharding, suffix_dedup, token_counts, url_filter, whitening
-from ledgerframe.session import materialize
+from ledgerframe.session import fresh_path, materialize
 
 URL_RULES = ["allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/"]
 #: Words of host names that put a host of the corpus on the block list.
@@ -103,10 +103,11 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's shard by the first version of the slot map."""
+    """Every document's shard by the slot map that is read back: dealt, then edited once for slots too full."""
     records = sharding.sized(table(spark, sf_dir, "documents"))
-    stored = sharding.versions(spark, [sharding.first_map(sharding.slot_bytes(records), SHARDS)])
-    placed = sharding.sharded(records, stored, version=0)
+    path = fresh_path(spark, "slot-map")
+    version = sharding.rebalance(records, path, sharding.deal(records, path, SHARDS), SHARDS)
+    placed = sharding.sharded(records, sharding.stored(spark, path), version)
     return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 

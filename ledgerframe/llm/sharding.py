@@ -4,12 +4,22 @@ A record's slot is a hash of its id; the number of slots never changes. Bytes ar
 slot, and a map, one row per slot and version, says which shard has which slot. The first
 version deals slots from the largest down, each to the emptiest shard. Later versions are edits:
 slots leave shards that are too full, or go to new shards, and all others stay where they are.
+Every version is a folder of its own below the map's path, never written twice, and records are
+placed by what is read from there.
+
+An id that many rows share, or that is missing, would make a slot too big for any dealing. An
+edit marks such a slot as ``spread``: its records go by a hash of their row instead, all others
+stay in their slots. ``FULL_SHARE`` of a shard is the bound, so at most shards / ``FULL_SHARE``
+slots are spread.
+
 The map has ``SLOTS`` rows per version whatever the data, so it is dealt on the driver and
 broadcast; the records themselves are never regrouped by shard.
 
-Defined results: a null text has only the overhead as its size and the crc of no bytes. Rows
-with a null id share one slot. Repeated rows share a slot and have places of their own. An empty
-table gives an empty result.
+Defined results: a null text has only the overhead as its size and the crc of no bytes; a very
+long text counts whole, and only its size and crc move. Rows with a null id are rows of one id.
+Repeated rows have places of their own, in the order of the rows as they were read; they share a
+slot unless it is spread. Columns that are not asked for are ignored, whatever their names. An
+empty table gives an empty result and a map all the same.
 """
 
 from __future__ import annotations
@@ -24,6 +34,9 @@ from ledgerframe.session import materialize
 
 SLOTS = 8192
 OVERHEAD = 16
+#: Bytes beyond its largest record that a slot may have, as a share of a shard's mean.
+FULL_SHARE = 0.25
+MAP = "version int, virtual_slot int, shard int, spread boolean"
 
 
 def slot_of(key: Column, slots: int = SLOTS) -> Column:
@@ -68,28 +81,72 @@ def rebalanced(dealt: dict[int, int], sizes: dict[int, int], shards: int) -> dic
     return edited
 
 
-def versions(spark, maps: list[dict[int, int]]) -> DataFrame:
-    """version, slot, shard: the map to store, one row per version and slot."""
-    rows = [(number, slot, shard) for number, dealt in enumerate(maps) for slot, shard in sorted(dealt.items())]
-    return spark.createDataFrame(rows, "version int, virtual_slot int, shard int")
+def versions(spark, maps: list[dict[int, int]], spread: frozenset[int] = frozenset(), start: int = 0) -> DataFrame:
+    """version, virtual_slot, shard, spread: one row per version and slot, numbered from ``start``."""
+    rows = [(number, slot, shard, slot in spread) for number, dealt in enumerate(maps, start) for slot, shard in sorted(dealt.items())]
+    return spark.createDataFrame(rows, MAP)
+
+
+def store(spark, path: str, version: int, dealt: dict[int, int], spread: frozenset[int] = frozenset()) -> None:
+    """Writes a version of the map; one that is there already is an error."""
+    told = versions(spark, [dealt], spread, version).drop("version")
+    told.coalesce(1).write.parquet(f"{path}/version={version}")
+
+
+def stored(spark, path: str) -> DataFrame:
+    """All versions of the map at ``path``."""
+    return spark.read.schema(MAP).parquet(path)
 
 
 def sized(docs: DataFrame, overhead: int = OVERHEAD, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32 and virtual_slot, written once: the only pass over texts."""
+    """doc_id, size, text_crc32, virtual_slot (by id) and _row, written once: the only pass over texts."""
     text = F.coalesce("text", F.lit(""))
     slim = docs.select(
         "doc_id",
         (F.octet_length(text).cast("long") + overhead).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         slot_of(F.col("doc_id"), slots).alias("virtual_slot"),
+        F.monotonically_increasing_id().alias("_row"),
     )
     return materialize(slim, "sized")
 
 
-def sharded(records: DataFrame, stored: DataFrame, version: int) -> DataFrame:
-    """The records with ``shard`` by one version of the stored map, and ``slot``, their place there."""
-    dealt = F.broadcast(stored.filter(F.col("version") == version).drop("version"))
-    placed = numbered(records.join(dealt, "virtual_slot"), "shard", "doc_id", "text_crc32", name="_place")
+def in_slots(records: DataFrame, dealt: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """The records, those of spread slots with a slot by row as their ``virtual_slot``."""
+    spread = F.broadcast(dealt.filter("spread").select("virtual_slot", F.lit(True).alias("_spread")))
+    own = F.when(F.col("_spread"), slot_of(F.col("_row"), slots)).otherwise(F.col("virtual_slot"))
+    return records.join(spread, "virtual_slot", "left").withColumn("virtual_slot", own).drop("_spread")
+
+
+def full_slots(records: DataFrame, shards: int) -> frozenset[int]:
+    """Slots whose records, but for the largest, pass ``FULL_SHARE`` of a shard's mean bytes."""
+    mean = (records.agg(F.sum("size")).first()[0] or 0) / shards
+    sums = records.groupBy("virtual_slot").agg((F.sum("size") - F.max("size")).alias("rest"))
+    return frozenset(r["virtual_slot"] for r in sums.filter(F.col("rest") > FULL_SHARE * mean).collect())
+
+
+def deal(records: DataFrame, path: str, shards: int, slots: int = SLOTS) -> int:
+    """Stores version 0 of the map, dealt from the bytes of the slots."""
+    store(records.sparkSession, path, 0, first_map(slot_bytes(records), shards, slots))
+    return 0
+
+
+def rebalance(records: DataFrame, path: str, version: int, shards: int, slots: int = SLOTS) -> int:
+    """Stores the version after ``version``: its map with full slots spread, edited for the present bytes."""
+    spark = records.sparkSession
+    known = stored(spark, path).filter(F.col("version") == version).collect()
+    spread = frozenset(r["virtual_slot"] for r in known if r["spread"]) | full_slots(records, shards)
+    before = {r["virtual_slot"]: r["shard"] for r in known}
+    sizes = slot_bytes(in_slots(records, versions(spark, [before], spread), slots))
+    store(spark, path, version + 1, rebalanced(before, sizes, shards), spread)
+    return version + 1
+
+
+def sharded(records: DataFrame, maps: DataFrame, version: int, slots: int = SLOTS) -> DataFrame:
+    """The records with ``shard`` by one version of the stored maps, and ``slot``, their place there."""
+    dealt = maps.filter(F.col("version") == version).drop("version")
+    owned = in_slots(records, dealt, slots).join(F.broadcast(dealt.drop("spread")), "virtual_slot")
+    placed = numbered(owned, "shard", "doc_id", "text_crc32", "_row", name="_place")
     # one row per shard
     starts = placed.groupBy("shard").agg(F.min("_place").alias("_start"))
-    return placed.join(F.broadcast(starts), "shard").withColumn("slot", F.col("_place") - F.col("_start")).drop("_place", "_start")
+    return placed.join(F.broadcast(starts), "shard").withColumn("slot", F.col("_place") - F.col("_start")).drop("_place", "_start", "_row")

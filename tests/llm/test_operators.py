@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -12,6 +13,8 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -365,6 +368,66 @@ def test_sharding(spark, docs, rows):
     assert all(sorted(v) == list(range(len(v))) for v in by_shard.values())
 
 
+def spark_slot(doc_id):
+    """The slot of an id, by the hash's published definition: xxh64 with seed 42 over eight bytes."""
+    return xxhash.xxh64_intdigest(struct.pack("<q", doc_id), 42) % sharding.SLOTS
+
+
+def test_sharding_equals_plain_dealing(spark, tmp_path):
+    rng = random.Random(16)
+    rows = [(i * 7 + 1, "x" * rng.randrange(0, 300)) for i in range(4000)] + [(50_000, None), (50_001, ""), (50_002, "y" * 30_000)]
+    records = sharding.sized(spark.createDataFrame(rows, "doc_id long, text string").repartition(5).withColumn("size", F.lit("clash")))
+    path = str(tmp_path / "map")
+    assert sharding.rebalance(records, path, sharding.deal(records, path, 4), 4) == 1
+    got = sharding.sharded(records, sharding.stored(spark, path), 1).collect()
+    size = {i: len(t or "") + 16 for i, t in rows}
+    slots = collections.Counter()
+    for i in size:
+        slots[spark_slot(i)] += size[i]
+    loads, owner = [0] * 4, {}
+    for slot in sorted(range(sharding.SLOTS), key=lambda s: (-slots[s], s)):
+        owner[slot] = loads.index(min(loads))
+        loads[owner[slot]] += slots[slot]
+    assert {(r.doc_id, r.size, r.virtual_slot, r.shard) for r in got} == {(i, size[i], spark_slot(i), owner[spark_slot(i)]) for i in size}
+    place = collections.Counter()
+    expected = {}
+    for i in sorted(size):
+        expected[i] = place[owner[spark_slot(i)]]
+        place[owner[spark_slot(i)]] += 1
+    assert {r.doc_id: r.slot for r in got} == expected
+    assert sharding.stored(spark, path).groupBy("version").count().count() == 2
+    with pytest.raises(AnalysisException):
+        sharding.store(spark, path, 1, owner)
+
+
+def test_sharding_spreads_missing_and_shared_ids(spark, tmp_path):
+    """A third of the rows has no id and a third has one id: bytes are even all the same."""
+    rows = [(i if i % 3 == 0 else None if i % 3 == 1 else 5, "z" * (i % 50)) for i in range(9000)]
+    records = sharding.sized(spark.createDataFrame(rows, "doc_id long, text string"))
+    path = str(tmp_path / "map")
+    version = sharding.rebalance(records, path, sharding.deal(records, path, 8), 8)
+    maps = sharding.stored(spark, path)
+    marked = {r.virtual_slot for r in maps.filter("spread").collect()}
+    assert len(marked) == 2 and spark_slot(5) in marked
+    got = sharding.sharded(records, maps, version).collect()
+    assert collections.Counter((r.doc_id, r.size) for r in got) == collections.Counter((i, len(t) + 16) for i, t in rows)
+    loads, places = collections.Counter(), collections.defaultdict(list)
+    for r in got:
+        loads[r.shard] += r.size
+        places[r.shard].append(r.slot)
+        if r.doc_id is not None and spark_slot(r.doc_id) not in marked:
+            assert r.virtual_slot == spark_slot(r.doc_id)
+    assert len(loads) == 8 and max(loads.values()) - min(loads.values()) < 0.01 * sum(loads.values()) / 8
+    assert all(sorted(v) == list(range(len(v))) for v in places.values())
+
+
+def test_sharding_of_no_rows(spark, tmp_path):
+    records = sharding.sized(spark.createDataFrame([], "doc_id long, text string"))
+    path = str(tmp_path / "map")
+    version = sharding.rebalance(records, path, sharding.deal(records, path, 4), 4)
+    assert sharding.sharded(records, sharding.stored(spark, path), version).count() == 0
+
+
 def test_sharding_rebalances_few_slots():
     rng = random.Random(6)
     sizes = {slot: rng.randrange(1, 1000) for slot in range(sharding.SLOTS)}
