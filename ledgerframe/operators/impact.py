@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerframe.functions import names as N
 from ledgerframe.functions import text as T
 from ledgerframe.operators import reconcile as R
+from ledgerframe.session import materialize
 
 
 def normalize_scripts(scripts: DataFrame) -> DataFrame:
@@ -40,6 +41,30 @@ def package_scripts(scripts: DataFrame) -> DataFrame:
     return scripts.select("name", T.is_package_script(F.col("text")).alias("is_package_script"))
 
 
+def candidate_names(directory: DataFrame, registry: DataFrame) -> DataFrame:
+    """Names of the forward owner scripts that are in development or changed.
+
+    Decided on names and fingerprints: no text is in the exchange.
+    """
+    name = F.col("name")
+    forward = R.valid_scripts(directory).where((N.script_type(name) == N.COMMIT) & (N.schema_type(name) == N.OWNER))
+    known = R.registry_keys(registry).select("name", "reg_hash")
+    marked = forward.select("name", N.fingerprint(F.col("text")).alias("dir_hash")).join(known, "name", "left")
+    developing = N.order_number(name) < N.DEVELOPMENT_LIMIT
+    changed = F.col("dir_hash") != F.col("reg_hash")
+    return marked.where(F.coalesce(developing, F.lit(False)) | F.coalesce(changed, F.lit(False))).select("name")
+
+
+def candidate_objects(directory: DataFrame, registry: DataFrame) -> DataFrame:
+    """Distinct objects that the candidate scripts change.
+
+    The names are written, so that Spark knows their size when it fetches the texts behind
+    them; phrases are looked for in candidates only.
+    """
+    names = materialize(candidate_names(directory, registry), "candidates")
+    return distinct_changed_objects(directory.join(names, "name", "left_semi"))
+
+
 def ddl_candidates(directory: DataFrame, registry: DataFrame) -> DataFrame:
     """Forward owner scripts that are in development or changed, each once.
 

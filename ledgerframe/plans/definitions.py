@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerframe.operators import catalog as C
 from ledgerframe.operators import definitions as D
+from ledgerframe.operators import impact as I
 from ledgerframe.session import materialize
 
 
@@ -26,6 +27,23 @@ def chosen_objects(corpus: DataFrame, targets: DataFrame | None) -> DataFrame:
     return keyed.join(wanted, ["key_name", "object_type"], "left_semi").select(*corpus.columns)
 
 
+def regeneration_targets(
+    directory: DataFrame,
+    registry: DataFrame,
+    objects: DataFrame,
+    indexes: DataFrame,
+    triggers: DataFrame,
+    dependencies: DataFrame,
+    owner: str,
+) -> DataFrame:
+    """(object_name, object_type) whose definitions the scripts in development or changed ask for."""
+    changed = I.candidate_objects(directory, registry)
+    told = C.resolve_changed_objects(changed, objects, indexes, triggers, dependencies, owner)
+    return told.where("action = 'regenerate'").select(
+        F.col("target_name").alias("object_name"), F.col("target_type").alias("object_type")
+    )
+
+
 def definition_files(
     corpus: DataFrame,
     indexes: DataFrame,

@@ -19,12 +19,14 @@ COMPILABLE = (
 )
 
 
-@query(
-    "list_objects",
-    """select object_name, object_type from objects where owner = 'APP' and ((object_type = 'TABLE' and generated = 'N' and object_name not like 'Z_%'
+def listed(view: str) -> str:
+    """The owner's objects that have a stored definition."""
+    return f"""select object_name, object_type from {view} where owner = 'APP' and ((object_type = 'TABLE' and generated = 'N' and object_name not like 'Z_%'
     and object_name not like '%_OLD') or object_type in ('VIEW', 'PACKAGE', 'PACKAGE BODY', 'TRIGGER')
-    or (object_type in ('TYPE', 'TYPE BODY') and generated = 'N' and object_name not like 'T$%'))""",
-)
+    or (object_type in ('TYPE', 'TYPE BODY') and generated = 'N' and object_name not like 'T$%'))"""
+
+
+@query("list_objects", listed("objects"))
 def _(v):
     return C.list_objects(v("objects"), OWNER)
 
@@ -130,7 +132,9 @@ def _(v):
     return C.commented_tables(v("tab_comments"), v("col_comments"))
 
 
-RESOLVED = f"""with c as ({CHANGED}), cat as (select distinct object_name, object_type from catalog_objects where owner = 'APP'),
+def resolution(changed: str) -> str:
+    """What a query's changed objects stand for."""
+    return f"""with c as ({changed}), cat as (select distinct object_name, object_type from catalog_objects where owner = 'APP'),
     kinds as (select object_name, count(*) as hits, max(object_type) as kind from catalog_objects where owner = 'APP' and object_type in ('TABLE', 'VIEW') group by object_name),
     dep as (select c.object_name, c.object_type, i.table_name from c left join indexes i on i.index_name = upper(c.object_name) where c.object_type = 'INDEX'
       union all select c.object_name, c.object_type, t.table_name from c left join triggers t on t.trigger_name = upper(c.object_name) where c.object_type = 'TRIGGER'),
@@ -151,6 +155,9 @@ RESOLVED = f"""with c as ({CHANGED}), cat as (select distinct object_name, objec
       where c.object_type in ('PACKAGE_BODY', 'PACKAGE_SPEC', 'TABLE', 'VIEW', 'TYPE_BODY', 'TYPE_SPEC'))"""
 
 
+RESOLVED = resolution(CHANGED)
+
+
 @query("resolve_changed_objects", RESOLVED)
 def resolved(v):
     changed = I.distinct_changed_objects(v("dir_scripts"))

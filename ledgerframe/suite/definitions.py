@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerframe.operators import catalog as C
 from ledgerframe.operators import definitions as D
+from ledgerframe.operators import impact as I
 from ledgerframe.plans import definitions as P
 from ledgerframe.suite import sqltext as S
-from ledgerframe.suite.catalog import RESOLVED, resolved
+from ledgerframe.suite.catalog import RESOLVED, listed, resolution, resolved
 from ledgerframe.suite.registry import query
 
 OWNER = "APP"
@@ -213,6 +215,47 @@ def _(v):
     return all_definitions(v, targets.select(F.col("target_name").alias("object_name"), F.col("target_type").alias("object_type")))
 
 
+#: Forward owner scripts in development, or whose text differs from the registry's.
+CANDIDATES = f"""select d.name from dir_scripts d left join registry r on r.name = d.name
+    where {S.valid('d.name')} and {S.type_('d.name')} = 0 and {S.schema('d.name')} = 'OWNER'
+    and ({S.order_number('d.name')} < 100 or {S.fingerprint('d.text')} <> {S.fingerprint('r.text')})"""
+
+
+@query(
+    "candidate_objects",
+    f"select distinct object_name, object_type from ({S.changed('dir_scripts', f'where name in ({CANDIDATES})')})",
+)
+def _(v):
+    return I.candidate_objects(v("dir_scripts"), v("registry"))
+
+
+@query(
+    "candidate_definitions",
+    f"""with {table_doc_ctes('all_')}, changed as (select distinct upper(target_name) as object_name, {S.catalogue_type('target_type')} as object_type
+      from ({resolution(f"select distinct object_name, object_type from ({S.changed('dir_scripts', f'where name in ({CANDIDATES})')})")}) where action = 'regenerate')
+    select path, cast(0 as bigint) as part, {S.code_style('text')} as text from ({ALL_FILES}) f
+    where exists (select 1 from changed c where c.object_name = upper(f.object_name) and c.object_type = f.object_type)""",
+)
+def _(v):
+    return all_definitions(
+        v,
+        P.regeneration_targets(
+            v("dir_scripts"), v("registry"), v("catalog_objects"), v("indexes"), v("triggers"), v("dependencies"), OWNER
+        ),
+    )
+
+
+@query(
+    "full_definitions",
+    f"""with {table_doc_ctes('all_')}, listed as (select distinct upper(object_name) as object_name, {S.catalogue_type('object_type')} as object_type
+      from ({listed('catalog_objects')}))
+    select path, cast(0 as bigint) as part, {S.code_style('text')} as text from ({ALL_FILES}) f
+    where exists (select 1 from listed c where c.object_name = upper(f.object_name) and c.object_type = {S.catalogue_type('f.object_type')})""",
+)
+def _(v):
+    return all_definitions(v, C.list_objects(v("catalog_objects"), OWNER))
+
+
 @query(
     "corpus_drift",
     f"""with s as (select {S.artifact_path('object_name', 'object_type')} as path, ddl from ({canonical_check('stored_ddl')})),
