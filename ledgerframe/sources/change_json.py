@@ -46,6 +46,43 @@ def rejected_documents(frame: DataFrame, json: str = "json") -> DataFrame:
     return frame.where(is_malformed(F.col(json))).withColumn("reason", F.lit(MALFORMED))
 
 
+def mistyped_fields(frame: DataFrame, json: str = "json") -> DataFrame:
+    """(change_id, path, expected, found): fields of change sets that have another type than they should.
+
+    A field that is absent or null is no fault, and what lies below a mistyped one isn't looked at. Types
+    are those of variants: OBJECT, ARRAY, STRING, BIGINT, DECIMAL, DOUBLE, BOOLEAN. Documents that can't
+    be read at all are those of ``rejected_documents``.
+    """
+    doc = F.when(~is_malformed(F.col(json)), F.try_parse_json(json))
+    read = frame.select("change_id", doc.alias("doc"))
+
+    def child(value: Column, path: str, kind: str = "variant") -> Column:
+        return F.try_variant_get(value, path, kind)
+
+    def fault(value: Column, path: Column, expected: str) -> Column:
+        found = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+        told = F.struct(path.alias("path"), F.lit(expected).alias("expected"), found.alias("found"))
+        return F.when(~found.isin(expected, "VOID"), told)
+
+    def items(field: str, *fields: tuple[str, str]) -> Column:
+        """Faults of the elements of an array and of the fields below them."""
+
+        def of_item(item: Column, i: Column) -> Column:
+            at = F.format_string(f"$.{field}[%d]", i)
+            below = [fault(child(item, f"$.{name}"), F.concat(at, F.lit(f".{name}")), kind) for name, kind in fields]
+            return F.array(fault(item, at, "OBJECT"), *below)
+
+        return F.flatten(F.transform(F.coalesce(child(F.col("doc"), f"$.{field}", "array<variant>"), F.array()), of_item))
+
+    top = [("head", "OBJECT"), ("head.ref", "STRING"), ("commits", "ARRAY"), ("files", "ARRAY")]
+    faults = F.concat(
+        F.array(*(fault(child(F.col("doc"), f"$.{name}"), F.lit(f"$.{name}"), kind) for name, kind in top)),
+        items("commits", ("sha", "STRING"), ("commit", "OBJECT"), ("commit.message", "STRING")),
+        items("files", ("filename", "STRING")),
+    )
+    return read.select("change_id", F.inline(F.filter(faults, lambda f: f.isNotNull())))
+
+
 def _parsed(frame: DataFrame, json: str) -> DataFrame:
     return frame.select("change_id", F.from_json(json, CHANGE_SET_SCHEMA).alias("c"))
 

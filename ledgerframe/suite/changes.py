@@ -159,6 +159,58 @@ def _(v):
     return J.read_change_heads(v("change_json"))
 
 
+#: Change sets of which some are broken: by turns a branch that is a list, a number among the files,
+#: commits below a key of their own, and text in front of the document.
+STRANGE = """(select change_id, case change_id % 5
+    when 1 then replace(json, '"head": {"ref": ', '"head": {"ref": [1], "was": ')
+    when 2 then replace(json, '"files": [', '"files": [7, ')
+    when 3 then concat(replace(json, '"commits": [', '"commits": {"all": ['), '}')
+    when 4 then concat('x', json) else json end as json from change_json)"""
+
+
+def strange_json(v):
+    json, turn = F.col("json"), F.col("change_id") % 5
+    return v("change_json").select(
+        "change_id",
+        F.when(turn == 1, F.replace(json, F.lit('"head": {"ref": '), F.lit('"head": {"ref": [1], "was": ')))
+        .when(turn == 2, F.replace(json, F.lit('"files": ['), F.lit('"files": [7, ')))
+        .when(turn == 3, F.concat(F.replace(json, F.lit('"commits": ['), F.lit('"commits": {"all": [')), F.lit("}")))
+        .when(turn == 4, F.concat(F.lit("x"), json))
+        .otherwise(json)
+        .alias("json"),
+    )
+
+
+@query("rejected_documents", f"select change_id, json, 'malformed JSON' as reason from {STRANGE} where not json_valid(json)")
+def _(v):
+    return J.rejected_documents(strange_json(v))
+
+
+def items_sql(field: str, *fields: tuple[str, str]) -> str:
+    """Paths of the elements of an array, and below them, with the types they should have."""
+    of = f"""(select change_id, json, unnest(range(cast(json_array_length(json, '$.{field}') as bigint))) as i
+      from ok where json_type(json, '$.{field}') = 'ARRAY')"""
+    below = [("", "OBJECT"), *((f".{name}", kind) for name, kind in fields)]
+    return " union all ".join(
+        f"select change_id, json, '$.{field}[' || i || ']{name}' as path, '{kind}' as expected from {of}" for name, kind in below
+    )
+
+
+@query(
+    "mistyped_fields",
+    f"""with ok as (select change_id, case when json_valid(json) then json end as json from {STRANGE}),
+    paths as (select change_id, json, path, expected from ok, (values ('$.head', 'OBJECT'), ('$.head.ref', 'STRING'),
+        ('$.commits', 'ARRAY'), ('$.files', 'ARRAY')) as f(path, expected)
+      union all {items_sql('commits', ('sha', 'STRING'), ('commit', 'OBJECT'), ('commit.message', 'STRING'))}
+      union all {items_sql('files', ('filename', 'STRING'))}),
+    typed as (select change_id, path, expected, json_type(json, path) as t from paths)
+    select change_id, path, expected, case t when 'VARCHAR' then 'STRING' when 'UBIGINT' then 'BIGINT' else t end as found from typed
+    where t <> 'NULL' and case t when 'VARCHAR' then 'STRING' when 'UBIGINT' then 'BIGINT' else t end <> expected""",
+)
+def _(v):
+    return J.mistyped_fields(strange_json(v))
+
+
 @query(
     "read_json_result",
     """select event_id, coalesce(cast(json_extract_string(json, '$.should_run') as boolean), false) as should_run,

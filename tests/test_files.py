@@ -207,3 +207,27 @@ def test_malformed_documents_are_reported(spark):
     told = {r.change_id: (r.should_run, r.error) for r in J.read_change_set_result(frame, keep=("change_id",), run_flag="go").collect()}
     assert told == {1: (True, None), 2: (False, J.MALFORMED), 3: (False, J.MALFORMED)}
     assert {r.change_id for r in J.rejected_documents(frame).collect()} == {2, 3}
+
+
+def test_mistyped_fields(spark):
+    documents = [
+        '{"files": [{"filename": "a"}, {"filename": 5}, "x", null, {}], "head": {"ref": null}}',
+        '{"files": "q", "head": [1], "commits": [{"sha": true, "commit": {"message": {}}}, {"commit": 1.5}]}',
+        "{}",
+        "[1]",
+        "not json",
+        None,
+        "",
+    ]
+    frame = spark.createDataFrame(list(enumerate(documents)), "change_id long, json string")
+    assert {tuple(r) for r in J.mistyped_fields(frame.withColumn("path", F.lit("clash"))).collect()} == {
+        (0, "$.files[1].filename", "STRING", "BIGINT"),
+        (0, "$.files[2]", "OBJECT", "STRING"),
+        (1, "$.files", "ARRAY", "STRING"),
+        (1, "$.head", "OBJECT", "ARRAY"),
+        (1, "$.commits[0].sha", "STRING", "BOOLEAN"),
+        (1, "$.commits[0].commit.message", "STRING", "OBJECT"),
+        (1, "$.commits[1].commit", "OBJECT", "DECIMAL"),
+    }
+    assert {r.change_id for r in J.rejected_documents(frame).collect()} == {3, 4, 5, 6}
+    assert J.mistyped_fields(frame.limit(0)).count() == 0
