@@ -51,7 +51,8 @@ def mistyped_fields(frame: DataFrame, json: str = "json") -> DataFrame:
 
     A field that is absent or null is no fault, and what lies below a mistyped one isn't looked at. Types
     are those of variants: OBJECT, ARRAY, STRING, BIGINT, DECIMAL, DOUBLE, BOOLEAN. Documents that can't
-    be read at all are those of ``rejected_documents``.
+    be read at all are those of ``rejected_documents``. The readers below take a list with an element
+    that is no object as absent, and a mistyped text as its JSON.
     """
     doc = F.when(~is_malformed(F.col(json)), F.try_parse_json(json))
     read = frame.select("change_id", doc.alias("doc"))

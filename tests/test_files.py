@@ -231,3 +231,14 @@ def test_mistyped_fields(spark):
     }
     assert {r.change_id for r in J.rejected_documents(frame).collect()} == {3, 4, 5, 6}
     assert J.mistyped_fields(frame.limit(0)).count() == 0
+
+
+def test_readers_keep_what_is_not_mistyped(spark):
+    documents = [
+        (1, '{"files": [{"filename": "a"}, 7], "head": {"ref": "main"}, "commits": {"all": []}}'),
+        (2, '{"files": [{"filename": "b"}], "head": {"ref": [1]}, "commits": [{"sha": "c"}]}'),
+    ]
+    frame = spark.createDataFrame(documents, "change_id long, json string")
+    assert [tuple(r) for r in J.read_change_files(frame).collect()] == [(2, 0, "b")]
+    assert sorted((r.change_id, r.head_branch) for r in J.read_change_heads(frame).collect()) == [(1, "main"), (2, "[1]")]
+    assert [tuple(r) for r in J.read_change_commits(frame).collect()] == [(2, "c", 0, "")]
