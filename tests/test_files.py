@@ -10,6 +10,7 @@ from ledgerframe.sources import scripts as W
 from ledgerframe.sources.catalogue import read_catalogue
 from ledgerframe.streaming import jobs as Z
 from ledgerframe.streaming import registry_log as L
+from ledgerframe.streaming.run_log import GROUPS
 
 
 def test_scripts_round_trip(spark):
@@ -148,6 +149,19 @@ def test_steps_after_a_failure_of_an_earlier_batch_are_not_written(spark):
     assert Z.recorded_steps(spark, root).count() == 50
 
 
+def test_the_state_of_many_runs_is_asked_for_by_group(spark):
+    """2,000 failed runs in lanes: the state has a value per group, not per run and lane."""
+    arrivals, root, progress = (fresh_path(spark, n) for n in ("steps", "replay", "progress"))
+    rows = [(run, step, step, int(step % 4 == 2), 1.0) for run in range(2000) for step in range(8)] + [(None, 1, 1, 1, 1.0)]
+    log = run_log(spark, rows)
+    for half in ("step_id < 5", "step_id >= 5"):
+        log.where(half).write.mode("append").parquet(arrivals)
+        stream = Z.run_log_stream(spark.readStream.schema(log.schema).parquet(arrivals), root, progress)
+        stream.awaitTermination()
+        assert 0 < stream.lastProgress.stateOperators[0].numRowsTotal <= GROUPS
+    assert sorted(map(str, Z.recorded_steps(spark, root).collect())) == sorted(map(str, O.run_until_failure(log).collect()))
+
+
 def test_registry_log_reads_and_keeps_few_runs(spark, registry):
     """50 batches of one name each: lookups stay flat, and the result is that of one batch operator."""
     root = fresh_path(spark, "registry")
