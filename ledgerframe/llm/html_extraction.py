@@ -11,7 +11,8 @@ to compare, is judged by itself.
 
 Spark does the merging: tasks merge the pages they have per host, then a host's outlines are merged
 in groups, and the groups' outlines. So no task sees all pages of a host, and what is shuffled is
-outlines, not pages. Wrappers are a few hundred characters each and are joined to the pages by host.
+outlines, not pages. No slot is ever dropped, so an outline is as large as the pages of its host differ in
+their blocks, and rare parts count alike however many others there are. Wrappers are joined to the pages by host.
 
 Defined results: null or empty html gives an empty text. Pages without a host (null url, no
 ``://``) are judged by themselves. Repeated rows and ids are returned as often as they are there,
@@ -40,8 +41,6 @@ from ledgerframe.session import materialize
 GROUPS = 64
 #: Slots that a task holds for all its hosts before it hands them on.
 HELD_SLOTS = 200_000
-#: An outline with more slots than this loses those that fewer than one page in 100 has.
-LARGE = 400
 #: Share of the varying text that a child must hold to be gone on to.
 MOST = 0.75
 
@@ -50,12 +49,6 @@ def outline(page: str) -> Slot:
     return page_tree.folded(page_tree.parsed(page))
 
 
-def trimmed(slot: Slot) -> Slot:
-    if len(page_tree.in_order(slot)) > LARGE:
-        page_tree.pruned(slot, slot.pages / 100)
-    return slot
-
-
 def partial_outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One outline per host of the pages of a task; more if it has very many hosts."""
     page_tree.deep()
@@ -63,7 +56,7 @@ def partial_outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     slots = 0
 
     def handed() -> pa.RecordBatch:
-        rows = list(held), [page_tree.dumped(trimmed(s)) for s in held.values()]
+        rows = list(held), [page_tree.dumped(s) for s in held.values()]
         return pa.RecordBatch.from_arrays([pa.array(r, pa.string()) for r in rows], ["host", "outline"])
 
     for batch in batches:
@@ -76,7 +69,7 @@ def partial_outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 held[host] = found
             forget(held[host])
             if slots > HELD_SLOTS:
-                slots = sum(len(page_tree.in_order(trimmed(s))) for s in held.values())
+                slots = sum(len(page_tree.in_order(s)) for s in held.values())
                 if slots > HELD_SLOTS // 2:
                     yield handed()
                     held.clear()
@@ -104,7 +97,6 @@ def merged(keys: list[str], finish):
                     whole = found
                 else:
                     page_tree.merge(whole, found)
-                trimmed(whole)
         values = [pa.array([k.as_py()], k.type) for k in key]
         yield pa.RecordBatch.from_arrays([*values, pa.array([finish(whole)], pa.string())], [*keys, "outline"])
 

@@ -334,13 +334,6 @@ def aligned(page: Slot, wrapper: Slot) -> None:
         aligned(page.kids[i], wrapper.kids[j])
 
 
-def pruned(slot: Slot, least: float) -> None:
-    """Drops optional nodes that fewer than ``least`` pages have."""
-    slot.kids = [k for k in slot.kids if k.pages >= least]
-    for kid in slot.kids:
-        pruned(kid, least)
-
-
 def in_order(root: Slot) -> list[Slot]:
     """The slots of a tree from the top, left to right."""
     found, ahead = [], [root]

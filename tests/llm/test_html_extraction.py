@@ -120,3 +120,22 @@ def test_no_pages(spark):
     frame = spark.createDataFrame([], SCHEMA)
     assert html_extraction.main_texts(frame).collect() == []
     assert html_extraction.main_texts(frame.filter(F.lit(False))).columns == ["page_id", "url", "text", "n_chars"]
+
+
+def test_rare_template_is_found_however_many_slots_a_host_has(spark):
+    """6 of 700 pages have an offer; one page with 500 blocks of its own doesn't change what they give."""
+    letters = "abcdefghij"
+    names = [f"q{a}{b}{c}z" for a in letters for b in letters for c in letters[:5]]
+    large = "<article>" + "".join(f"<div class={n}>{n}</div>" for n in names) + "</article>"
+
+    def texts(last):
+        offer = "<div class=deal>Buy it now</div>"
+        pages = [f"<article><p>text {prose(20)} {i}</p>{offer if i % 100 == 5 and i < 600 else ''}</article>" for i in range(699)]
+        rows = [(i, f"http://shop.net/{i}", page) for i, page in enumerate([*pages, last])]
+        frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1)
+        return {r.page_id: r.text for r in html_extraction.main_texts(frame).collect()}
+
+    for last in ("<article><p>plain</p></article>", large):
+        found = texts(last)
+        assert not [t for i, t in found.items() if i < 699 and "Buy it now" in t]
+    assert found[699] == " ".join(names)
