@@ -5,6 +5,7 @@ from __future__ import annotations
 import posixpath
 import uuid
 from collections.abc import Iterator
+from itertools import takewhile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,16 +41,35 @@ def read_scripts(spark: SparkSession, path: str, bundled: DataFrame | None = Non
 def empty_scripts(spark: SparkSession, path: str) -> DataFrame:
     """(name, text, ts) of the scripts of length zero, which file scans pass over.
 
-    They come from the folder's listing, which Spark makes on the driver for a scan anyway.
+    They come from the folder's listing, which Spark makes on the driver for a scan anyway. The
+    JVM sorts it by length, so that what passes to Python is the empty ones alone, not the folder.
     """
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
     system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, "*.sql")) or []
-    rows = [(s.getPath().getName(), "", s.getModificationTime()) for s in found if s.isFile() and s.getLen() == 0]
+    folders = system.globStatus(folder)
+    rows = []
+    if folders is not None:
+        found = system.listStatus(jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(folders))
+        listed = jvm.scala.jdk.javaapi.CollectionConverters.asJava(jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(found))
+        by_length = jvm.java.util.ArrayList(listed)
+        jvm.java.util.Collections.sort(by_length, jvm.java.util.Comparator.comparingLong(_file_length(jvm)))
+        for status in takewhile(lambda s: s.getLen() == 0, by_length):
+            name = status.getPath().getName()
+            if name.endswith(".sql") and status.isFile():
+                rows.append((name, "", status.getModificationTime()))
     frame = spark.createDataFrame(rows, "name string, text string, ms bigint")
     return frame.select("name", "text", F.timestamp_millis("ms").alias("ts"))
 
 
+def _file_length(jvm):
+    """The length of a listed file as a function of the JVM."""
+    load, handles = jvm.java.lang.Thread.currentThread().getContextClassLoader().loadClass, jvm.java.lang.invoke
+    returns = handles.MethodType.methodType(jvm.java.lang.Long.TYPE)
+    length = handles.MethodHandles.publicLookup().findVirtual(load("org.apache.hadoop.fs.FileStatus"), "getLen", returns)
+    return handles.MethodHandleProxies.asInterfaceInstance(load("java.util.function.ToLongFunction"), length)
+
+
 def write_corpus(documents: DataFrame, root: str, mode: str = "overwrite") -> None:
     """Write (path, text), and part if there is one, as parquet, one folder per directory of the paths.
 
