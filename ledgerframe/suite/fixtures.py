@@ -270,17 +270,25 @@ def frame(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
     if view in TABLES:
         return spark.table(table_view(spark, sf_dir, view))
     tables = "|".join(TABLES)
+    text = with_views(f"select * from {view}")
+    grown = {"part"} if "ddl_corpus" in needed(f"select * from {view}") else set()
     located = re.sub(
         rf"\b(from|join)\s+({tables})\b",
-        lambda m: f"{m[1]} {table_view(spark, sf_dir, m[2])}",
-        with_views(f"select * from {view}"),
+        lambda m: f"{m[1]} {table_view(spark, sf_dir, m[2], m[2] in grown)}",
+        text,
     )
     return spark.sql(located)
 
 
-def table_view(spark: SparkSession, sf_dir: str, table: str) -> str:
-    """A temporary view of one given table; its schema is looked up once per session."""
-    name = f"given_{zlib.crc32(sf_dir.encode()):08x}_{table}"
+def table_view(spark: SparkSession, sf_dir: str, table: str, spread: bool = False) -> str:
+    """A temporary view of one given table; its schema is looked up once per session.
+
+    A table of few bytes, whose rows become long definitions, is read by one or two tasks, which then
+    do all work on the definitions; ``spread`` deals its rows over all cores first.
+    """
+    name = f"given_{zlib.crc32(sf_dir.encode()):08x}_{table}" + ("_spread" if spread else "")
     if not spark.catalog.tableExists(name):
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(name)
+        rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+        rows = rows.repartition(4 * spark.sparkContext.defaultParallelism) if spread else rows
+        rows.createOrReplaceTempView(name)
     return name

@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 from compare import compare, connect
 from ledgerframe import suite
-from ledgerframe.suite.fixtures import VIEWS, needed, with_views
+from ledgerframe.suite.fixtures import VIEWS, frame, needed, with_views
 
 SF_DIR = os.environ.get("LEDGERFRAME_TEST_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test data")
@@ -45,3 +45,9 @@ def test_needed_views_come_in_order():
     assert with_views("select 1") == "select 1"
     merged = with_views("with a as (select * from objects) select * from a")
     assert merged.count("with ") == 1 and merged.index("objects as") < merged.index("a as (select * from objects)")
+
+
+@pytest.mark.parametrize("view", ["ddl_corpus", "stored_ddl"])
+def test_long_definitions_of_a_small_table_are_made_by_all_cores(spark, view):
+    rows = frame(spark, SF_DIR, view).where("object_type = 'TABLE' and object_name not like 'GONE%'")
+    assert rows.select("ddl").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
