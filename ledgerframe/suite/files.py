@@ -61,9 +61,11 @@ def _(v):
 def _(v):
     arrivals, root = fresh_path(v.spark, "arrivals"), fresh_path(v.spark, "registry")
     scripts = v("dir_scripts")
-    scripts.repartition(4).write.parquet(arrivals)
+    # as many files as tasks, so that none holds a fixed share of all texts; they come in two batches
+    scripts.write.parquet(arrivals)
+    files = len(v.spark.read.schema(scripts.schema).parquet(arrivals).inputFiles())
     Z.seed_registry(v("registry"), root)
-    stream = v.spark.readStream.schema(scripts.schema).option("maxFilesPerTrigger", 2).parquet(arrivals)
+    stream = v.spark.readStream.schema(scripts.schema).option("maxFilesPerTrigger", max(1, (files + 1) // 2)).parquet(arrivals)
     Z.reconcile_stream(stream, root, fresh_path(v.spark, "progress")).awaitTermination()
     return Z.latest(Z.registry_versions(v.spark, root))
 

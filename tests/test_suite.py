@@ -51,3 +51,20 @@ def test_needed_views_come_in_order():
 def test_long_definitions_of_a_small_table_are_made_by_all_cores(spark, view):
     rows = frame(spark, SF_DIR, view).where("object_type = 'TABLE' and object_name not like 'GONE%'")
     assert rows.select("ddl").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_arrivals_are_not_dealt_into_a_fixed_number_of_files(spark, monkeypatch):
+    from ledgerframe.suite import files, registry
+
+    made, fresh = {}, files.fresh_path
+
+    def noted(session, label):
+        made[label] = fresh(session, label)
+        return made[label]
+
+    monkeypatch.setattr(files, "fresh_path", noted)
+    monkeypatch.setattr(registry, "frame", lambda session, sf_dir, view: frame(session, sf_dir, view).repartition(9))
+    suite.queries()["reconcile_stream"](spark, SF_DIR)
+    assert len(spark.read.parquet(made["arrivals"]).inputFiles()) == 9
+    # the seed and two batches
+    assert len([n for n in os.listdir(made["registry"]) if n.startswith("run=")]) == 3
