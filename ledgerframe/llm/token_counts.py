@@ -53,7 +53,7 @@ def _known(path: str) -> Recent:
 
 
 @cache
-def _separator(path: str) -> tuple[str, int]:
+def separator(path: str) -> tuple[str, int]:
     """A special token: the library encodes what stands on either side of it independently."""
     for number, token in tokenizer(path).get_added_tokens_decoder().items():
         if token.special and not (token.lstrip or token.rstrip or token.single_word or token.normalized):
@@ -63,7 +63,7 @@ def _separator(path: str) -> tuple[str, int]:
 
 def encoded_in_calls(path: str, pieces: list[str]):
     """(piece, packed ids) by library calls of bounded size; many pieces go in one text."""
-    mark, number = _separator(path)
+    mark, number = separator(path)
     alone = [p for p in pieces if not mark or mark[0] in p]
     if alone:
         for piece, found in zip(alone, tokenizer(path).encode_batch_fast(alone, add_special_tokens=False), strict=True):

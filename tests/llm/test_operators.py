@@ -21,6 +21,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from ledgerframe.llm import (
     byte_bpe,
+    common,
     fingerprints,
     language_id,
     near_dedup,
@@ -192,6 +193,44 @@ def test_packing_of_short_texts_and_none(spark):
     assert packing.packed(docs_of(spark, []), BYTE, 1).collect() == []
 
 
+def test_pieces_that_nothing_spans_are_encoded_without_marks():
+    """The same ids as one by one, from far fewer characters given to the library than with marks."""
+    rng = random.Random(3)
+    made = [" " + "".join(rng.choice("abé中7'sſ!") for _ in range(rng.randrange(1, 9))) for _ in range(500)]
+    odd = ["x", "\n", "  two", " end\u3000", " a\x1c", " a\t", " <|endoftext|>", " a<b", " "]
+    pieces = sorted({*made, *odd})
+    known = Tokenizer.from_file(BYTE)
+    want = {p: known.encode(p, add_special_tokens=False).ids for p in pieces}
+    assert {p: np.frombuffer(ids, "<u2").tolist() for p, ids in packing.encoded_joined(BYTE, pieces)} == want
+    given = []
+
+    class Counting:
+        normalizer = None
+
+        def encode_batch_fast(self, texts, **more):
+            given.extend(texts)
+            return known.encode_batch_fast(texts, **more)
+
+    with pytest.MonkeyPatch.context() as patched:
+        patched.setattr(packing, "tokenizer", lambda _: Counting())
+        packing._id_bytes(BYTE)
+        assert dict(packing.encoded_joined(BYTE, pieces)).keys() == want.keys()
+    assert len(given) == 1 and len(given[0]) > 1000 and "<" not in given[0]
+
+
+def test_known_results_are_asked_for_one_by_one():
+    """A batch must not walk all results of the older generation."""
+
+    class Unwalked(dict):
+        def __iter__(self):
+            raise AssertionError("walked")
+
+    known = common.Recent(2, 9)
+    known.now, known.before = {"a": 1}, Unwalked(b=2, c=3)
+    assert sorted(known.unknown({"a", "b", "d"})) == ["d"] and known.now == {"a": 1, "b": 2}
+
+
+
 def test_first_fit_takes_the_first_bin_with_room():
     rng = random.Random(1)
     tree, plain = packing.Tournament(40, 100), [100] * 40
