@@ -87,6 +87,19 @@ def read_runs(spark: SparkSession, root: str, runs: list[tuple[int, int]], bucke
     return union_all(frames) if frames else spark.createDataFrame([], REGISTRY_SCHEMA)
 
 
+def read_buckets(spark: SparkSession, root: str, runs: list[tuple[int, int]], buckets: int, only: list[int]) -> DataFrame:
+    """The rows that runs have in some buckets. Folders of others are neither listed nor planned."""
+    frames = []
+    for run in runs:
+        path = run_path(root, run, buckets)
+        fs, folder = _folder(spark, path)
+        stored = {status.getPath().getName() for status in fs.listStatus(folder)}
+        own = [f"{path}/bucket={b}" for b in only if f"bucket={b}" in stored]
+        if own:
+            frames.append(spark.read.schema(REGISTRY_SCHEMA).option("basePath", path).parquet(*own))
+    return union_all(frames) if frames else spark.createDataFrame([], REGISTRY_SCHEMA)
+
+
 def buckets_of(spark: SparkSession, root: str) -> int:
     return next(iter(stored_runs(spark, root).values()), BUCKETS)
 
@@ -134,8 +147,8 @@ def looked_up(batch: DataFrame, root: str, upto: int) -> DataFrame:
     buckets = next(iter(runs.values()), BUCKETS)
     arriving = bucketed(batch.select("name"), buckets).select("bucket").distinct()
     wanted = [row["bucket"] for row in arriving.collect()]  # at most all buckets
-    known = read_runs(spark, root, cover(runs, upto), buckets)
-    return known.where(F.col("bucket").isin(wanted)).select("name", "file_hash", "type", "status", "version")
+    known = read_buckets(spark, root, cover(runs, upto), buckets, sorted(wanted))
+    return known.select("name", "file_hash", "type", "status", "version")
 
 
 def merge_span(version: int, fanout: int = FANOUT) -> int:

@@ -182,6 +182,16 @@ def test_registry_log_reads_and_keeps_few_runs(spark, registry):
     assert {r.name: r.text for r in L.latest(L.registry_versions(spark, root)).collect()} == want
 
 
+def test_a_lookup_lists_the_buckets_of_its_names_alone(spark, registry, scripts):
+    root = fresh_path(spark, "registry")
+    L.seed_registry(registry({f"{i}_s.sql": "seed" for i in range(200)}), root, buckets=16)
+    L.write_version(L.absorb_scripts(scripts({"3_s.sql": "new"}), L.looked_up(scripts({"3_s.sql": "new"}), root, 0)), root, 1, 16)
+    known = L.looked_up(scripts({"3_s.sql": "x"}), root, 1)
+    assert len(known.inputFiles()) == 2 and len({f.split("bucket=")[1].split("/")[0] for f in known.inputFiles()}) == 1
+    assert {(r.name, r.version) for r in known.where("name = '3_s.sql'").collect()} == {("3_s.sql", 0), ("3_s.sql", 1)}
+    assert L.looked_up(scripts({"none_s.sql": "x"}).where("false"), root, 1).collect() == []
+
+
 def test_registry_log_survives_a_repeated_batch_that_merged(spark, registry, scripts):
     root = fresh_path(spark, "registry")
     L.seed_registry(registry({"1_a.sql": "old"}), root, buckets=2)
