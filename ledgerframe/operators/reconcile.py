@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerframe.functions import names as N
 from ledgerframe.operators.registry import read_registry, with_fingerprint
+from ledgerframe.session import materialize
 
 
 def ignored_scripts(scripts: DataFrame) -> DataFrame:
@@ -77,8 +78,13 @@ def change_summary(directory: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def new_scripts(directory: DataFrame, registry: DataFrame) -> DataFrame:
+    """Valid scripts of the directory that the registry has no row of.
+
+    Their names are found and written first: a short list is then broadcast, so texts stay in place.
+    """
     known = registry.select("name").distinct()
-    return valid_scripts(directory).join(known, "name", "left_anti")
+    fresh = valid_scripts(directory).select("name").join(known, "name", "left_anti")
+    return fresh if directory.columns == ["name"] else directory.join(materialize(fresh, "fresh"), "name", "left_semi")
 
 
 def deleted_names(directory: DataFrame, registry: DataFrame) -> DataFrame:
@@ -104,12 +110,14 @@ def _both(directory: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def updated_scripts(directory: DataFrame, registry: DataFrame) -> DataFrame:
-    """Changed files: directory text wins, the registry id is kept."""
+    """Changed files: directory text wins, the registry id is kept.
+
+    What has changed is written first, without texts, so that Spark knows when it is short.
+    """
     changed = _both(directory, registry).where("dir_hash <> reg_hash")
     fields = ["name", "text"] + [c for c in ("ts",) if c in directory.columns]
-    return directory.select(*fields).join(
-        changed.select("name", "script_id", F.col("dir_hash").alias("file_hash")), "name"
-    )
+    slim = materialize(changed.select("name", "script_id", F.col("dir_hash").alias("file_hash")), "updated")
+    return directory.select(*fields).join(slim, "name")
 
 
 def unchanged_scripts(directory: DataFrame, registry: DataFrame) -> DataFrame:

@@ -57,17 +57,20 @@ def apply_changes(
     inserts: DataFrame | None = None,
     updates: DataFrame | None = None,
     deletes: DataFrame | None = None,
+    gone: DataFrame | None = None,
 ) -> DataFrame:
     """The next version of a registry that is unique on ``name``.
 
     An update replaces fingerprint, text and time and nothing else; deletes go by
     name; inserts are new names. Rows that stay are kept by an anti join with the list of
-    changed names, which is short where changes are few, so their text can stay in place.
+    changed names, which is short where changes are few, so their text can stay in place. ``gone``
+    is that list, the names of updates and deletes, where it is at hand as a table without texts.
     """
     result = registry
-    gone = [frame.select("name") for frame in (deletes, updates) if frame is not None]
-    if gone:
-        result = registry.join(reduce(DataFrame.unionByName, gone).distinct(), "name", "left_anti")
+    lists = [frame.select("name") for frame in (deletes, updates) if frame is not None]
+    if lists:
+        listed = gone if gone is not None else reduce(DataFrame.unionByName, lists).distinct()
+        result = registry.join(listed.select("name"), "name", "left_anti")
     if updates is not None:
         fields = [c for c in ("file_hash", "text", "ts") if c in updates.columns and c in registry.columns]
         before = registry.drop(*fields)

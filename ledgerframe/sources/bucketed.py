@@ -68,9 +68,12 @@ def _data(root: str, version: int) -> str:
 
 
 def create(registry: DataFrame, root: str, buckets: int = BUCKETS) -> int:
-    """Version 0: all rows of a registry that is unique on ``name``."""
+    """Version 0: all rows of a registry that is unique on ``name``.
+
+    There are some times as many partitions as buckets, so that few buckets share a task.
+    """
     spark = registry.sparkSession
-    dealt = registry.withColumn("bucket", bucket_of(F.col("name"), buckets)).repartition("bucket")
+    dealt = registry.withColumn("bucket", bucket_of(F.col("name"), buckets)).repartition(4 * buckets, "bucket")
     dealt.write.partitionBy("bucket").parquet(_data(root, 0))
     schema = json.loads(registry.schema.json())
     _publish(spark, root, 0, {"buckets": [0] * buckets, "schema": schema, "rewritten": buckets})
@@ -109,7 +112,13 @@ def commit(
     given = [f for f in (inserts, updates, deletes) if f is not None]
     if not given:
         return number
-    names = reduce(DataFrame.unionByName, [f.select("name") for f in given]).distinct()
+
+    def marked(frames: list[DataFrame], gone: bool) -> list[DataFrame]:
+        return [f.select("name", F.lit(gone).alias("gone")) for f in frames]
+
+    gone = [f for f in (updates, deletes) if f is not None]
+    named = marked([] if inserts is None else [inserts], False) + marked(gone, True)
+    names = reduce(DataFrame.unionByName, named).groupBy("name").agg(F.max("gone").alias("gone"))
     changed = materialize(names.withColumn("bucket", bucket_of(F.col("name"), buckets)), "changed")
     touched = [r["bucket"] for r in changed.select("bucket").distinct().collect()]  # at most all buckets
     old = read(spark, root, number, touched)
@@ -117,7 +126,8 @@ def commit(
     def written(frame: DataFrame | None) -> DataFrame | None:
         return None if frame is None else materialize(frame, "changes")
 
-    after = apply_changes(old.drop("bucket"), written(inserts), written(updates), written(deletes))
+    # the anti join takes the names of the slim list: those of written changes count with their texts
+    after = apply_changes(old.drop("bucket"), written(inserts), written(updates), written(deletes), changed.where("gone"))
     placed = after.withColumn("bucket", bucket_of(F.col("name"), buckets))
     home = f"{_data(root, number + 1)}-{uuid.uuid4().hex}"
     placed.write.partitionBy("bucket").parquet(home)

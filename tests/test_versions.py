@@ -58,6 +58,41 @@ def test_rows_that_stay_are_not_exchanged(spark, table):
     assert "Exchange hashpartitioning" not in left
 
 
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_of_a_commit_stay_in_place(spark, table, scripts, registry, monkeypatch):
+    """Lists of names are short, the tables with texts are not: no table with texts is sorted for a join."""
+    root, _ = table
+    directory = scripts({f"{i}_s.sql": f"text {i} " * 30 for i in range(400)})
+    known = registry({f"{i}_s.sql": f"text {i % 390} " * 30 for i in range(100, 395)})
+    plans, kept = [], B.apply_changes
+
+    def watched(*frames):
+        plans.append(plan_of(kept(*frames)))
+        return kept(*frames)
+
+    monkeypatch.setattr(B, "apply_changes", watched)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    # written texts are above the limit, written names below
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "12k")
+    try:
+        fresh, changed = R.new_scripts(directory, known), R.updated_scripts(directory, known)
+        assert {r.name for r in fresh.collect()} == {f"{i}_s.sql" for i in (*range(100), *range(395, 400))}
+        assert {r.name for r in changed.collect()} == {f"{i}_s.sql" for i in range(390, 395)}
+        for frame in (fresh, changed):
+            assert "BroadcastHashJoin" in plan_of(frame) and "SortMergeJoin" not in plan_of(frame)
+        wide = spark.range(300).selectExpr("concat(id, '_s.sql') as name", "'u' as file_hash", "concat_ws('', transform(sequence(1, 9), i -> sha2(cast(id * 9 + i as string), 512))) as text")
+        B.commit(spark, root, updates=wide)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    anti = [line for line in plans[0].splitlines() if "LeftAnti" in line]
+    assert anti and all("BroadcastHashJoin" in line for line in anti)
+    assert B.read(spark, root).where("file_hash = 'u'").count() == 300 == B.read(spark, root).count()
+
+
 def test_commits_on_one_version_conflict_and_unfinished_ones_are_unseen(spark, table, monkeypatch):
     root, rows = table
     one = spark.createDataFrame([("900_n.sql", "hn", "new", 0, 0)], SCHEMA)
