@@ -33,13 +33,14 @@ def development_scripts(scripts: DataFrame) -> DataFrame:
     return scripts.where(N.order_number(F.col("name")) < N.DEVELOPMENT_LIMIT)
 
 
-def directory_keys(directory: DataFrame) -> DataFrame:
+def directory_keys(directory: DataFrame, sized: bool = False) -> DataFrame:
+    size = [F.octet_length("text").alias("dir_bytes")] if sized else []
     return with_fingerprint(valid_scripts(directory)).select(
-        "name", F.col("file_hash").alias("dir_hash")
+        "name", F.col("file_hash").alias("dir_hash"), *size
     )
 
 
-def registry_keys(registry: DataFrame) -> DataFrame:
+def registry_keys(registry: DataFrame, sized: bool = False) -> DataFrame:
     """Everything a comparison needs of the latest row of each name, but not its text.
 
     A registry without ids, such as the result of ``next_registry``, is unique on the name.
@@ -47,13 +48,17 @@ def registry_keys(registry: DataFrame) -> DataFrame:
     facts = [c for c in ("type", "status") if c in registry.columns]
     if "script_id" not in registry.columns:
         registry = registry.withColumn("script_id", F.lit(0).cast("bigint"))
-    slim = with_fingerprint(registry).select("script_id", "name", "file_hash", *facts)
+    size = [F.octet_length("text").alias("reg_bytes")] if sized else []
+    slim = with_fingerprint(registry).select("script_id", "name", "file_hash", *facts, *size)
     return read_registry(slim).withColumnRenamed("file_hash", "reg_hash")
 
 
-def compare(directory: DataFrame, registry: DataFrame) -> DataFrame:
-    """Both sides in one full outer join, with the registry facts of known names."""
-    joined = directory_keys(directory).join(registry_keys(registry), "name", "full_outer")
+def compare(directory: DataFrame, registry: DataFrame, sized: bool = False) -> DataFrame:
+    """Both sides in one full outer join, with the registry facts of known names.
+
+    ``sized`` adds the bytes of both texts, ``dir_bytes`` and ``reg_bytes``.
+    """
+    joined = directory_keys(directory, sized).join(registry_keys(registry, sized), "name", "full_outer")
     change = (
         F.when(F.col("reg_hash").isNull(), "new")
         .when(F.col("dir_hash").isNull(), "deleted")

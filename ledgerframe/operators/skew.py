@@ -21,6 +21,21 @@ MAX_DOCUMENT_CHARS = 64 << 20
 PART_ROWS = 1 << 16
 
 
+# Bytes of text that a task of a join by name reads about.
+TASK_BYTES = 64 << 20
+
+
+def dealt_by_bytes(slim: DataFrame, keys: list[str], size: int | None, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """The slim side of a join with texts of ``size`` bytes, in partitions that keep a task's share of them small.
+
+    The other side of a join that shuffles follows. Where Spark's own number of partitions is enough,
+    nothing is done, and a slim side that is short is broadcast as before.
+    """
+    parts = -(-(size or 0) // task_bytes)
+    own = int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return slim.repartition(parts, *keys) if parts > own else slim
+
+
 def join_counted(
     left: DataFrame,
     right: DataFrame,

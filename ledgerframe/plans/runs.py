@@ -16,6 +16,7 @@ from ledgerframe.functions import names as N
 from ledgerframe.operators import reconcile as R
 from ledgerframe.operators.ordering import with_position
 from ledgerframe.operators.registry import with_fingerprint
+from ledgerframe.operators.skew import dealt_by_bytes
 from ledgerframe.session import materialize
 
 ASK, SKIP, FORCE_EXECUTE = "ASK", "SKIP", "FORCE_EXECUTE"
@@ -204,7 +205,7 @@ def next_registry(
     """
     if raise_on_orphans:
         R.orphaned_rollbacks(directory, registry, raise_on=True)
-    compared = R.compare(directory, registry).withColumnsRenamed({"type": "reg_type", "status": "reg_status"})
+    compared = R.compare(directory, registry, sized=True).withColumnsRenamed({"type": "reg_type", "status": "reg_status"})
     snapshot = materialize(N.with_script_facts(compared), "snapshot")
     branch = rollback_branch(mode, execute, confirm)
     deleted = snapshot.where("change = 'deleted'")
@@ -228,6 +229,10 @@ def next_registry(
     shared_ts = ["ts"] if "ts" in directory.columns and "ts" in registry.columns else []
     fields = ["name", "file_hash", "text", *shared_ts, "type", "status"]
     keys = [c for c in ("name", "script_id") if c in registry.columns]
-    old_rows = with_fingerprint(registry).join(from_registry.select(*keys), keys, "left_semi")
-    new_rows = with_fingerprint(R.valid_scripts(directory)).join(arriving, "name")
+    # the tasks of the joins with texts are as many as the bytes of all texts ask for
+    size = snapshot.agg(F.sum("reg_bytes").alias("reg"), F.sum("dir_bytes").alias("dir")).first()
+    staying = dealt_by_bytes(from_registry.select(*keys), keys, size["reg"])
+    coming = dealt_by_bytes(arriving, ["name"], size["dir"])
+    old_rows = with_fingerprint(registry).join(staying, keys, "left_semi")
+    new_rows = with_fingerprint(R.valid_scripts(directory)).join(coming, "name")
     return old_rows.select(*fields).unionByName(new_rows.select(*fields))

@@ -9,7 +9,9 @@ from ledgerframe.operators import catalog as C
 from ledgerframe.operators import changesets as X
 from ledgerframe.operators import definitions as D
 from ledgerframe.operators import ordering as O
+from ledgerframe.operators import skew
 from ledgerframe.operators.skew import join_counted, ordered_text
+from ledgerframe.plans import runs
 
 
 def log_rows(seed=1):
@@ -194,3 +196,24 @@ def test_parent_by_sequence_with_many_tables(spark, hot_rows):
     assert sum(r.object_name == "s" for r in got) == 60 and all(r.n_tables == 60 for r in got if r.object_name == "s")
     assert [(r.table_name, r.n_tables) for r in got if r.object_name == "s60"] == [("T60", 1)]
     assert [(r.table_name, r.n_tables) for r in got if r.object_name == "none"] == [(None, 0)]
+
+
+def test_joins_with_texts_have_tasks_by_their_bytes(spark, scripts, registry, monkeypatch):
+    """At 100 bytes a task 40 texts of 100 bytes make 40 tasks or more, not Spark's four."""
+    directory = scripts({f"{i}_s.sql": "x" * 100 for i in range(40)})
+    known = registry({f"{i}_s.sql": "x" * 100 for i in range(1, 41)})
+    want = sorted(map(str, runs.next_registry(directory, known).collect()))
+    few = skew.dealt_by_bytes
+    monkeypatch.setattr(runs, "dealt_by_bytes", lambda slim, keys, size: few(slim, keys, size, 100))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        after = runs.next_registry(directory, known)
+        plan = after._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(str, after.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert got == want and len(got) == 40
+    texts = [line for line in plan.splitlines() if "hashpartitioning(name" in line and ", 40)" in line]
+    assert len(texts) == 4  # both sides of the join with old rows and of that with new ones
