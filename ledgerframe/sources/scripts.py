@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import contextlib
+import os
 import posixpath
+import stat
 import uuid
 from collections.abc import Iterator
-from itertools import takewhile
+from itertools import islice, takewhile
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerframe.session import materialize
+
+#: Files a task reads at most, and bytes after which it hands on what it has read.
+TASK_FILES, BATCH_BYTES = 5_000, 8 << 20
+
 
 def file_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
@@ -24,11 +33,89 @@ def read_script_listing(spark: SparkSession, path: str) -> DataFrame:
 def read_scripts(spark: SparkSession, path: str, bundled: DataFrame | None = None) -> DataFrame:
     """(name, text, ts) of every ``*.sql`` file directly in a folder, as UTF-8.
 
-    Content is pruned from the scan when only names are selected. Bytes that are not UTF-8
+    Contents are not read when only names are selected. Bytes that are not UTF-8
     become U+FFFD. When ``bundled`` scripts exist they are used instead of the folder.
     """
     if bundled is not None and not bundled.isEmpty():
         return bundled.select("name", "text", "ts")
+    listed = listed_scripts(spark, path)
+    if listed is None:
+        return scanned_scripts(spark, path)
+    text = F.make_valid_utf8(_content()("file").cast("string"))
+    return listed.select("name", text.alias("text"), F.timestamp_millis("ms").alias("ts"))
+
+
+def listed_scripts(spark: SparkSession, path: str) -> DataFrame | None:
+    """(file, name, length, ms) of the scripts in a folder of a file system that tasks have mounted.
+
+    A task lists the folder as a stream and writes the listing to the shared folder; the driver learns
+    the number of files and bytes alone, and deals the files out in tasks by both. None for paths on other
+    file systems, and for those that stand for nothing.
+    """
+    system, found = _matches(spark, path)
+    if not found or system.getUri().getScheme() != "file":
+        return None
+    jvm = spark._jvm
+    found = jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(found))
+    roots = [(os.fsencode(root.removeprefix("file:")),) for root in found.mkString("\0").split("\0")]
+
+    def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def hidden(name):
+            return name.startswith(b".") or name.startswith(b"_") and b"=" not in name
+
+        def scripts(root):
+            with contextlib.ExitStack() as opened:
+                if os.path.isdir(root):
+                    files = ((e.name, e.path) for e in opened.enter_context(os.scandir(root)))
+                else:
+                    files = [(os.path.basename(root), root)]
+                for name, file in files:
+                    if name.endswith(b".sql"):
+                        try:
+                            about = os.stat(file)
+                        except FileNotFoundError:
+                            continue
+                        # a scan passes over hidden files, but empty ones were always told
+                        if stat.S_ISREG(about.st_mode) and not (about.st_size and hidden(name)):
+                            yield file, name.decode("utf-8", "replace"), about.st_size, about.st_mtime_ns // 1_000_000
+
+        kinds = pa.binary(), pa.string(), pa.int64(), pa.int64()
+        for batch in batches:
+            for root in batch.column(0).to_pylist():
+                rows = scripts(root)
+                while some := list(islice(rows, 10_000)):
+                    columns = [pa.array(c, t) for c, t in zip(zip(*some, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, ["file", "name", "length", "ms"])
+
+    told = spark.createDataFrame(roots, "root binary").mapInArrow(listing, "file binary, name string, length bigint, ms bigint")
+    told = materialize(told, "listing")
+    size = told.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()
+    most = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    tasks = max(-(-size.files // TASK_FILES), -(-size.bytes // most), min(size.files, spark.sparkContext.defaultParallelism), 1)
+    return told.repartition(tasks, "file")
+
+
+def _content():
+    """A function that reads files, in batches of few bytes. Not deterministic, so that no file is read for a filter as well."""
+
+    @F.arrow_udf("binary")
+    def content(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            texts, size = [], 0
+            for file in batch.to_pylist():
+                with open(file, "rb") as f:
+                    texts.append(f.read())
+                size += len(texts[-1])
+                if size >= BATCH_BYTES:
+                    yield pa.array(texts, pa.binary())
+                    texts, size = [], 0
+            yield pa.array(texts, pa.binary())
+
+    return content.asNondeterministic()
+
+
+def scanned_scripts(spark: SparkSession, path: str) -> DataFrame:
+    """(name, text, ts) of the scripts in a folder of any file system, by a scan that Spark lists on the driver."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sql").load(path)
     read = files.where("length > 0").select(
         file_name(F.col("path")).alias("name"),
@@ -38,6 +125,13 @@ def read_scripts(spark: SparkSession, path: str, bundled: DataFrame | None = Non
     return read.unionByName(empty_scripts(spark, path))
 
 
+def _matches(spark: SparkSession, path: str):
+    """The file system of a path, and what the path or pattern stands for there."""
+    given = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = given.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system, system.globStatus(given)
+
+
 def empty_scripts(spark: SparkSession, path: str) -> DataFrame:
     """(name, text, ts) of the scripts of length zero, which file scans pass over.
 
@@ -45,9 +139,7 @@ def empty_scripts(spark: SparkSession, path: str) -> DataFrame:
     JVM sorts it by length, so that what passes to Python is the empty ones alone, not the folder.
     """
     jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    folders = system.globStatus(folder)
+    system, folders = _matches(spark, path)
     rows = []
     if folders is not None:
         found = system.listStatus(jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(folders))
