@@ -143,21 +143,22 @@ def empty_scripts(spark: SparkSession, path: str) -> DataFrame:
     rows = []
     if folders is not None:
         found = system.listStatus(jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(folders))
-        listed = jvm.scala.jdk.javaapi.CollectionConverters.asJava(jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(found))
-        by_length = jvm.java.util.ArrayList(listed)
-        jvm.java.util.Collections.sort(by_length, jvm.java.util.Comparator.comparingLong(_file_length(jvm)))
+        scala, util = jvm.scala, jvm.java.util
+        by_length = util.ArrayList(scala.jdk.javaapi.CollectionConverters.asJava(scala.collection.immutable.ArraySeq.unsafeWrapArray(found)))
+        util.Collections.sort(by_length, util.Comparator.comparingLong(_file_length(jvm)))
         for status in takewhile(lambda s: s.getLen() == 0, by_length):
             name = status.getPath().getName()
             if name.endswith(".sql") and status.isFile():
                 rows.append((name, "", status.getModificationTime()))
     frame = spark.createDataFrame(rows, "name string, text string, ms bigint")
-    return frame.select("name", "text", F.timestamp_millis("ms").alias("ts"))
+    return frame.selectExpr("name", "text", "timestamp_millis(ms) as ts")
 
 
 def _file_length(jvm):
     """The length of a listed file as a function of the JVM."""
-    load, handles = jvm.java.lang.Thread.currentThread().getContextClassLoader().loadClass, jvm.java.lang.invoke
-    returns = handles.MethodType.methodType(jvm.java.lang.Long.TYPE)
+    lang = jvm.java.lang
+    load, handles = lang.Thread.currentThread().getContextClassLoader().loadClass, lang.invoke
+    returns = handles.MethodType.methodType(lang.Long.TYPE)
     length = handles.MethodHandles.publicLookup().findVirtual(load("org.apache.hadoop.fs.FileStatus"), "getLen", returns)
     return handles.MethodHandleProxies.asInterfaceInstance(load("java.util.function.ToLongFunction"), length)
 
